@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 
@@ -20,17 +21,18 @@ def list_files(spark: SparkSession, folder: str, name_regex: str) -> list[str]:
     return sorted(p.toString() for p in found if rx.search(p.getName()))
 
 
-def _headers(spark: SparkSession, paths: list[str], sep: str) -> dict[str, tuple[str, ...]]:
-    """Header of each file in one distributed read: the line at offset zero of every file."""
-    lines = (
-        spark.read.option("wholetext", False).text(paths)
-        .select(F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("pos"), "value")
-        .filter(F.col("block") == 0)
-    )
-    firsts = lines.groupBy("path").agg(F.min_by("value", "pos").alias("header")).collect()
-    return {r.path: tuple(h.strip().strip('"') for h in r.header.split(sep)) for r in firsts}
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
+    """Column names of one delimited file: its first line only, so no data is scanned for it."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(hpath)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    if not line:
+        return ()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)))
 
 
 def read_extract(spark: SparkSession, folder: str, name_regex: str, columns: list[str] | None = None,
@@ -46,12 +48,10 @@ def read_extract(spark: SparkSession, folder: str, name_regex: str, columns: lis
         raise FileNotFoundError(f"no file in {folder} matches {name_regex}")
     if format == "csv":
         groups: dict[tuple[str, ...], list[str]] = {}
-        by_path = _headers(spark, paths, sep)
         for path in paths:
-            key = next((h for p, h in by_path.items() if p.rstrip("/") == path or p.split(":", 1)[-1].lstrip("/")
-                        == path.split(":", 1)[-1].lstrip("/")), None)
-            if key is not None:
-                groups.setdefault(key, []).append(path)
+            header = _header(spark, path, sep)
+            if header:
+                groups.setdefault(header, []).append(path)
         frames = [
             spark.read.option("header", True).option("sep", sep)
             .schema(", ".join(f"`{c}` STRING" for c in header)).csv(files)
