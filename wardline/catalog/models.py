@@ -1 +1,101 @@
-"""Placeholder section."""
+"""Regressions.  A saturated model has a closed form, which is the SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardline.catalog.registry import query, rounded, view, views
+from wardline.catalog.weighting import _MULTI, people, weighted_multi
+from wardline.operators.design import Factor, Interaction
+from wardline.operators.models import glance, logit, neg_binomial, ratio_table, svy_logit, tidy, zinb
+
+_CELLS = """, c AS (SELECT SUM(CASE WHEN sex = 'M' AND outcome = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS a, SUM(CASE WHEN sex = 'M' AND outcome = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS b,
+SUM(CASE WHEN sex = 'F' AND outcome = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS c, SUM(CASE WHEN sex = 'F' AND outcome = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS d FROM patients)"""
+
+
+@query("logit_ratio", views("patients") + _CELLS + """ SELECT 'sexM' AS term, ROUND(a * d / (b * c), 6) AS ratio,
+ROUND(a * d / (b * c) * EXP(-1.959963984540054 * SQRT(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS conf_low,
+ROUND(a * d / (b * c) * EXP(1.959963984540054 * SQRT(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS conf_high FROM c
+UNION ALL SELECT '(Intercept)', ROUND(c / d, 6), ROUND(c / d * EXP(-1.959963984540054 * SQRT(1 / c + 1 / d)), 6), ROUND(c / d * EXP(1.959963984540054 * SQRT(1 / c + 1 / d)), 6) FROM c""")
+def _(spark, sf):
+    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])))
+
+
+@query("logit_tidy", views("patients") + _CELLS + """, t AS (SELECT 'sexM' AS term, LN(a * d / (b * c)) AS e, SQRT(1 / a + 1 / b + 1 / c + 1 / d) AS s FROM c
+UNION ALL SELECT '(Intercept)', LN(c / d), SQRT(1 / c + 1 / d) FROM c)
+SELECT term, ROUND(e, 6) AS estimate, ROUND(s, 6) AS std_error, ROUND(e / s, 6) AS statistic FROM t""")
+def _(spark, sf):
+    return rounded(tidy(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])).drop("p_value"))
+
+
+@query("logit_glance", views("patients") + """, g AS (SELECT sex, COUNT(*)::DOUBLE AS n, AVG(outcome) AS p FROM patients GROUP BY sex),
+l AS (SELECT SUM(n) AS n, SUM(n * (p * LN(p) + (1 - p) * LN(1 - p))) AS ll FROM g)
+SELECT CAST(n AS BIGINT) AS n, ROUND(ll, 6) AS loglik, ROUND(-2 * ll, 6) AS minus_2_loglik, ROUND(-2 * ll + 4, 6) AS aic, '' AS dropped FROM l""")
+def _(spark, sf):
+    return rounded(glance(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])))
+
+
+@query("logit_adjusted")
+def _(spark, sf):
+    terms = [Factor("sex"), Factor("arm", ("Did not use", "Paxlovid only", "Molnupiravir only")), Factor("segment"), "age"]
+    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", terms)))
+
+
+@query("logit_profile_interval")
+def _(spark, sf):
+    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))]), interval="profile"), 5)
+
+
+@query("survey_logit", views("patients") + _MULTI + """, g AS (SELECT CASE WHEN arm = 'Did not use' THEN 0 WHEN arm = 'Paxlovid only' THEN 1 ELSE 2 END AS k,
+SUM(weight) AS w, SUM(weight * outcome) / SUM(weight) AS p, (SELECT COUNT(*) FROM y)::DOUBLE AS n FROM y GROUP BY 1),
+v AS (SELECT CASE WHEN y.arm = 'Did not use' THEN 0 WHEN y.arm = 'Paxlovid only' THEN 1 ELSE 2 END AS k, weight, outcome FROM y),
+h AS (SELECT g.k, LN(g.p / (1 - g.p)) AS lo, g.n / (g.n - 1) * SUM(POWER(v.weight * (v.outcome - g.p), 2)) / POWER(g.w * g.p * (1 - g.p), 2) AS var FROM g JOIN v ON v.k = g.k GROUP BY g.k, g.p, g.w, g.n)
+SELECT CASE a.k WHEN 0 THEN '(Intercept)' WHEN 1 THEN 'armPaxlovid only' ELSE 'armMolnupiravir only' END AS term,
+ROUND(a.lo - CASE WHEN a.k = 0 THEN 0 ELSE b.lo END, 6) AS estimate, ROUND(SQRT(a.var + CASE WHEN a.k = 0 THEN 0 ELSE b.var END), 6) AS std_error FROM h a, h b WHERE b.k = 0""")
+def _(spark, sf):
+    arm = Factor("arm", ("Did not use", "Paxlovid only", "Molnupiravir only"))
+    return rounded(tidy(svy_logit(weighted_multi(spark, sf), "outcome", [arm], "weight")).select("term", "estimate", "std_error"))
+
+
+@query("interaction_logit", views("patients") + """, g AS (SELECT sex, from_elderly_home AS h, LN(AVG(outcome) / (1 - AVG(outcome))) AS lo FROM patients GROUP BY 1, 2),
+c AS (SELECT MAX(lo) FILTER (WHERE sex = 'F' AND h = 'N') AS f0, MAX(lo) FILTER (WHERE sex = 'M' AND h = 'N') AS m0,
+MAX(lo) FILTER (WHERE sex = 'F' AND h = 'Y') AS f1, MAX(lo) FILTER (WHERE sex = 'M' AND h = 'Y') AS m1 FROM g)
+SELECT '(Intercept)' AS term, ROUND(f0, 6) AS estimate FROM c UNION ALL SELECT 'sexM', ROUND(m0 - f0, 6) FROM c
+UNION ALL SELECT 'from_elderly_homeY', ROUND(f1 - f0, 6) FROM c UNION ALL SELECT 'sexM:from_elderly_homeY', ROUND(m1 - m0 - f1 + f0, 6) FROM c""")
+def _(spark, sf):
+    sex, home = Factor("sex"), Factor("from_elderly_home")
+    fit = logit(view(spark, sf, "patients"), "outcome", [sex, home, Interaction(sex, home)])
+    return rounded(tidy(fit).select("term", "estimate"))
+
+
+@query("neg_binomial_ratio", views("patients") + """, g AS (SELECT sex, AVG(los) AS m FROM patients WHERE outcome = 0 GROUP BY sex)
+SELECT '(Intercept)' AS term, ROUND(m, 5) AS ratio FROM g WHERE sex = 'F'
+UNION ALL SELECT 'sexM', ROUND(a.m / b.m, 5) FROM g a, g b WHERE a.sex = 'M' AND b.sex = 'F'""")
+def _(spark, sf):
+    fit = neg_binomial(view(spark, sf, "patients"), "los", [Factor("sex")], where=F.col("outcome") == 0)
+    return rounded(ratio_table(fit).select("term", "ratio"), 5)
+
+
+@query("neg_binomial_exposure")
+def _(spark, sf):
+    fit = neg_binomial(people(spark, sf), "los", [Factor("sex"), Factor("arm"), "age"], "fu", where=F.col("outcome") == 0)
+    return rounded(tidy(fit), 5)
+
+
+@query("neg_binomial_weighted")
+def _(spark, sf):
+    return rounded(ratio_table(neg_binomial(weighted_multi(spark, sf), "los", [Factor("sex"), Factor("arm")], "fu", "weight")), 5)
+
+
+@query("zero_inflated_neg_binomial")
+def _(spark, sf):
+    stays = view(spark, sf, "patients").withColumn("los", F.when(F.col("age") % 4 == 0, 0).otherwise(F.col("los")))
+    return rounded(tidy(zinb(stays, "los", [Factor("sex")], "fu", "w")), 5)
+
+
+@query("subset_logit", views("patients") + """, c AS (SELECT COUNT(*) FILTER (WHERE sex = 'M' AND outcome = 1)::DOUBLE AS a, COUNT(*) FILTER (WHERE sex = 'M' AND outcome = 0)::DOUBLE AS b,
+COUNT(*) FILTER (WHERE sex = 'F' AND outcome = 1)::DOUBLE AS c, COUNT(*) FILTER (WHERE sex = 'F' AND outcome = 0)::DOUBLE AS d FROM patients WHERE age >= 60)
+SELECT 'sexM' AS term, ROUND(a * d / (b * c), 6) AS ratio FROM c UNION ALL SELECT '(Intercept)', ROUND(c / d, 6) FROM c""")
+def _(spark, sf):
+    fit = logit(view(spark, sf, "patients"), "outcome", [Factor("sex")], where=F.col("age") >= 60)
+    return rounded(ratio_table(fit).select("term", "ratio"))

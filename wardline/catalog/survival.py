@@ -1 +1,120 @@
-"""Placeholder section."""
+"""Kaplan-Meier, log-rank and Cox models over days to the next admission."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardline.catalog.registry import FOLLOWED, followed, query, rounded, views
+from wardline.operators.design import Factor
+from wardline.operators.models import ratio_table, tidy
+from wardline.operators.survival import (cox, cox_residuals, kaplan_meier, logrank, median_survival, pairwise_logrank,
+                                         ph_test, risk_table, schoenfeld)
+
+BASE = views("patients", "stays").rstrip() + "," + FOLLOWED
+
+
+def _km_sql(weight: str) -> str:
+    return BASE + f""", d AS (SELECT arm, fu AS time, SUM({weight}) AS n, SUM(CASE WHEN event = 1 THEN {weight} ELSE 0 END) AS e FROM followed GROUP BY 1, 2),
+r AS (SELECT *, SUM(n) OVER (PARTITION BY arm ORDER BY time DESC) AS risk FROM d),
+km AS (SELECT arm, time, risk AS n_risk, e AS n_event, n - e AS n_censor,
+CASE WHEN MIN(risk - e) OVER w < 1e-9 THEN 0 ELSE EXP(SUM(LN(CASE WHEN risk - e < 1e-9 THEN 1 ELSE 1 - e / risk END)) OVER w) END AS survival,
+SUM(CASE WHEN risk > e THEN e / (risk * (risk - e)) END) OVER w AS gw FROM r WINDOW w AS (PARTITION BY arm ORDER BY time))"""
+
+
+@query("kaplan_meier", _km_sql("1.0::DOUBLE") + """ SELECT arm, time, n_risk, n_event, n_censor, ROUND(survival, 6) AS survival,
+ROUND(CASE WHEN survival > 0 THEN survival * SQRT(gw) END, 6) AS std_error, ROUND(CASE WHEN survival > 0 THEN -LN(survival) END, 6) + 0.0 AS cum_hazard FROM km""")
+def _(spark, sf):
+    return rounded(kaplan_meier(followed(spark, sf), "fu", "event", "arm"))
+
+
+@query("kaplan_meier_weighted", _km_sql("w") + """ SELECT arm, time, n_risk, n_event, n_censor, ROUND(survival, 6) AS survival,
+ROUND(CASE WHEN survival > 0 THEN survival * SQRT(gw) END, 6) AS std_error, ROUND(CASE WHEN survival > 0 THEN -LN(survival) END, 6) + 0.0 AS cum_hazard FROM km""")
+def _(spark, sf):
+    return rounded(kaplan_meier(followed(spark, sf), "fu", "event", "arm", "w"))
+
+
+@query("risk_table", BASE + """, t AS (SELECT UNNEST([0, 100, 300, 1000]) AS at), a AS (SELECT DISTINCT arm FROM followed)
+SELECT a.arm, CAST(t.at AS INT) AS at, (SELECT COUNT(*) FROM followed f WHERE f.arm = a.arm AND f.fu >= t.at)::DOUBLE AS n_risk FROM a, t""")
+def _(spark, sf):
+    return risk_table(kaplan_meier(followed(spark, sf), "fu", "event", "arm"), [0, 100, 300, 1000], "arm").drop("survival")
+
+
+@query("median_survival", _km_sql("1.0::DOUBLE") + " SELECT arm, MIN(time) FILTER (WHERE survival <= 0.5) AS median FROM km GROUP BY arm")
+def _(spark, sf):
+    return median_survival(kaplan_meier(followed(spark, sf), "fu", "event", "arm"), "arm")
+
+
+def _two_arm(where: str) -> str:
+    return f"""x AS (SELECT fu, event, CASE WHEN arm = 'Did not use' THEN 0 ELSE 1 END AS g FROM followed {where}),
+d AS (SELECT fu AS t, COUNT(*)::DOUBLE AS m, SUM(g)::DOUBLE AS m1, SUM(event)::DOUBLE AS d, SUM(event * g)::DOUBLE AS d1 FROM x GROUP BY fu),
+r AS (SELECT *, SUM(m) OVER (ORDER BY t DESC) AS n, SUM(m1) OVER (ORDER BY t DESC) AS n1 FROM d),
+s AS (SELECT SUM(d1) AS o1, SUM(d) AS o, SUM(d * n1 / n) AS e1, SUM(CASE WHEN n > 1 THEN d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM r)"""
+
+
+@query("logrank", BASE + "," + _two_arm("") + """ SELECT '1' AS arm, (SELECT COUNT(*) FROM x WHERE g = 1) AS n, o1 AS observed, ROUND(e1, 6) AS expected,
+ROUND(POWER(o1 - e1, 2) / v, 6) AS chisq, 1 AS df FROM s UNION ALL SELECT '0', (SELECT COUNT(*) FROM x WHERE g = 0), o - o1, ROUND(o - e1, 6), ROUND(POWER(o1 - e1, 2) / v, 6), 1 FROM s""")
+def _(spark, sf):
+    f = followed(spark, sf).withColumn("g", F.when(F.col("arm") == "Did not use", 0).otherwise(1))
+    return rounded(logrank(f, "fu", "event", "g").drop("p_value"))
+
+
+@query("logrank_three_arms")
+def _(spark, sf):
+    return rounded(logrank(followed(spark, sf), "fu", "event", "arm"))
+
+
+_PAIRS = " UNION ALL ".join(
+    f"""SELECT '{a}' AS arm_a, '{b}' AS arm_b, fu, event, CASE WHEN arm = '{b}' THEN 1 ELSE 0 END AS g FROM followed WHERE arm IN ('{a}', '{b}')"""
+    for a, b in (("Did not use", "Molnupiravir only"), ("Did not use", "Paxlovid only"), ("Molnupiravir only", "Paxlovid only")))
+
+
+@query("pairwise_logrank", BASE + f""", x AS ({_PAIRS}),
+d AS (SELECT arm_a, arm_b, fu AS t, COUNT(*)::DOUBLE AS m, SUM(g)::DOUBLE AS m1, SUM(event)::DOUBLE AS d, SUM(event * g)::DOUBLE AS d1 FROM x GROUP BY 1, 2, 3),
+r AS (SELECT *, SUM(m) OVER w AS n, SUM(m1) OVER w AS n1 FROM d WINDOW w AS (PARTITION BY arm_a, arm_b ORDER BY t DESC)),
+s AS (SELECT arm_a, arm_b, SUM(d1) AS o1, SUM(d * n1 / n) AS e1, SUM(CASE WHEN n > 1 THEN d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM r GROUP BY 1, 2)
+SELECT arm_a, arm_b, ROUND(POWER(o1 - e1, 2) / v, 6) AS chisq FROM s""")
+def _(spark, sf):
+    return rounded(pairwise_logrank(followed(spark, sf), "fu", "event", "arm").select("arm_a", "arm_b", "chisq"))
+
+
+ARM = Factor("arm", ("Did not use", "Paxlovid only", "Molnupiravir only"))
+
+
+@query("cox")
+def _(spark, sf):
+    return rounded(tidy(cox(followed(spark, sf), "fu", "event", [ARM, Factor("sex"), "age"])), 5)
+
+
+@query("cox_weighted")
+def _(spark, sf):
+    return rounded(tidy(cox(followed(spark, sf), "fu", "event", [ARM], "w")), 5)
+
+
+@query("cox_stratified")
+def _(spark, sf):
+    return rounded(tidy(cox(followed(spark, sf), "fu", "event", [ARM, "age"], "w", ["sex", "segment"])), 5)
+
+
+@query("hazard_ratios")
+def _(spark, sf):
+    return rounded(ratio_table(cox(followed(spark, sf), "fu", "event", [ARM, Factor("sex")])), 5)
+
+
+@query("ph_test")
+def _(spark, sf):
+    return rounded(ph_test(cox(followed(spark, sf), "fu", "event", [ARM, Factor("sex")])), 5)
+
+
+@query("schoenfeld_residuals")
+def _(spark, sf):
+    return rounded(schoenfeld(cox(followed(spark, sf), "fu", "event", [Factor("sex")])), 5)
+
+
+@query("deviance_residuals")
+def _(spark, sf):
+    return rounded(cox_residuals(cox(followed(spark, sf), "fu", "event", [Factor("sex")], strata=["segment"])), 5)
+
+
+@query("martingale_residuals")
+def _(spark, sf):
+    return rounded(cox_residuals(cox(followed(spark, sf), "fu", "event", [Factor("sex")]), "martingale"), 5)

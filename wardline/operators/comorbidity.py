@@ -22,12 +22,15 @@ def _matches(code: Column, prefixes: str) -> Column:
 def charlson(dx: DataFrame, ref: str = "ref", code: str = "diagnosis_code") -> DataFrame:
     """17 flags per patient, without hierarchy, plus the no-disease flag.
 
-    The rules are column expressions, so diagnoses are flagged in the scan stage and one
-    combining aggregate per patient does the rest: no join with a code table, no pivot.
+    The rules are column expressions, so diagnoses are flagged in the scan stage: no join with
+    a code table, no pivot.  A diagnosis carries its flags as bits of one number, which one
+    combining aggregate per patient ORs together.
     """
     plain = F.upper(F.replace(F.trim(F.col(code)), F.lit("."), F.lit("")))
-    flagged = dx.select(ref, plain.alias("_code")).select(
-        ref, *[_matches(F.col("_code"), p).cast("int").alias(name)
-               for name, p in study.CHARLSON_PREFIXES.items()])
-    out = flagged.groupBy(ref).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in study.CHARLSON])
+    bits = F.lit(0)
+    for i, prefixes in enumerate(study.CHARLSON_PREFIXES.values()):
+        bits = bits + F.when(_matches(F.col("_code"), prefixes), 1 << i).otherwise(0)
+    flagged = dx.select(ref, plain.alias("_code")).select(ref, bits.alias("_bits"))
+    out = flagged.groupBy(ref).agg(F.bit_or("_bits").alias("_bits")).select(
+        ref, *[F.getbit("_bits", F.lit(i)).cast("int").alias(name) for i, name in enumerate(study.CHARLSON)])
     return out.withColumn("no_disease", no_disease())
