@@ -92,45 +92,40 @@ def _factors(terms):
 
 
 def design(df: DataFrame, terms, intercept: bool = True) -> Design:
-    """Encode terms.  Levels without rows and constant columns are dropped and reported."""
+    """Encode terms.  Levels without rows and constant columns are dropped and reported.
+
+    ``df`` is best the table of covariate patterns: it has the same levels as the people.
+    """
     terms = [t if isinstance(t, (Factor, Interaction)) else str(t) for t in terms]
     factors = list({f.name: f for f in _factors(terms)}.values())
+    plain = [t for t in terms if isinstance(t, str)]
+    probes = [F.collect_set(F.col(f.name).cast("string")).alias(f"f{i}") for i, f in enumerate(factors)]
+    probes += [(F.min(t) < F.max(t)).alias(f"v{i}") for i, t in enumerate(plain)]
+    seen = df.agg(*probes).first() if probes else None
     levels: dict[str, list[str]] = {}
-    dropped: list[str] = []
-    if factors:
-        seen = df.agg(*[F.collect_set(F.col(f.name).cast("string")).alias(f.name) for f in factors]).first()
-        for f in factors:
-            present = set(seen[f.name])
-            if len(present) > MAX_LEVELS:
-                raise ValueError(f"{f.name} has more than {MAX_LEVELS} levels")
-            order = [str(x) for x in f.levels] or sorted(present)
-            levels[f.name] = [x for x in order if x in present]
-    names, exprs, groups = [], [], {}
-    sources: list[str] = []
+    for i, f in enumerate(factors):
+        present = set(seen[f"f{i}"])
+        if len(present) > MAX_LEVELS:
+            raise ValueError(f"{f.name} has more than {MAX_LEVELS} levels")
+        order = [str(x) for x in f.levels] or sorted(present)
+        levels[f.name] = [x for x in order if x in present]
+    constant = {t for i, t in enumerate(plain) if not seen[f"v{i}"]}
+    names, exprs, groups, sources, dropped = [], [], {}, term_sources(terms), []
     for t in terms:
-        cols = _columns(t, levels)
-        for s in _sources(t):
-            if s not in sources:
-                sources.append(s)
-        if not cols:
+        cols = [] if t in constant else _columns(t, levels)
+        if isinstance(t, Interaction) and cols:
+            spread = df.agg(*[(F.min(e) < F.max(e)).alias(f"c{i}") for i, (_, e) in enumerate(cols)]).first()
+            dropped += [name for i, (name, _) in enumerate(cols) if not spread[i]]
+            cols = [c for i, c in enumerate(cols) if spread[i]]
+        elif not cols:
             dropped.append(_term_name(t))
         for name, expr in cols:
-            groups.setdefault(_term_name(t), []).append(len(names))
+            groups.setdefault(_term_name(t), []).append(len(names) + (1 if intercept else 0))
             names.append(name)
             exprs.append(expr)
-    if exprs:
-        spread = df.agg(*[F.struct(F.min(e).alias("lo"), F.max(e).alias("hi")).alias(f"c{i}")
-                          for i, e in enumerate(exprs)]).first()
-        keep = [i for i in range(len(names)) if spread[i]["lo"] != spread[i]["hi"]]
-        dropped += [names[i] for i in range(len(names)) if i not in keep]
-        at = {old: new for new, old in enumerate(keep)}
-        groups = {g: [at[i] for i in idx if i in at] for g, idx in groups.items()}
-        groups = {g: idx for g, idx in groups.items() if idx}
-        names, exprs = [names[i] for i in keep], [exprs[i] for i in keep]
     if intercept:
         names, exprs = ["(Intercept)", *names], [F.lit(1.0), *exprs]
-        groups = {g: [i + 1 for i in idx] for g, idx in groups.items()}
-    return Design(names, exprs, sources, groups, dropped, intercept)
+    return Design(names, exprs, list(dict.fromkeys(sources)), groups, dropped, intercept)
 
 
 def complete(df: DataFrame, cols) -> DataFrame:
@@ -138,17 +133,22 @@ def complete(df: DataFrame, cols) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
-def patterns(df: DataFrame, d: Design, y: str, weight: str | None = None, offset: str | None = None,
-             keys=()) -> DataFrame:
-    """One row per distinct (covariates, response, offset): x, y, offset and weight sums."""
+def patterns(df: DataFrame, terms, y: str, weight: str | None = None, offset: str | None = None,
+             keys=(), intercept: bool = True) -> tuple[Design, DataFrame]:
+    """One row per distinct (covariates, response, offset) with weight sums, and its encoding.
+
+    This is the only pass over the people: levels, encoding and all fit steps use the
+    checkpointed patterns.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    group = list(dict.fromkeys([*keys, *d.sources]))
+    group = list(dict.fromkeys([*keys, *term_sources(terms)]))
     cols = [*[F.col(c) for c in group], F.col(y).cast("double").alias("_y"),
             (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_offset")]
-    summed = df.select(*cols, w.alias("_w")).groupBy(*group, "_y", "_offset").agg(
+    table = cut_lineage(df.select(*cols, w.alias("_w")).groupBy(*group, "_y", "_offset").agg(
         F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"),
-        F.count(F.lit(1)).alias("_n"))
-    return cut_lineage(summed.select(*keys, d.array().alias("_x"), "_y", "_offset", "_w", "_w2", "_n"))
+        F.count(F.lit(1)).alias("_n")))
+    d = design(table, terms, intercept)
+    return d, table.select(*keys, d.array().alias("_x"), "_y", "_offset", "_w", "_w2", "_n")
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -183,14 +183,6 @@ def sum_blocks(df: DataFrame, size: int, block) -> np.ndarray:
     return out
 
 
-def linear(names_betas, exprs) -> Column:
-    """Linear predictor as one column expression."""
-    total = F.lit(0.0)
-    for b, e in zip(names_betas, exprs):
-        total = total + F.lit(float(b)) * e
-    return total
-
-
 def dot(x: str, beta) -> Column:
     """Linear predictor from the array column."""
     total = F.lit(0.0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.tails import (chi2_quantile_1df, normal_quantile, normal_two_sided, t_quantile,
                                       t_two_sided)
-from wardline.operators.design import (Design, column, complete, design, matrix, patterns, sum_blocks, term_sources)
+from wardline.operators.design import Design, column, complete, matrix, patterns, sum_blocks, term_sources
 
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
 RATIO = "term string, ratio double, conf_low double, conf_high double"
@@ -104,8 +104,7 @@ def logit(df: DataFrame, y: str, terms, weight: str | None = None, where=None, o
     """Logistic regression with maximum-likelihood covariance."""
     df = df if where is None else df.filter(where)
     df = complete(df, {y, *term_sources(terms), *([weight] if weight else []), *([offset] if offset else [])})
-    d = design(df, terms)
-    table = patterns(df, d, y, weight, offset)
+    d, table = patterns(df, terms, y, weight, offset)
     beta, sums = fit_logit_patterns(table, d.width)
     n = int(sums.n)
     return Fit(df.sparkSession, "logit", d, beta, np.linalg.inv(sums.info), sums.like, n, n - d.width, table, df,
@@ -289,8 +288,7 @@ def neg_binomial(df: DataFrame, y: str, terms, offset: str | None = None, weight
     if offset:
         df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
         log_exposure = "_log_exposure"
-    d = design(df, terms)
-    table = patterns(df, d, y, weight, log_exposure)
+    d, table = patterns(df, terms, y, weight, log_exposure)
     beta, theta, like, sums = _nb_fit(table, d.width)
     n = table.agg(F.sum("_n").alias("n")).first().n
     return Fit(df.sparkSession, "neg_binomial", d, beta, np.linalg.inv(sums[0]), like, int(n), None, table, df,
@@ -350,8 +348,7 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
     if offset:
         df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
         log_exposure = "_log_exposure"
-    d = design(df, terms)
-    table = patterns(df, d, y, weight, log_exposure)
+    d, table = patterns(df, terms, y, weight, log_exposure)
     beta, theta, _, _ = _nb_fit(table, d.width, tol=1e-4)
     share = table.agg((F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)) / F.sum("_w")).alias("z")).first().z
     pi = min(max(share / 2, 1e-3), 0.9)

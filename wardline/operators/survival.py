@@ -19,7 +19,7 @@ from wardline.operators.design import (Design, column, complete, design, dot, ma
 from wardline.operators.models import Fit, _rows_frame
 from wardline.session import cut_lineage
 
-BROADCAST_ROWS = 100_000
+SMALL_DAYS = 200_000
 MAX_ARMS = 50
 
 
@@ -139,44 +139,164 @@ def pairwise_logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame
 TIE_SUMS = ("a0", "a1", "c0", "c1", "c2", "ll")
 
 
-def _tie_sums(batches):
+def _tie_arrays(d: np.ndarray, s0: np.ndarray, d0: np.ndarray) -> np.ndarray:
     """Sums over the tied events of a day: with s = S0 - f*D0 and f = l/d, l = 0..d-1,
     of 1/s, f/s, 1/s^2, f/s^2, f^2/s^2 and log s."""
+    out = np.zeros((len(TIE_SUMS), len(d)))
+    for i in np.flatnonzero(d > 0):
+        for lo in range(0, int(d[i]), 1 << 20):
+            f = np.arange(lo, min(int(d[i]), lo + (1 << 20))) / d[i]
+            s = s0[i] - f * d0[i]
+            a = 1 / s
+            out[:, i] += [a.sum(), (a * f).sum(), (a * a).sum(), (a * a * f).sum(), (a * a * f * f).sum(),
+                          np.log(s).sum()]
+    return out
+
+
+def _tie_sums(batches):
     for batch in batches:
-        d, s0, d0 = column(batch, "dn"), column(batch, "S0"), column(batch, "d0")
-        out = np.zeros((len(TIE_SUMS), len(d)))
-        for i in np.flatnonzero(d > 0):
-            for lo in range(0, int(d[i]), 1 << 20):
-                f = np.arange(lo, min(int(d[i]), lo + (1 << 20))) / d[i]
-                s = s0[i] - f * d0[i]
-                a = 1 / s
-                out[:, i] += [a.sum(), (a * f).sum(), (a * a).sum(), (a * a * f).sum(), (a * a * f * f).sum(),
-                              np.log(s).sum()]
-        arrays = [*batch.columns, *[pa.array(row) for row in out]]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *TIE_SUMS])
+        out = _tie_arrays(column(batch, "dn"), column(batch, "S0"), column(batch, "d0"))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(row) for row in out]],
+                                         names=[*batch.schema.names, *TIE_SUMS])
+
+
+def _event_terms(days: dict, powers, p: int):
+    """Log-likelihood, scores and (negative) mean products of the event days."""
+    s1, d1, dx, wb, gg = days["S1"], days["D1"], days["DX"], days["wbar"], days["g"]
+    a0, a1, c0, c1, c2, ll = (days[c] for c in TIE_SUMS)
+    score, info = np.zeros((3, p)), np.zeros((3, p, p))
+    u = dx - wb[:, None] * (a0[:, None] * s1 - a1[:, None] * d1)
+    for k in powers:
+        f = wb * gg ** k
+        score[k] = (u * (gg ** k)[:, None]).sum(0)
+        cross = (s1 * (f * c1)[:, None]).T @ d1
+        info[k] = -((s1 * (f * c0)[:, None]).T @ s1 - cross - cross.T + (d1 * (f * c2)[:, None]).T @ d1)
+    return float(np.sum(days["deta"] - wb * ll)), score, info
 
 
 class CoxTable:
-    """Pattern rows of a Cox model and the day table at a coefficient vector."""
-
-    def __init__(self, df: DataFrame, time: str, event: str, d: Design, weight: str | None, strata: list[str]):
-        self.p, self.strata, self.keys = d.width, strata, [*(strata or []), "_t"]
-        group = list(dict.fromkeys([*strata, *d.sources]))
-        rows = df.select(*[F.col(c) for c in group], F.col(time).alias("_t"), F.col(event).cast("int").alias("_d"),
-                         _weight(weight).alias("_w"))
-        center = rows.agg(F.sum("_w"), *[F.sum(F.col("_w") * e) for e in d.exprs]).first()
-        self.means = [float(c / center[0]) for c in center[1:]]
-        summed = rows.groupBy(*group, "_t", "_d").agg(
+    """Pattern rows of a Cox model and the day table at a coefficient vector.
+
+    The day table has one row per (stratum, day) with p values each.  Up to SMALL_DAYS rows
+    it is summed up on Spark and finished on the driver; beyond that it stays on Spark, with
+    windows for its running sums.  Both give the same numbers.
+    """
+
+    def __init__(self, df: DataFrame, time: str, event: str, terms, weight: str | None, strata: list[str],
+                 small_days: int = SMALL_DAYS):
+        self.spark, self.strata, self.keys = df.sparkSession, strata, [*strata, "_t"]
+        group = list(dict.fromkeys([*strata, *term_sources(terms)]))
+        summed = df.select(*[F.col(c) for c in group], F.col(time).alias("_t"), F.col(event).cast("int").alias("_d"),
+                           _weight(weight).alias("_w")).groupBy(*group, "_t", "_d").agg(
             F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.count(F.lit(1)).alias("_n"))
+        self.rows = cut_lineage(summed)
+        self.design = d = design(self.rows, terms, intercept=False)
+        self.p = d.width
+        center = self.rows.agg(F.sum("_w"), F.sum("_n"), F.sum(F.col("_n") * F.col("_d")),
+                               *[F.sum(F.col("_w") * e) for e in d.exprs]).first()
+        self.n, self.events = int(center[1]), int(center[2])
+        self.means = [float(c / center[0]) for c in center[3:]]
         shifted = F.array(*[(e - F.lit(m)).cast("double") for e, m in zip(d.exprs, self.means)])
-        self.rows = cut_lineage(summed.select(*strata, "_t", "_d", "_w", "_w2", "_n", shifted.alias("_x")))
-        self.small_days = self.rows.select(*self.keys).distinct().count() <= BROADCAST_ROWS
+        self.rows = self.rows.select(*strata, "_t", "_d", "_w", "_w2", "_n", shifted.alias("_x"))
+        table = self.rows.select(*self.keys).distinct().limit(small_days + 1).toPandas()
+        self.small_days = len(table) <= small_days
+        if self.small_days:
+            table = table.sort_values(self.keys, kind="stable", ignore_index=True)
+            table["_day"] = np.arange(len(table), dtype=np.int32)
+            self.day_keys = table
+            self.rows = cut_lineage(self.rows.join(F.broadcast(self.spark.createDataFrame(table)), self.keys))
+            new = np.ones(len(table), bool) if strata else np.zeros(len(table), bool)
+            if strata and len(table) > 1:
+                new[1:] = (table[strata].iloc[1:].to_numpy() != table[strata].iloc[:-1].to_numpy()).any(1)
+            new[:1] = True
+            self.block_of = np.cumsum(new) - 1
+
+    # --- the small day table ---------------------------------------------------------------------
+
+    def _day_sums(self, beta) -> np.ndarray:
+        """Per day: risk and event sums, in the order r0 d0 dw deta dn r1.. d1.. dx.."""
+        p, width = self.p, 5 + 3 * self.p
+
+        def per_task(batches):
+            days = np.zeros(0, np.int64)
+            sums = np.zeros((0, width))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, w, ev = matrix(batch), column(batch, "_w"), column(batch, "_d").astype(float)
+                eta = x @ beta
+                r = w * np.exp(eta)
+                cells = np.column_stack([r, ev * r, ev * w, ev * w * eta, ev * column(batch, "_n"), r[:, None] * x,
+                                         (ev * r)[:, None] * x, (ev * w)[:, None] * x])
+                both = np.concatenate([days, column(batch, "_day")])
+                days, at = np.unique(both, return_inverse=True)
+                merged = np.zeros((len(days), width))
+                np.add.at(merged, at, np.concatenate([sums, cells]))
+                sums = merged
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(days.astype(np.int32), width)),
+                 pa.array(np.tile(np.arange(width, dtype=np.int32), len(days))), pa.array(sums.ravel())],
+                names=["day", "pos", "value"])
+
+        cells = self.rows.select("_x", "_w", "_d", "_n", "_day").mapInArrow(per_task, "day int, pos int, value double")
+        got = cells.groupBy("day", "pos").agg(F.sum("value").alias("value")).toPandas()
+        out = np.zeros((len(self.day_keys), width))
+        out[got["day"].to_numpy(), got["pos"].to_numpy()] = got["value"].to_numpy()
+        return out
+
+    def _within(self, values: np.ndarray, reverse: bool = False) -> np.ndarray:
+        """Running sums inside each stratum, from the last day back when reversed."""
+        block = self.block_of
+        if reverse:
+            values, block = values[::-1], block[::-1]
+        total = np.cumsum(values, axis=0)
+        first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        base = (total - values)[first]
+        out = total - np.repeat(base, np.diff([*first, len(block)]), axis=0)
+        return out[::-1] if reverse else out
+
+    def small(self, beta, g: np.ndarray | None = None) -> dict:
+        p, sums = self.p, self._day_sums(beta)
+        r0, d0, dw, deta, dn = sums[:, :5].T
+        risk = self._within(np.column_stack([r0, sums[:, 5:5 + p]]), reverse=True)
+        days = {"S0": risk[:, 0], "S1": risk[:, 1:], "d0": d0, "D1": sums[:, 5 + p:5 + 2 * p], "dw": dw, "deta": deta,
+                "dn": dn, "DX": sums[:, 5 + 2 * p:], "g": np.zeros(len(r0)) if g is None else g,
+                **dict(zip(TIE_SUMS, _tie_arrays(dn, risk[:, 0], d0)))}
+        days["wbar"] = np.divide(dw, dn, out=np.zeros_like(dw), where=dn > 0)
+        for k in range(3):
+            days[f"h{k}"] = self._within(days["wbar"] * days["a0"] * days["g"] ** k)
+        return days
+
+    def _small_derivatives(self, beta, g: np.ndarray | None):
+        p, powers = self.p, ((0, 1, 2) if g is not None else (0,))
+        days = self.small(beta, g)
+        hazard = np.array([days[f"h{k}"] for k in powers])
+        own = np.array([days["wbar"] * days["a1"] * days["g"] ** k for k in powers])
+
+        def block(batch):
+            x, day = matrix(batch), column(batch, "_day")
+            r = column(batch, "_w") * np.exp(x @ beta)
+            h = r * (hazard[:, day] - own[:, day] * column(batch, "_d"))
+            return np.concatenate([((x * hk[:, None]).T @ x).ravel() for hk in h])
+
+        grams = sum_blocks(self.rows.select("_x", "_w", "_d", "_day"), len(powers) * p * p, block)
+        like, score, info = _event_terms(days, powers, p)
+        for k in powers:
+            info[k] += grams.reshape(len(powers), p, p)[k]
+        return like, score, info
+
+    # --- the day table on Spark --------------------------------------------------------------------
 
     def scored(self, beta) -> DataFrame:
         return self.rows.withColumn("_eta", dot("_x", beta)).withColumn("_r", F.col("_w") * F.exp("_eta"))
 
     def days(self, beta, g: DataFrame | None = None) -> DataFrame:
         """Per (stratum, day): risk-set sums, event sums, tie sums and running hazard sums."""
+        if self.small_days:
+            table = self.day_keys.drop(columns="_day")
+            for name, values in self.small(beta).items():
+                table[name] = list(values)
+            return self.spark.createDataFrame(table)
         ev, x = F.col("_d") == 1, [F.col("_x")[j] for j in range(self.p)]
         on_event = lambda c: F.sum(F.when(ev, c).otherwise(0.0))
         r, w = F.col("_r"), F.col("_w")
@@ -198,7 +318,7 @@ class CoxTable:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
         ties = flat.mapInArrow(_tie_sums, schema + "".join(f", {c} double" for c in TIE_SUMS))
         if g is not None:
-            ties = ties.join(F.broadcast(g) if self.small_days else g, "_t", "left").fillna({"g": 0.0})
+            ties = ties.join(g, "_t", "left").fillna({"g": 0.0})
         else:
             ties = ties.withColumn("g", F.lit(0.0))
         wbar = F.when(F.col("dn") > 0, F.col("dw") / F.col("dn")).otherwise(0.0)
@@ -217,12 +337,17 @@ class CoxTable:
                                    "h2": F.col("h2") - own * F.col("g") * F.col("g")})
 
     def derivatives(self, beta, g: DataFrame | None = None):
-        """Log-likelihood, score and information; with g also their g- and g^2-weighted forms.
+        """Log-likelihood, score and information; with g(t) also their g- and g^2-weighted forms.
 
         The second-moment sum over event days is turned around: each row adds r*h*xx' with its
         accumulated hazard h, so the day table holds p values per day and never p x p.
         """
         p = self.p
+        if self.small_days:
+            at = None
+            if g is not None:
+                at = self.day_keys[["_t"]].merge(g.toPandas(), on="_t", how="left")["g"].fillna(0.0).to_numpy()
+            return self._small_derivatives(np.asarray(beta, float), at)
         days = self.days(beta, g)
         nul = lambda t: F.lit(None).cast(t)
         people = self.with_hazard(self.scored(beta), days).select(
@@ -244,16 +369,10 @@ class CoxTable:
                     info[k] += (x * column(rows, f"h{k}")[:, None]).T @ x
             evs = batch.filter(pa.array(kind == 1))
             if evs.num_rows:
-                s1, d1, dx = matrix(evs, "S1"), matrix(evs, "D1"), matrix(evs, "DX")
-                wb, gg = column(evs, "wbar"), column(evs, "g")
-                a0, a1, c0, c1, c2, ll = (column(evs, c) for c in TIE_SUMS)
-                like = np.sum(column(evs, "deta") - wb * ll)
-                u = dx - wb[:, None] * (a0[:, None] * s1 - a1[:, None] * d1)
-                for k in powers:
-                    f = wb * gg ** k
-                    score[k] += (u * (gg ** k)[:, None]).sum(0)
-                    cross = (s1 * (f * c1)[:, None]).T @ d1
-                    info[k] -= (s1 * (f * c0)[:, None]).T @ s1 - cross - cross.T + (d1 * (f * c2)[:, None]).T @ d1
+                table = {c: matrix(evs, c) for c in ("S1", "D1", "DX")}
+                table |= {c: column(evs, c) for c in ("wbar", "g", "deta", *TIE_SUMS)}
+                like, score, negative = _event_terms(table, powers, p)
+                info += negative
             return np.concatenate([[like], score.ravel(), info.ravel()])
 
         s = sum_blocks(people.unionByName(events), 1 + 3 * p + 3 * p * p, block)
@@ -261,7 +380,7 @@ class CoxTable:
 
 
 def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None, strata=(), robust: bool | None = None,
-        where=None, tol: float = 1e-9, max_iter: int = 30) -> Fit:
+        where=None, tol: float = 1e-9, max_iter: int = 30, small_days: int = SMALL_DAYS) -> Fit:
     """Proportional hazards with Efron ties, optional weights and strata.
 
     With weights the variance is the robust sandwich unless ``robust=False``.
@@ -269,8 +388,8 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
     df = df if where is None else df.filter(where)
     strata = list(strata)
     df = complete(df, {time, event, *term_sources(terms), *strata, *([weight] if weight else [])})
-    d = design(df, terms, intercept=False)
-    table = CoxTable(df, time, event, d, weight, strata)
+    table = CoxTable(df, time, event, terms, weight, strata, small_days)
+    d = table.design
     beta = np.zeros(d.width)
     like, score, info = table.derivatives(beta)
     null_like = like
@@ -289,9 +408,8 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
     naive = np.linalg.inv(info[0])
     robust = weight is not None if robust is None else robust
     cov = naive @ _score_squares(table, beta) @ naive if robust else naive
-    counts = table.rows.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_d")).alias("events")).first()
-    return Fit(df.sparkSession, "cox", d, beta, cov, like, int(counts.n), None, table.rows, df,
-               {"table": table, "naive": naive, "null_loglik": null_like, "events": int(counts.events), "time": time,
+    return Fit(df.sparkSession, "cox", d, beta, cov, like, table.n, None, table.rows, df,
+               {"table": table, "naive": naive, "null_loglik": null_like, "events": table.events, "time": time,
                 "event": event, "weight": weight, "strata": strata})
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.design import Design, complete, design, patterns, term_sources
+from wardline.operators.design import Design, complete, patterns, term_sources
 from wardline.operators.models import _rows_frame, fit_logit_patterns
 from wardline.operators.tables import _variance, collect_moments
 
@@ -29,8 +29,8 @@ def propensity(df: DataFrame, treatment: str, covariates, name: str = "ps") -> D
     The score is attached as an expression on the row itself: no join back.
     """
     used = complete(df, [treatment, *term_sources(covariates)])
-    d = design(used, covariates)
-    beta, _ = fit_logit_patterns(patterns(used, d, treatment), d.width)
+    d, table = patterns(used, covariates, treatment)
+    beta, _ = fit_logit_patterns(table, d.width)
     return df.withColumn(name, _score(d, beta))
 
 
@@ -48,13 +48,11 @@ def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, sta
     share of people.  People without an arm get no weight.
     """
     used = complete(df, [treatment, *term_sources(covariates)])
-    shares = {r[treatment]: r["n"] for r in
-              used.groupBy(treatment).agg(F.count(F.lit(1)).alias("n")).limit(101).collect()}
+    d, table = patterns(used.withColumn("_one", F.lit(1)), covariates, "_one", keys=[treatment])
+    shares = {r[treatment]: r["n"] for r in table.groupBy(treatment).agg(F.sum("_n").alias("n")).limit(101).collect()}
     if len(shares) > 100:
         raise ValueError("too many arms")
     total = sum(shares.values())
-    d = design(used, covariates)
-    table = patterns(used.withColumn("_one", F.lit(1)), d, "_one", keys=[treatment])
     fitted = {}
     for arm in sorted(shares):
         rows = table.withColumn("_y", F.when(F.col(treatment) == arm, 1.0).otherwise(0.0))
