@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import study
-from wardline.functions.exprs import any_of
 from wardline.functions.rules import no_disease
 
 
-def _matches(code: Column, prefixes: str) -> Column:
-    """Prefix tests, a range ``a-b`` comparing the leading characters as text."""
-    tests = []
-    for item in prefixes.split():
-        low, _, high = item.partition("-")
-        tests.append(F.substring(code, 1, len(low)).between(low, high) if high else code.startswith(low))
-    return any_of(tests)
+def _expand(item: str) -> list[str]:
+    """A prefix, or an inclusive range of equally long numeric prefixes."""
+    low, _, high = item.partition("-")
+    return [str(i).zfill(len(low)) for i in range(int(low), int(high) + 1)] if high else [low]
+
+
+def prefix_table(spark: SparkSession, length: int) -> DataFrame:
+    """All prefixes of one length with their flags as bits: a code list of fixed size."""
+    bits: dict[str, int] = {}
+    for i, prefixes in enumerate(study.CHARLSON_PREFIXES.values()):
+        for item in prefixes.split():
+            for prefix in _expand(item):
+                if len(prefix) == length:
+                    bits[prefix] = bits.get(prefix, 0) | 1 << i
+    return spark.createDataFrame(sorted(bits.items()), f"_p{length} string, _b{length} int")
 
 
 def charlson(dx: DataFrame, ref: str = "ref", code: str = "diagnosis_code") -> DataFrame:
     """17 flags per patient, without hierarchy, plus the no-disease flag.
 
-    The rules are column expressions, so diagnoses are flagged in the scan stage: no join with
-    a code table, no pivot.  A diagnosis carries its flags as bits of one number, which one
+    Prefixes have 3, 4 or 5 characters, so a diagnosis meets three fixed code lists by hash
+    (broadcast: they never grow with the data).  Its flags are bits of one number, which one
     combining aggregate per patient ORs together.
     """
     plain = F.upper(F.replace(F.trim(F.col(code)), F.lit("."), F.lit("")))
+    rows = dx.select(ref, plain.alias("_code"))
     bits = F.lit(0)
-    for i, prefixes in enumerate(study.CHARLSON_PREFIXES.values()):
-        bits = bits + F.when(_matches(F.col("_code"), prefixes), 1 << i).otherwise(0)
-    flagged = dx.select(ref, plain.alias("_code")).select(ref, bits.alias("_bits"))
-    out = flagged.groupBy(ref).agg(F.bit_or("_bits").alias("_bits")).select(
+    for length in (3, 4, 5):
+        rows = rows.withColumn(f"_p{length}", F.substring("_code", 1, length)).join(
+            F.broadcast(prefix_table(dx.sparkSession, length)), f"_p{length}", "left")
+        bits = bits.bitwiseOR(F.coalesce(f"_b{length}", F.lit(0)))
+    out = rows.select(ref, bits.alias("_bits")).groupBy(ref).agg(F.bit_or("_bits").alias("_bits")).select(
         ref, *[F.getbit("_bits", F.lit(i)).cast("int").alias(name) for i, name in enumerate(study.CHARLSON)])
     return out.withColumn("no_disease", no_disease())

@@ -183,6 +183,21 @@ def sum_blocks(df: DataFrame, size: int, block) -> np.ndarray:
     return out
 
 
+def solve(info: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Newton direction; aliased columns share it (least norm) instead of stopping the fit."""
+    try:
+        return np.linalg.solve(info, score)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(info) @ score
+
+
+def invert(info: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.inv(info)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(info)
+
+
 def dot(x: str, beta) -> Column:
     """Linear predictor from the array column."""
     total = F.lit(0.0)

@@ -9,9 +9,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.design import dot
+from wardline.operators.design import dot, invert
 from wardline.operators.grouping import top_n, with_index
-from wardline.operators.models import Fit, _rows_frame, logit
+from wardline.operators.models import Fit, logit, logit_pass, rows_frame
 
 
 def vif(fit: Fit) -> DataFrame:
@@ -27,7 +27,7 @@ def vif(fit: Fit) -> DataFrame:
         value = 1.0 if not rest else float(
             np.linalg.det(r[np.ix_(own, own)]) * np.linalg.det(r[np.ix_(rest, rest)]) / np.linalg.det(r))
         rows.append((name, value, len(own), value ** (1 / (2 * len(own)))))
-    return _rows_frame(fit.spark, rows, "term string, gvif double, df int, gvif_root double")
+    return rows_frame(fit.spark, rows, "term string, gvif double, df int, gvif_root double")
 
 
 def augment(fit: Fit, df: DataFrame | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def augment(fit: Fit, df: DataFrame | None = None) -> DataFrame:
     """
     df = fit.data if df is None else df
     y, weight = fit.extra["y"], fit.extra.get("weight")
-    inverse = np.linalg.inv(_information(fit)) if fit.kind == "svy_logit" else fit.cov
+    inverse = invert(_information(fit)) if fit.kind == "svy_logit" else fit.cov
 
     @F.pandas_udf("double")
     def quadratic(x: pd.Series) -> pd.Series:
@@ -60,8 +60,7 @@ def augment(fit: Fit, df: DataFrame | None = None) -> DataFrame:
 
 
 def _information(fit: Fit) -> np.ndarray:
-    from wardline.operators.models import _logit_pass
-    return _logit_pass(fit.patterns, fit.beta).info
+    return logit_pass(fit.patterns, fit.beta).info
 
 
 def influence_index(aug: DataFrame, key: str = "ref") -> DataFrame:
@@ -93,6 +92,6 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     rows = df.select([F.col(c).cast("double").alias(c) for c in cols]).dropna()
     vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(rows).select("v")
     m = Correlation.corr(vectors, "v").first()[0].toArray()
-    return _rows_frame(df.sparkSession,
+    return rows_frame(df.sparkSession,
                        [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)],
                        "a string, b string, r double")

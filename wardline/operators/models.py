@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.tails import (chi2_quantile_1df, normal_quantile, normal_two_sided, t_quantile,
                                       t_two_sided)
-from wardline.operators.design import Design, column, complete, matrix, patterns, sum_blocks, term_sources
+from wardline.operators.design import (Design, column, complete, invert, matrix, patterns, solve, sum_blocks,
+                                       term_sources)
 
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
 RATIO = "term string, ratio double, conf_low double, conf_high double"
@@ -59,7 +60,7 @@ class LogitSums:
     n: float
 
 
-def _logit_pass(table: DataFrame, beta: np.ndarray) -> LogitSums:
+def logit_pass(table: DataFrame, beta: np.ndarray) -> LogitSums:
     p = len(beta)
 
     def block(batch):
@@ -77,20 +78,22 @@ def _logit_pass(table: DataFrame, beta: np.ndarray) -> LogitSums:
                      s[p * p + p:2 * p * p + p].reshape(p, p), float(s[-2]), float(s[-1]))
 
 
-def fit_logit_patterns(table: DataFrame, p: int, tol: float = 1e-10, max_iter: int = 50
+def fit_logit_patterns(table: DataFrame, p: int, tol: float = 1e-6, max_iter: int = 50
                        ) -> tuple[np.ndarray, LogitSums]:
     """Newton steps, halved while the likelihood drops; one Spark job of p x p sums per step.
 
+    Newton squares its error, so a last step below 1e-6 leaves about 1e-12.
+
     Spark ML's own GLM starts from values that depend on the row weights, which drives it
     away on pattern rows whose weight is a count in the thousands.
     """
     beta = np.zeros(p)
-    now = _logit_pass(table, beta)
+    now = logit_pass(table, beta)
     for _ in range(max_iter):
-        move = np.linalg.solve(now.info, now.score)
+        move = solve(now.info, now.score)
         scale = 1.0
         while True:
-            new = _logit_pass(table, beta + scale * move)
+            new = logit_pass(table, beta + scale * move)
             if new.like >= now.like - 1e-12 * abs(now.like) or scale < 1e-6:
                 break
             scale /= 2
@@ -107,7 +110,7 @@ def logit(df: DataFrame, y: str, terms, weight: str | None = None, where=None, o
     d, table = patterns(df, terms, y, weight, offset)
     beta, sums = fit_logit_patterns(table, d.width)
     n = int(sums.n)
-    return Fit(df.sparkSession, "logit", d, beta, np.linalg.inv(sums.info), sums.like, n, n - d.width, table, df,
+    return Fit(df.sparkSession, "logit", d, beta, invert(sums.info), sums.like, n, n - d.width, table, df,
                {"y": y, "weight": weight, "offset": offset, "meat": sums.meat})
 
 
@@ -121,7 +124,7 @@ def svy_logit(df: DataFrame, y: str, terms, weight: str, where=None) -> Fit:
 
 # --- tables of coefficients -----------------------------------------------------------------------
 
-def _rows_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+def rows_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
@@ -135,22 +138,22 @@ def tidy(fit: Fit) -> DataFrame:
     for name, b, se in zip(fit.terms, fit.beta, fit.std_errors):
         z = float(b / se)
         rows.append((name, float(b), float(se), z, _p_value(fit, z)))
-    return _rows_frame(fit.spark, rows, TIDY)
+    return rows_frame(fit.spark, rows, TIDY)
 
 
 def glance(fit: Fit) -> DataFrame:
-    return _rows_frame(fit.spark, [(fit.n, fit.loglik, -2 * fit.loglik, fit.aic, ",".join(fit.design.dropped))],
+    return rows_frame(fit.spark, [(fit.n, fit.loglik, -2 * fit.loglik, fit.aic, ",".join(fit.design.dropped))],
                        "n long, loglik double, minus_2_loglik double, aic double, dropped string")
 
 
 def ratio_table(fit: Fit, level: float = 0.95, interval: str = "wald") -> DataFrame:
     """Odds, rate or hazard ratios with their interval; ``interval="profile"`` re-fits per bound."""
     if interval == "profile":
-        return _rows_frame(fit.spark, _profile_rows(fit, level), RATIO)
+        return rows_frame(fit.spark, _profile_rows(fit, level), RATIO)
     q = t_quantile(0.5 + level / 2, fit.df_resid) if fit.kind == "svy_logit" else normal_quantile(0.5 + level / 2)
     rows = [(name, math.exp(b), math.exp(b - q * se), math.exp(b + q * se))
             for name, b, se in zip(fit.terms, map(float, fit.beta), map(float, fit.std_errors))]
-    return _rows_frame(fit.spark, rows, RATIO)
+    return rows_frame(fit.spark, rows, RATIO)
 
 
 def _profile_rows(fit: Fit, level: float, steps: int = 30):
@@ -185,7 +188,7 @@ def _drop_function(fit: Fit, j: int):
         held = fit.patterns.withColumn("_offset", F.col("_offset") + F.lit(value) * F.col("_x")[j]).withColumn(
             "_x", F.array(*[F.col("_x")[i] for i in others]) if others else F.array(F.lit(0.0)))
         if fit.kind == "logit":
-            like = (fit_logit_patterns(held, len(others))[1] if others else _logit_pass(held, np.zeros(1))).like
+            like = (fit_logit_patterns(held, len(others))[1] if others else logit_pass(held, np.zeros(1))).like
         else:
             beta, theta, like, _ = _nb_fit(held, max(len(others), 1), free=len(others))
         return 2 * (fit.loglik - like)
@@ -260,7 +263,7 @@ def _nb_fit(table: DataFrame, p: int, free: int | None = None, weight: str = "_w
     sums = _nb_sums(table, beta, theta, weight)
     for _ in range(max_iter):
         info, score, t_score, t_info, like, _ = sums
-        move = np.linalg.solve(info, score) if free else np.zeros(p)
+        move = solve(info, score) if free else np.zeros(p)
         slope, curve = t_score * theta, t_info * theta ** 2 - t_score * theta
         t_move = float(np.clip(slope / curve if curve > 0 else np.sign(slope), -1, 1))
         scale = 1.0
@@ -291,7 +294,7 @@ def neg_binomial(df: DataFrame, y: str, terms, offset: str | None = None, weight
     d, table = patterns(df, terms, y, weight, log_exposure)
     beta, theta, like, sums = _nb_fit(table, d.width)
     n = table.agg(F.sum("_n").alias("n")).first().n
-    return Fit(df.sparkSession, "neg_binomial", d, beta, np.linalg.inv(sums[0]), like, int(n), None, table, df,
+    return Fit(df.sparkSession, "neg_binomial", d, beta, invert(sums[0]), like, int(n), None, table, df,
                {"theta": theta, "theta_se": 1 / math.sqrt(sums[3]) if sums[3] > 0 else None, "extra_params": 1,
                 "y": y, "weight": weight, "offset": offset})
 
@@ -380,7 +383,7 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
         par, like = nxt, new
         if done:
             break
-    cov = np.linalg.inv(-hess)
+    cov = invert(-hess)
     n = table.agg(F.sum("_n").alias("n")).first().n
     full = Design([*[f"count_{t}" for t in d.names], "zero_(Intercept)"], [*d.exprs, F.lit(1.0)], d.sources, d.groups,
                   d.dropped)

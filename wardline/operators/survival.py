@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.tails import chi2_tail
-from wardline.operators.design import (Design, column, complete, design, dot, matrix, sum_blocks, term_sources)
-from wardline.operators.models import Fit, _rows_frame
+from wardline.operators.design import column, complete, design, dot, invert, matrix, solve, sum_blocks, term_sources
+from wardline.operators.models import Fit, rows_frame
 from wardline.session import cut_lineage
 
 SMALL_DAYS = 200_000
@@ -110,7 +110,7 @@ def logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
     stat, dof, p = _logrank_stat(parts)
     rows = [(str(a), int(parts[0][i]), float(parts[1][i]), float(parts[2][i]), stat, dof, p)
             for i, a in enumerate(arms)]
-    return _rows_frame(df.sparkSession, rows,
+    return rows_frame(df.sparkSession, rows,
                        "arm string, n long, observed double, expected double, chisq double, df int, p_value double")
 
 
@@ -130,7 +130,7 @@ def pairwise_logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame
              for pair in pairs]
     adjusted = benjamini_hochberg([s[2] for s in stats])
     rows = [(str(a), str(b), s[0], s[2], q) for (a, b), s, q in zip(pairs, stats, adjusted)]
-    return _rows_frame(df.sparkSession, rows,
+    return rows_frame(df.sparkSession, rows,
                        "arm_a string, arm_b string, chisq double, p_value double, p_adjusted double")
 
 
@@ -380,7 +380,7 @@ class CoxTable:
 
 
 def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None, strata=(), robust: bool | None = None,
-        where=None, tol: float = 1e-9, max_iter: int = 30, small_days: int = SMALL_DAYS) -> Fit:
+        where=None, tol: float = 1e-6, max_iter: int = 30, small_days: int = SMALL_DAYS) -> Fit:
     """Proportional hazards with Efron ties, optional weights and strata.
 
     With weights the variance is the robust sandwich unless ``robust=False``.
@@ -394,7 +394,7 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
     like, score, info = table.derivatives(beta)
     null_like = like
     for _ in range(max_iter):
-        move = np.linalg.solve(info[0], score[0])
+        move = solve(info[0], score[0])
         scale = 1.0
         while True:
             new = table.derivatives(beta + scale * move)
@@ -405,7 +405,7 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
         like, score, info = new
         if np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))):
             break
-    naive = np.linalg.inv(info[0])
+    naive = invert(info[0])
     robust = weight is not None if robust is None else robust
     cov = naive @ _score_squares(table, beta) @ naive if robust else naive
     return Fit(df.sparkSession, "cox", d, beta, cov, like, table.n, None, table.rows, df,
@@ -459,11 +459,11 @@ def ph_test(fit: Fit) -> DataFrame:
     groups = [*fit.design.groups.items(), ("GLOBAL", list(range(p)))]
     for name, idx in groups:
         keep = [*range(p), *[p + i for i in idx]]
-        inv = np.linalg.inv(joint[np.ix_(keep, keep)])[p:, p:]
+        inv = invert(joint[np.ix_(keep, keep)])[p:, p:]
         u = score[1][idx]
         stat = float(u @ inv @ u)
         rows.append((name, stat, len(idx), chi2_tail(stat, len(idx))))
-    return _rows_frame(fit.spark, rows, "term string, chisq double, df int, p_value double")
+    return rows_frame(fit.spark, rows, "term string, chisq double, df int, p_value double")
 
 
 def _scored_people(fit: Fit, keep: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.tails import chi2_tail, f_tail
 from wardline.operators.design import MAX_LEVELS
-from wardline.operators.models import _rows_frame
+from wardline.operators.models import rows_frame
 
 OVERALL = "Overall"
 MOMENTS = "variable string, level string, stratum string, n double, w double, wx double, wxx double, w2 double, w2x double, w2xx double"
@@ -227,20 +227,20 @@ def table_one(df: DataFrame, nums=(), cats=(), strata: str | None = None, weight
                             math.sqrt(var) if var is not None else None, pv, dv))
             else:
                 out.append((v, r.level, r.stratum, r.n, r.w, 100 * r.w / totals[r.stratum], None, None, pv, dv))
-    return _rows_frame(df.sparkSession, out, TABLE)
+    return rows_frame(df.sparkSession, out, TABLE)
 
 
 def smd_table(df: DataFrame, nums=(), cats=(), strata: str = "arm", weight: str | None = None) -> DataFrame:
     sums = collect_moments(df, list(nums), list(cats), strata, weight)
     rows = [(v, _p_and_smd(r, v in set(nums), weight is not None)[1]) for v, r in sums.items()]
-    return _rows_frame(df.sparkSession, rows, "variable string, smd double")
+    return rows_frame(df.sparkSession, rows, "variable string, smd double")
 
 
 def chi_square(df: DataFrame, a: str, b: str, correct: bool = True) -> DataFrame:
     rows = collect_moments(df, [], [a], b)[a]
     stat = chi_square_stat(_counts(rows, "n")[2], correct)
     out = [(stat[0], stat[1], chi2_tail(*stat))] if stat else [(None, None, None)]
-    return _rows_frame(df.sparkSession, out, "chisq double, df int, p_value double")
+    return rows_frame(df.sparkSession, out, "chisq double, df int, p_value double")
 
 
 def report_rows(table: DataFrame) -> DataFrame:

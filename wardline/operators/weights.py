@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.design import Design, complete, patterns, term_sources
-from wardline.operators.models import _rows_frame, fit_logit_patterns
+from wardline.operators.design import Design, column, complete, matrix, patterns, solve, sum_blocks, term_sources
+from wardline.operators.models import rows_frame, fit_logit_patterns
 from wardline.operators.tables import _variance, collect_moments
 
 BIG_ODDS = 700.0
@@ -30,6 +30,8 @@ def propensity(df: DataFrame, treatment: str, covariates, name: str = "ps") -> D
     """
     used = complete(df, [treatment, *term_sources(covariates)])
     d, table = patterns(used, covariates, treatment)
+    if table.select("_y").distinct().limit(2).count() < 2:
+        raise ValueError(f"{treatment} has only one value")
     beta, _ = fit_logit_patterns(table, d.width)
     return df.withColumn(name, _score(d, beta))
 
@@ -40,6 +42,44 @@ def att_weights(df: DataFrame, treatment: str, ps: str = "ps", name: str = "weig
         F.col(treatment) == 0, F.col(ps) / (1 - F.col(ps))))
 
 
+def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, tol: float = 1e-6, max_iter: int = 50
+              ) -> np.ndarray:
+    """One-against-the-rest logistic coefficients of every arm, all arms in the same passes."""
+    index = F
+    for k, arm in enumerate(arms):
+        index = index.when(F.col(treatment) == arm, k)
+    rows = table.select("_x", "_w", index.alias("_arm")).filter(F.col("_arm").isNotNull())
+    k, size = len(arms), p * p + p + 1
+
+    def sums(betas):
+        def block(batch):
+            x, w, arm = matrix(batch), column(batch, "_w"), column(batch, "_arm")
+            out = []
+            for i in range(k):
+                y, eta = (arm == i).astype(float), x @ betas[i]
+                mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                out += [((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel(), x.T @ (w * (y - mu)),
+                        [np.sum(w * (y * eta - np.logaddexp(0, eta)))]]
+            return np.concatenate(out)
+
+        return sum_blocks(rows, k * size, block).reshape(k, size)
+
+    betas, now = np.zeros((k, p)), sums(np.zeros((k, p)))
+    for _ in range(max_iter):
+        moves = np.array([solve(s[:p * p].reshape(p, p), s[p * p:-1]) for s in now])
+        scale = np.ones((k, 1))
+        while True:
+            new = sums(betas + scale * moves)
+            worse = (new[:, -1] < now[:, -1] - 1e-12 * np.abs(now[:, -1])) & (scale[:, 0] > 1e-6)
+            if not worse.any():
+                break
+            scale[worse] /= 2
+        betas, now = betas + scale * moves, new
+        if np.max(np.abs(scale * moves)) < tol * (1 + np.max(np.abs(betas))):
+            break
+    return betas
+
+
 def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, stabilize: bool = False,
                       name: str = "weight", scores: bool = False) -> DataFrame:
     """Several arms: one logistic model per arm, weight e_focal / e_own; the focal arm has 1.
@@ -53,19 +93,17 @@ def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, sta
     if len(shares) > 100:
         raise ValueError("too many arms")
     total = sum(shares.values())
-    fitted = {}
-    for arm in sorted(shares):
-        rows = table.withColumn("_y", F.when(F.col(treatment) == arm, 1.0).otherwise(0.0))
-        fitted[arm] = fit_logit_patterns(rows, d.width)[0]
+    arms = sorted(shares)
+    fitted = dict(zip(arms, _fit_arms(table, treatment, arms, d.width)))
     score = {arm: _score(d, beta) for arm, beta in fitted.items()}
     weight = F
-    for arm in sorted(shares):
+    for arm in arms:
         ratio = F.lit(1.0) if arm == focal else score[focal] / score[arm]
         share = shares[arm] / total if stabilize else 1.0
         weight = weight.when(F.col(treatment) == arm, ratio * F.lit(share))
     out = df.withColumn(name, weight)
     if scores:
-        out = out.withColumns({f"ps_{i}": score[a] for i, a in enumerate(sorted(shares))})
+        out = out.withColumns({f"ps_{i}": score[a] for i, a in enumerate(arms)})
     return out
 
 
@@ -109,7 +147,7 @@ def balance_table(df: DataFrame, nums, cats, treatment: str, weight: str, focal=
                 if arm != focal:
                     diff = [s.get((level, focal), 0.0) - s.get((level, arm), 0.0) for s in shares]
                     out.append((v, level, arm, diff[0], diff[1]))
-    return _rows_frame(df.sparkSession, out,
+    return rows_frame(df.sparkSession, out,
                        "variable string, level string, arm string, diff_unadjusted double, diff_adjusted double")
 
 
