@@ -12,8 +12,9 @@ from wardline.operators.clean import between_dates
 from wardline.operators.comorbidity import charlson
 from wardline.operators.design import Factor
 from wardline.operators.episodes import first_episode, effective_end, readmission_chain, stay_offsets, within_flags
-from wardline.operators.models import ratio_table, tidy
+from wardline.operators.models import ratio_table, svy_logit, tidy
 from wardline.operators.survival import kaplan_meier
+from wardline.operators.weights import att_weights_multi
 from wardline.plans.effects import (ARM, clinic_analysis, death_model, inpatient_analysis, stay_model, weighted_effect)
 from wardline.plans.inpatient import Window, inpatient_cohort
 from wardline.plans.outpatient import outpatient_cohort
@@ -152,12 +153,11 @@ FROM h a, h b WHERE b.arm = 'Did not use' AND a.arm <> 'Did not use'"""
 def _(spark, sf):
     stays = between_dates(view(spark, sf, "stays"), "admission_date", FLOOR)
     index = first_episode(stays).select("ref", F.col("admission_date").alias("start_episode"))
-    chain = readmission_chain(stay_offsets(effective_end(view(spark, sf, "stays")), index))
+    chain = readmission_chain(stay_offsets(effective_end(view(spark, sf, "stays")), index), unique=True)
     flags = within_flags(chain, index)
     people = view(spark, sf, "patients").select("ref", "segment", F.col("arm").alias("antiviral")).join(flags, "ref")
-    people = people.withColumn("used", F.when(F.col("antiviral") == study.NO_USE, 0).otherwise(1))
-    from wardline.operators.models import svy_logit
-    from wardline.operators.weights import att_weights_multi
+    # the weights and the model both read the people, so the chain is not worked out twice
+    people = cut_lineage(people)
     weighted = att_weights_multi(people, "antiviral", [Factor("segment")], study.NO_USE)
     fit = svy_logit(weighted, "unplan_28d", [ARM], "weight")
     odds = ratio_table(fit).select("term", "ratio").join(tidy(fit).select("term", "std_error"), "term")

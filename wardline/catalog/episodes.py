@@ -54,7 +54,7 @@ def index_cohort(spark, sf):
 
 def chain(spark, sf, cohort):
     offsets = stay_offsets(effective_end(view(spark, sf, "stays")), cohort)
-    return readmission_chain(offsets)
+    return readmission_chain(offsets, unique=True)
 
 
 # --- queries --------------------------------------------------------------------------------------

@@ -38,10 +38,10 @@ def covered_days(df: DataFrame, keys, start: str, length: str, name: str = "days
     first, days = _day_number(df, start), F.col(length).cast("int")
     spans = df.select(*keys, first.alias("_lo"), (first + days - 1).alias("_hi")).filter(
         F.col("_lo").isNotNull() & (F.col("_hi") >= F.col("_lo")))
-    words = spans.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / 64), F.floor(F.col("_hi") / 64)))
-                         .alias("_word"))
-    low_bit = F.greatest(F.col("_lo") - F.col("_word") * 64, F.lit(0)).cast("int")
-    high_bit = F.least(F.col("_hi") - F.col("_word") * 64, F.lit(63)).cast("int")
+    # an arithmetic shift by six is the floor of a division by 64, also before 1970
+    words = spans.select("*", F.explode(F.sequence(F.shiftright("_lo", 6), F.shiftright("_hi", 6))).alias("_word"))
+    low_bit = F.greatest(F.col("_lo") - F.shiftleft("_word", 6), F.lit(0))
+    high_bit = F.least(F.col("_hi") - F.shiftleft("_word", 6), F.lit(63))
     bits = words.select(*keys, "_word", low_bit.alias("_a"), high_bit.alias("_b")).withColumn(
         "_mask", F.expr("shiftleft(-1L, _a) & shiftrightunsigned(-1L, 63 - _b)"))
     merged = bits.groupBy(*keys, "_word").agg(F.bit_or("_mask").alias("_mask"))
@@ -95,35 +95,42 @@ def length_of_stay(stays: DataFrame, cohort: DataFrame, cohort_end: str = study.
     """Days in hospital from the index day on, 0 without a stay.
 
     A missing length runs to the end of the cohort; admission day and discharge day both
-    count.  The longest stay per admission day decides that day, which the day union gives.
+    count.  Only the longest stay per admission day goes into the join, so a patient brings
+    at most one row per calendar day.
     """
     end = F.lit(cohort_end).cast("date")
     held = F.coalesce(F.col(stay), F.datediff(end, admission)) + 1
-    dated = stays.join(cohort.select(key, index), key).filter(F.col(admission) >= F.col(index)).withColumn(
-        "_held", held)
+    longest = stays.groupBy(key, admission).agg(F.max(held).alias("_held"))
+    dated = longest.join(cohort.select(key, index), key).filter(F.col(admission) >= F.col(index))
     days = covered_days(dated, key, admission, "_held", name)
     return cohort.join(days, key, "left").fillna({name: 0})
 
 
 def stay_offsets(stays: DataFrame, cohort: DataFrame, key: str = "ref", admission: str = "admission_date",
                  end: str = "end_date", index: str = "start_episode") -> DataFrame:
-    """Distinct (patient, start day, end day) counted from the index day, starts at or after it."""
-    joined = stays.join(cohort.select(key, index), key).select(
+    """Distinct (patient, start day, end day) counted from the index day, starts at or after it.
+
+    Rows are distinct before the join, and stay so: offsets move a patient's dates alike.
+    """
+    joined = stays.select(key, admission, end).distinct().join(cohort.select(key, index), key).select(
         key, F.datediff(admission, index).alias("start_day"), F.datediff(end, index).alias("end_day"))
-    return joined.filter(F.col("start_day") >= 0).distinct()
+    return joined.filter(F.col("start_day") >= 0)
 
 
 def readmission_chain(stays: DataFrame, key: str = "ref", start: str = "start_day", end: str = "end_day",
-                      passes: int = 6) -> DataFrame:
+                      passes: int = 6, unique: bool = False) -> DataFrame:
     """Gaps between successive stays after repeated pruning of overlapping ones.
 
     Each pass fills a missing end with the next stay's end and takes start minus previous end;
     all passes but the last drop stays that begin before the previous one ended.  The first
     admission carries the mark 9999999, later ones their ordinal where the gap is known.
-    Rows are distinct first; equal starts are taken in order of their original end.
+    Rows are made distinct first (``unique`` says they are); equal starts are taken in order of
+    their original end.  All passes share one exchange and one sort by patient, over at most
+    one row per pair of days.
     """
     w = Window.partitionBy(key).orderBy(start, F.col("_end0").asc_nulls_last())
-    out = stays.select(key, start, end).distinct().withColumn("_end0", F.col(end))
+    rows = stays.select(key, start, end)
+    out = (rows if unique else rows.distinct()).withColumn("_end0", F.col(end))
     for i in range(1, passes + 1):
         out = out.withColumn(end, F.coalesce(F.col(end), F.lead(end).over(w)))
         out = out.withColumn("gap_time", F.col(start) - F.lag(end).over(w))
@@ -197,13 +204,14 @@ def drug_courses(dispensing: DataFrame, cohort: DataFrame, key: str = "ref", ind
     """Per patient and drug: covered days, whole-currency cost, first start, and course flag.
 
     Only starts on or after the index day count; a duration covers its last day as well.
-    The flag is 2 for exactly five days, else 1.
+    Of equal starts only the longest goes into the join.  The flag
+    is 2 for exactly five days, else 1.
     """
-    named = dispensing.filter(contains_any(drug, ["MOLNUPIRAVIR", "PAXLOVID"]))
-    dated = events_after_index(cohort, named, start, 0, None, index, key, "start_drug").select(
-        key, "start_drug", (F.col(duration) + 1).alias("_days"),
-        F.col(drug).contains("MOLNUPIRAVIR").alias("molnupiravir"),
-        F.col(drug).contains("PAXLOVID").alias("paxlovid"))
+    named = dispensing.filter(contains_any(drug, ["MOLNUPIRAVIR", "PAXLOVID"])).select(
+        key, start, F.col(drug).contains("MOLNUPIRAVIR").alias("molnupiravir"),
+        F.col(drug).contains("PAXLOVID").alias("paxlovid"), (F.col(duration) + 1).alias("_days"))
+    longest = named.groupBy(key, "molnupiravir", "paxlovid", start).agg(F.max("_days").alias("_days"))
+    dated = events_after_index(cohort, longest, start, 0, None, index, key, "start_drug")
     per_drug = covered_days(dated, [key, "molnupiravir", "paxlovid"], "start_drug", "_days", "duration")
     firsts = dated.groupBy(key).agg(F.min("start_drug").alias("start_drug"))
     out = course_cost(per_drug).join(firsts, key)
@@ -257,8 +265,9 @@ def reattendance_days(visits: DataFrame, cohort: DataFrame, key: str = "ref", da
 def admissions_within(admissions: DataFrame, cohort: DataFrame, within: int = 28, key: str = "ref",
                       date: str = "admission_date", index: str = "start_episode") -> DataFrame:
     """Count and flag of admissions 0..X days after the index day; both NULL when there is none."""
-    hits = events_after_index(cohort, admissions, date, 0, within, index, key, "_offset")
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("ane_times"))
+    per_day = admissions.groupBy(key, date).agg(F.count(F.lit(1)).alias("_rows"))
+    hits = events_after_index(cohort, per_day, date, 0, within, index, key, "_offset")
+    counts = hits.groupBy(key).agg(F.sum("_rows").alias("ane_times"))
     return cohort.join(counts, key, "left").withColumn("ane", F.when(F.col("ane_times") >= 1, 1))
 
 

@@ -66,7 +66,7 @@ def inpatient_cohort(dx: DataFrame, pcr: DataFrame, tests: DataFrame, dispensing
 
     people = with_courses(index, drug_courses(dispensing, key))
     people = follow_up(people, first_death(kept), window.end)
-    gaps = cut_lineage(readmission_chain(stay_offsets(effective_end(kept), key)))
+    gaps = cut_lineage(readmission_chain(stay_offsets(effective_end(kept), key), unique=True))
     people = within_flags(gaps, people)
     people = readmission_count(gaps, people)
     los = length_of_stay(kept, key, window.stay_end).select("ref", "los")
