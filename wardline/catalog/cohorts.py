@@ -198,6 +198,13 @@ def _(spark, sf):
     return rounded(ratio_table(death_model(df, [Factor("use_antiviral"), Factor("sex"), "age"], strata=["age_gp"])), 5)
 
 
-@query("inpatient_survival_curve")
+@query("inpatient_survival_curve", _sql_tail() + """, z AS (SELECT CASE WHEN x.arm = 'Did not use' THEN 'Did not use' ELSE 'Used Paxlovid/Molnupiravir' END AS use_antiviral, p.fu AS time, p.dead
+FROM people p JOIN patients x ON x.ref = p.ref),
+dd AS (SELECT use_antiviral, time, COUNT(*)::DOUBLE AS n, SUM(dead)::DOUBLE AS e FROM z GROUP BY 1, 2),
+rr AS (SELECT *, SUM(n) OVER (PARTITION BY use_antiviral ORDER BY time DESC) AS risk FROM dd),
+km AS (SELECT *, CASE WHEN MIN(risk - e) OVER w < 1e-9 THEN 0 ELSE EXP(SUM(LN(CASE WHEN risk - e < 1e-9 THEN 1 ELSE 1 - e / risk END)) OVER w) END AS survival,
+SUM(CASE WHEN risk > e THEN e / (risk * (risk - e)) END) OVER w AS gw FROM rr WINDOW w AS (PARTITION BY use_antiviral ORDER BY time))
+SELECT use_antiviral, time, risk AS n_risk, e AS n_event, n - e AS n_censor, ROUND(survival, 6) AS survival, ROUND(CASE WHEN survival > 0 THEN survival * SQRT(gw) END, 6) AS std_error,
+ROUND(CASE WHEN survival > 0 THEN -LN(survival) END, 6) + 0.0 AS cum_hazard FROM km""")
 def _(spark, sf):
     return rounded(kaplan_meier(_analysis(spark, sf), "fu", "dead", "use_antiviral"), 6)

@@ -76,6 +76,45 @@ def _(spark, sf):
     return rounded(ratio_table(fit).select("term", "ratio"), 5)
 
 
+def _nb_sql(rows: str, steps: int = 40) -> str:
+    """Two groups with exposure: Newton steps of both log rates and of log theta, written out."""
+    sql = f", d AS MATERIALIZED ({rows}), p0 AS (SELECT LN(SUM(w * y * (1 - x)) / SUM(w * o * (1 - x))) AS a, LN(SUM(w * y * x) / SUM(w * o * x)) AS c, LN(1.5) AS k FROM d)"
+    for i in range(1, steps + 1):
+        sql += f""", e{i} AS (SELECT d.*, EXP(CASE WHEN x = 1 THEN c ELSE a END) * o AS mu, EXP(k) AS th FROM d, p{i - 1}),
+s{i} AS (SELECT SUM(w * (y - mu) / (1 + mu / th) * (1 - x)) AS ua, SUM(w * mu / (1 + mu / th) * (1 - x)) AS ia, SUM(w * (y - mu) / (1 + mu / th) * x) AS uc, SUM(w * mu / (1 + mu / th) * x) AS ic,
+SUM(w * (COALESCE(list_sum(list_transform(range(y), lambda j: 1 / (th + j))), 0) + LN(th) + 1 - LN(th + mu) - (y + th) / (mu + th))) AS ut,
+SUM(w * (COALESCE(list_sum(list_transform(range(y), lambda j: 1 / POWER(th + j, 2))), 0) - 1 / th + 2 / (mu + th) - (y + th) / POWER(mu + th, 2))) AS it, ANY_VALUE(th) AS th FROM e{i}),
+p{i} AS MATERIALIZED (SELECT a + ua / ia AS a, c + uc / ic AS c, k + GREATEST(-0.5, LEAST(0.5, CASE WHEN it * th * th - ut * th > 0 THEN ut * th / (it * th * th - ut * th) ELSE SIGN(ut) END)) AS k FROM p{i - 1}, s{i})"""
+    i = steps
+    return sql + f""", f AS (SELECT a, c, SUM(w * mu / (1 + mu / EXP(k)) * (1 - x)) AS ia, SUM(w * mu / (1 + mu / EXP(k)) * x) AS ic FROM
+(SELECT d.*, EXP(CASE WHEN x = 1 THEN c ELSE a END) * o AS mu, a, c, k FROM d, p{i}) GROUP BY a, c)
+SELECT '(Intercept)' AS term, ROUND(a, 4) AS estimate, ROUND(SQRT(1 / ia), 4) AS std_error FROM f
+UNION ALL SELECT 'sexM', ROUND(c - a, 4), ROUND(SQRT(1 / ia + 1 / ic), 4) FROM f"""
+
+
+@query("neg_binomial_two_groups", views("patients") + _nb_sql(
+    "SELECT los AS y, fu::DOUBLE AS o, 1.0::DOUBLE AS w, CASE WHEN sex = 'M' THEN 1 ELSE 0 END AS x FROM patients WHERE outcome = 0"))
+def _(spark, sf):
+    fit = neg_binomial(view(spark, sf, "patients"), "los", [Factor("sex")], "fu", where=F.col("outcome") == 0)
+    return rounded(tidy(fit).select("term", "estimate", "std_error"), 4)
+
+
+@query("neg_binomial_two_groups_weighted", views("patients") + _nb_sql(
+    "SELECT los AS y, fu::DOUBLE AS o, w, CASE WHEN sex = 'M' THEN 1 ELSE 0 END AS x FROM patients"))
+def _(spark, sf):
+    return rounded(tidy(neg_binomial(view(spark, sf, "patients"), "los", [Factor("sex")], "fu", "w")).select("term", "estimate", "std_error"), 4)
+
+
+@query("logit_one_number", views("patients") + ", b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS c)" + "".join(
+    f""", s{i} AS MATERIALIZED (SELECT SUM(outcome - mu) AS u0, SUM(age * (outcome - mu)) AS u1, SUM(v) AS i00, SUM(v * age) AS i01, SUM(v * age * age) AS i11 FROM
+(SELECT *, mu * (1 - mu) AS v FROM (SELECT outcome, age, 1 / (1 + EXP(-(a + c * age))) AS mu FROM patients, b{i - 1}))),
+b{i} AS MATERIALIZED (SELECT a + (u0 * i11 - u1 * i01) / (i00 * i11 - i01 * i01) AS a, c + (u1 * i00 - u0 * i01) / (i00 * i11 - i01 * i01) AS c,
+SQRT(i11 / (i00 * i11 - i01 * i01)) AS sa, SQRT(i00 / (i00 * i11 - i01 * i01)) AS sc FROM b{i - 1}, s{i})""" for i in range(1, 10)) + """
+SELECT '(Intercept)' AS term, ROUND(a, 6) AS estimate, ROUND(sa, 6) AS std_error FROM b9 UNION ALL SELECT 'age', ROUND(c, 6), ROUND(sc, 6) FROM b9""")
+def _(spark, sf):
+    return rounded(tidy(logit(view(spark, sf, "patients"), "outcome", ["age"])).select("term", "estimate", "std_error"))
+
+
 @query("neg_binomial_exposure")
 def _(spark, sf):
     fit = neg_binomial(people(spark, sf), "los", [Factor("sex"), Factor("arm"), "age"], "fu", where=F.col("outcome") == 0)

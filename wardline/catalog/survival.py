@@ -58,7 +58,16 @@ def _(spark, sf):
     return rounded(logrank(f, "fu", "event", "g").drop("p_value"))
 
 
-@query("logrank_three_arms")
+@query("logrank_three_arms", BASE + """, d AS (SELECT fu AS t, COUNT(*)::DOUBLE AS m, COUNT(*) FILTER (WHERE arm = 'Did not use')::DOUBLE AS m0, COUNT(*) FILTER (WHERE arm = 'Paxlovid only')::DOUBLE AS m1,
+SUM(event)::DOUBLE AS d, COALESCE(SUM(event) FILTER (WHERE arm = 'Did not use'), 0)::DOUBLE AS d0, COALESCE(SUM(event) FILTER (WHERE arm = 'Paxlovid only'), 0)::DOUBLE AS d1 FROM followed GROUP BY fu),
+r AS (SELECT *, SUM(m) OVER w AS n, SUM(m0) OVER w AS n0, SUM(m1) OVER w AS n1 FROM d WINDOW w AS (ORDER BY t DESC)),
+x AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS c FROM r),
+s AS (SELECT SUM(m) AS n, SUM(m0) AS k0, SUM(m1) AS k1, SUM(d) AS o, SUM(d0) AS o0, SUM(d1) AS o1, SUM(d * n0 / n) AS e0, SUM(d * n1 / n) AS e1,
+SUM(c * n0 / n * (1 - n0 / n)) AS v00, SUM(c * n1 / n * (1 - n1 / n)) AS v11, -SUM(c * n0 / n * n1 / n) AS v01 FROM x),
+c AS (SELECT *, ((o0 - e0) * (o0 - e0) * v11 - 2 * (o0 - e0) * (o1 - e1) * v01 + (o1 - e1) * (o1 - e1) * v00) / (v00 * v11 - v01 * v01) AS chi FROM s)
+SELECT 'Did not use' AS arm, k0::BIGINT AS n, o0 AS observed, ROUND(e0, 6) AS expected, ROUND(chi, 6) AS chisq, 2 AS df, ROUND(EXP(-chi / 2), 6) AS p_value FROM c
+UNION ALL SELECT 'Paxlovid only', k1::BIGINT, o1, ROUND(e1, 6), ROUND(chi, 6), 2, ROUND(EXP(-chi / 2), 6) FROM c
+UNION ALL SELECT 'Molnupiravir only', (n - k0 - k1)::BIGINT, o - o0 - o1, ROUND(o - e0 - e1, 6), ROUND(chi, 6), 2, ROUND(EXP(-chi / 2), 6) FROM c""")
 def _(spark, sf):
     return rounded(logrank(followed(spark, sf), "fu", "event", "arm"))
 
@@ -77,6 +86,78 @@ def _(spark, sf):
     return rounded(pairwise_logrank(followed(spark, sf), "fu", "event", "arm").select("arm_a", "arm_b", "chisq"))
 
 
+# --- Cox with one term: Newton steps written out as common table expressions ------------------------
+
+def _day_table(i: str, b: str) -> str:
+    on_event = lambda c: f"SUM(CASE WHEN e = 1 THEN {c} ELSE 0 END)"
+    r = "w * EXP(b * x)"
+    return f""",
+r{i} AS MATERIALIZED (SELECT s, t, SUM({r}) AS r0, SUM({r} * x) AS r1, SUM({r} * x * x) AS r2, {on_event(r)} AS d0, {on_event(f"{r} * x")} AS d1,
+{on_event(f"{r} * x * x")} AS d2, {on_event("w")} AS dw, {on_event("w * x")} AS dx, COUNT(*) FILTER (WHERE e = 1) AS dn FROM d, {b} GROUP BY s, t),
+q{i} AS MATERIALIZED (SELECT *, SUM(r0) OVER v AS s0, SUM(r1) OVER v AS s1, SUM(r2) OVER v AS s2 FROM r{i} WINDOW v AS (PARTITION BY s ORDER BY t DESC)),
+l{i} AS MATERIALIZED (SELECT s, t, dn, dx / dn AS xl, dw / dn AS wb, k / dn::DOUBLE AS f, s0 - k / dn::DOUBLE * d0 AS z,
+(s1 - k / dn::DOUBLE * d1) / (s0 - k / dn::DOUBLE * d0) AS m,
+(s2 - k / dn::DOUBLE * d2) / (s0 - k / dn::DOUBLE * d0) - POWER((s1 - k / dn::DOUBLE * d1) / (s0 - k / dn::DOUBLE * d0), 2) AS v
+FROM q{i}, UNNEST(GENERATE_SERIES(0, dn - 1)) AS u(k) WHERE dn > 0)"""
+
+
+def _cox_sql(rows: str, steps: int = 8) -> str:
+    sql = BASE + f", d AS MATERIALIZED ({rows}), b0 AS (SELECT 0.0::DOUBLE AS b)"
+    for i in range(1, steps + 1):
+        sql += _day_table(str(i), f"b{i - 1}")
+        sql += f", b{i} AS MATERIALIZED (SELECT (SELECT b FROM b{i - 1}) + SUM(xl - wb * m) / SUM(wb * v) AS b FROM l{i})"
+    sql += _day_table("z", f"b{steps}") + f""", fit AS MATERIALIZED (SELECT (SELECT b FROM b{steps}) AS b, SUM(wb * v) AS info FROM lz),
+a AS (SELECT s, t, SUM(wb / z) AS a0, SUM(wb * f / z) AS a1, AVG(m) AS mean FROM lz GROUP BY s, t),
+h AS MATERIALIZED (SELECT q.s, q.t, SUM(COALESCE(a0, 0)) OVER (PARTITION BY q.s ORDER BY q.t) AS hz, COALESCE(a1, 0) AS own, mean
+FROM qz q LEFT JOIN a ON q.s = a.s AND q.t = a.t),
+mart AS MATERIALIZED (SELECT d.ref, d.t AS time, d.e AS event, fit.b * (d.x - (SELECT SUM(w * x) / SUM(w) FROM d)) AS linear, d.x - h.mean AS score,
+d.e - EXP(fit.b * d.x) * (h.hz - CASE WHEN d.e = 1 THEN h.own ELSE 0 END) AS m FROM d JOIN h ON d.s = h.s AND d.t = h.t, fit)"""
+    return sql
+
+
+_SEX = "SELECT ref, 0 AS s, fu AS t, event AS e, 1.0::DOUBLE AS w, CASE WHEN sex = 'M' THEN 1.0::DOUBLE ELSE 0 END AS x FROM followed"
+_SEX_BY_SEGMENT = _SEX.replace("0 AS s", "segment AS s")
+_AGE_WEIGHTED = "SELECT ref, 0 AS s, fu AS t, event AS e, w, age::DOUBLE AS x FROM followed"
+_AGE_STRATA = "SELECT ref, sex || segment AS s, fu AS t, event AS e, 1.0::DOUBLE AS w, age::DOUBLE AS x FROM followed"
+_TIDY = " SELECT '{}' AS term, ROUND(b, 6) AS estimate, ROUND(1 / SQRT(info), 6) AS std_error, ROUND(b * SQRT(info), 5) AS statistic FROM fit"
+
+
+def _short(fit):
+    return rounded(tidy(fit).select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
+                                    F.round("statistic", 5).alias("statistic")))
+
+
+@query("cox_one_term", _cox_sql(_SEX) + _TIDY.format("sexM"))
+def _(spark, sf):
+    return _short(cox(followed(spark, sf), "fu", "event", [Factor("sex")]))
+
+
+@query("cox_weighted_one_term", _cox_sql(_AGE_WEIGHTED) + _TIDY.format("age"))
+def _(spark, sf):
+    return _short(cox(followed(spark, sf), "fu", "event", ["age"], "w", robust=False))
+
+
+@query("cox_stratified_one_term", _cox_sql(_AGE_STRATA) + _TIDY.format("age"))
+def _(spark, sf):
+    return _short(cox(followed(spark, sf), "fu", "event", ["age"], strata=["sex", "segment"]))
+
+
+@query("hazard_ratio_one_term", _cox_sql(_SEX) + """ SELECT 'sexM' AS term, ROUND(EXP(b), 6) AS ratio, ROUND(EXP(b - 1.959963984540054 / SQRT(info)), 6) AS conf_low,
+ROUND(EXP(b + 1.959963984540054 / SQRT(info)), 6) AS conf_high FROM fit""")
+def _(spark, sf):
+    return rounded(ratio_table(cox(followed(spark, sf), "fu", "event", [Factor("sex")])))
+
+
+@query("ph_test_one_term", _cox_sql(_SEX) + """, k AS (SELECT t, COUNT(*)::DOUBLE AS m, SUM(e)::DOUBLE AS dd FROM d GROUP BY t),
+k2 AS (SELECT *, SUM(m) OVER (ORDER BY t DESC) AS n FROM k),
+g AS (SELECT t, 1 - COALESCE(EXP(SUM(LN(CASE WHEN n > dd THEN 1 - dd / n ELSE 1e-300 END)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM k2),
+u AS (SELECT SUM(g * (xl - wb * m)) AS u, SUM(g * wb * v) AS i1, SUM(g * g * wb * v) AS i2, SUM(wb * v) AS i0 FROM lz JOIN g ON lz.t = g.t),
+c AS (SELECT ROUND(u * u / (i2 - i1 * i1 / i0), 5) AS chisq FROM u)
+SELECT 'sex' AS term, chisq, 1 AS df FROM c UNION ALL SELECT 'GLOBAL', chisq, 1 FROM c""")
+def _(spark, sf):
+    return rounded(ph_test(cox(followed(spark, sf), "fu", "event", [Factor("sex")])).drop("p_value"), 5)
+
+
 ARM = Factor("arm", ("Did not use", "Paxlovid only", "Molnupiravir only"))
 
 
@@ -105,16 +186,17 @@ def _(spark, sf):
     return rounded(ph_test(cox(followed(spark, sf), "fu", "event", [ARM, Factor("sex")])), 5)
 
 
-@query("schoenfeld_residuals")
+@query("schoenfeld_residuals", _cox_sql(_SEX) + " SELECT ref, time, 'sexM' AS term, ROUND(score, 5) + 0.0 AS residual FROM mart WHERE event = 1")
 def _(spark, sf):
     return rounded(schoenfeld(cox(followed(spark, sf), "fu", "event", [Factor("sex")])), 5)
 
 
-@query("deviance_residuals")
+@query("deviance_residuals", _cox_sql(_SEX_BY_SEGMENT) + """ SELECT ref, time, event, ROUND(linear, 5) + 0.0 AS linear,
+ROUND(SIGN(m) * SQRT(GREATEST(-2 * (m + CASE WHEN event = 1 THEN LN(event - m) ELSE 0 END), 0)), 5) + 0.0 AS residual FROM mart""")
 def _(spark, sf):
     return rounded(cox_residuals(cox(followed(spark, sf), "fu", "event", [Factor("sex")], strata=["segment"])), 5)
 
 
-@query("martingale_residuals")
+@query("martingale_residuals", _cox_sql(_SEX) + " SELECT ref, time, event, ROUND(linear, 5) + 0.0 AS linear, ROUND(m, 5) + 0.0 AS residual FROM mart")
 def _(spark, sf):
     return rounded(cox_residuals(cox(followed(spark, sf), "fu", "event", [Factor("sex")]), "martingale"), 5)
