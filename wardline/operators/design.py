@@ -18,6 +18,7 @@ from wardline.session import cut_lineage
 
 MAX_LEVELS = 1000
 CELL = "pos int, value double"
+FEW_TASKS = 32
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,7 @@ class Design:
     groups: dict[str, list[int]] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     intercept: bool = True
+    few: bool = False
 
     @property
     def width(self) -> int:
@@ -91,6 +93,22 @@ def _factors(terms):
             yield from _factors([t.left, t.right])
 
 
+def _levels_present(df: DataFrame, names: list[str]) -> dict[str, set]:
+    """Levels of the factors, with a bound on what reaches the driver."""
+    out: dict[str, set] = {n: set() for n in names}
+    if not names:
+        return out
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).cast("string").alias("level")) for n in names])
+    rows = df.select(F.inline(cells)).filter(F.col("level").isNotNull()).distinct().limit(
+        MAX_LEVELS * len(names) + 1).collect()
+    for r in rows:
+        out[r.n].add(r.level)
+    for n, found in out.items():
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{n} has more than {MAX_LEVELS} levels")
+    return out
+
+
 def design(df: DataFrame, terms, intercept: bool = True) -> Design:
     """Encode terms.  Levels without rows and constant columns are dropped and reported.
 
@@ -99,17 +117,11 @@ def design(df: DataFrame, terms, intercept: bool = True) -> Design:
     terms = [t if isinstance(t, (Factor, Interaction)) else str(t) for t in terms]
     factors = list({f.name: f for f in _factors(terms)}.values())
     plain = [t for t in terms if isinstance(t, str)]
-    probes = [F.collect_set(F.col(f.name).cast("string")).alias(f"f{i}") for i, f in enumerate(factors)]
-    probes += [(F.min(t) < F.max(t)).alias(f"v{i}") for i, t in enumerate(plain)]
-    seen = df.agg(*probes).first() if probes else None
-    levels: dict[str, list[str]] = {}
-    for i, f in enumerate(factors):
-        present = set(seen[f"f{i}"])
-        if len(present) > MAX_LEVELS:
-            raise ValueError(f"{f.name} has more than {MAX_LEVELS} levels")
-        order = [str(x) for x in f.levels] or sorted(present)
-        levels[f.name] = [x for x in order if x in present]
-    constant = {t for i, t in enumerate(plain) if not seen[f"v{i}"]}
+    present = _levels_present(df, [f.name for f in factors])
+    levels = {f.name: [x for x in ([str(x) for x in f.levels] or sorted(present[f.name])) if x in present[f.name]]
+              for f in factors}
+    varies = df.agg(*[(F.min(t) < F.max(t)).alias(f"v{i}") for i, t in enumerate(plain)]).first() if plain else ()
+    constant = {t for i, t in enumerate(plain) if not varies[i]}
     names, exprs, groups, sources, dropped = [], [], {}, term_sources(terms), []
     for t in terms:
         cols = [] if t in constant else _columns(t, levels)
@@ -148,6 +160,7 @@ def patterns(df: DataFrame, terms, y: str, weight: str | None = None, offset: st
         F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"),
         F.count(F.lit(1)).alias("_n")))
     d = design(table, terms, intercept)
+    d.few = few_tasks(table)
     return d, table.select(*keys, d.array().alias("_x"), "_y", "_offset", "_w", "_w2", "_n")
 
 
@@ -161,24 +174,37 @@ def matrix(batch: pa.RecordBatch, name: str = "_x") -> np.ndarray:
     return flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 0)
 
 
-def sum_blocks(df: DataFrame, size: int, block) -> np.ndarray:
+def few_tasks(checkpointed: DataFrame) -> bool:
+    return checkpointed.rdd.getNumPartitions() <= FEW_TASKS
+
+
+def sum_blocks(df: DataFrame, size: int, block, few: bool = False) -> np.ndarray:
     """Sum of a vector-valued function of Arrow batches over the whole table.
 
-    Every task adds up its own batches and emits ``size`` cells once; Spark adds the cells
-    by position.  ``size`` depends on the number of model terms, never on the rows.
+    Every task adds up its own batches and emits its sum once; Spark adds the cells by
+    position.  ``size`` depends on the number of model terms, never on the rows.  With ``few``
+    tasks (a checked number) their sums come to the driver directly, which saves a stage.
     """
 
-    def per_task(batches):
+    def task_sum(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += block(batch)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["pos", "value"])
+        return total
+
+    if few:
+        def one_row(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([task_sum(batches)])], names=["sums"])
+
+        return np.sum([r.sums for r in df.mapInArrow(one_row, "sums array<double>").collect()], axis=0)
+
+    def per_cell(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(task_sum(batches))],
+                                         names=["pos", "value"])
 
-    cells = df.mapInArrow(per_task, CELL).groupBy("pos").agg(F.sum("value").alias("value"))
     out = np.zeros(size)
-    for r in cells.collect():
+    for r in df.mapInArrow(per_cell, CELL).groupBy("pos").agg(F.sum("value").alias("value")).collect():
         out[r.pos] = r.value
     return out
 

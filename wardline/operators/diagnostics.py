@@ -60,7 +60,7 @@ def augment(fit: Fit, df: DataFrame | None = None) -> DataFrame:
 
 
 def _information(fit: Fit) -> np.ndarray:
-    return logit_pass(fit.patterns, fit.beta).info
+    return logit_pass(fit.patterns, fit.beta, fit.design.few).info
 
 
 def influence_index(aug: DataFrame, key: str = "ref") -> DataFrame:

@@ -60,7 +60,7 @@ class LogitSums:
     n: float
 
 
-def logit_pass(table: DataFrame, beta: np.ndarray) -> LogitSums:
+def logit_pass(table: DataFrame, beta: np.ndarray, few: bool = False) -> LogitSums:
     p = len(beta)
 
     def block(batch):
@@ -73,12 +73,12 @@ def logit_pass(table: DataFrame, beta: np.ndarray) -> LogitSums:
         like = np.sum(w * (y * eta - np.logaddexp(0, eta)))
         return np.concatenate([info.ravel(), x.T @ (w * (y - mu)), meat.ravel(), [like, n.sum()]])
 
-    s = sum_blocks(table, 2 * p * p + p + 2, block)
+    s = sum_blocks(table, 2 * p * p + p + 2, block, few)
     return LogitSums(s[:p * p].reshape(p, p), s[p * p:p * p + p],
                      s[p * p + p:2 * p * p + p].reshape(p, p), float(s[-2]), float(s[-1]))
 
 
-def fit_logit_patterns(table: DataFrame, p: int, tol: float = 1e-6, max_iter: int = 50
+def fit_logit_patterns(table: DataFrame, p: int, few: bool = False, tol: float = 1e-6, max_iter: int = 50
                        ) -> tuple[np.ndarray, LogitSums]:
     """Newton steps, halved while the likelihood drops; one Spark job of p x p sums per step.
 
@@ -88,12 +88,12 @@ def fit_logit_patterns(table: DataFrame, p: int, tol: float = 1e-6, max_iter: in
     away on pattern rows whose weight is a count in the thousands.
     """
     beta = np.zeros(p)
-    now = logit_pass(table, beta)
+    now = logit_pass(table, beta, few)
     for _ in range(max_iter):
         move = solve(now.info, now.score)
         scale = 1.0
         while True:
-            new = logit_pass(table, beta + scale * move)
+            new = logit_pass(table, beta + scale * move, few)
             if new.like >= now.like - 1e-12 * abs(now.like) or scale < 1e-6:
                 break
             scale /= 2
@@ -108,7 +108,7 @@ def logit(df: DataFrame, y: str, terms, weight: str | None = None, where=None, o
     df = df if where is None else df.filter(where)
     df = complete(df, {y, *term_sources(terms), *([weight] if weight else []), *([offset] if offset else [])})
     d, table = patterns(df, terms, y, weight, offset)
-    beta, sums = fit_logit_patterns(table, d.width)
+    beta, sums = fit_logit_patterns(table, d.width, d.few)
     n = int(sums.n)
     return Fit(df.sparkSession, "logit", d, beta, invert(sums.info), sums.like, n, n - d.width, table, df,
                {"y": y, "weight": weight, "offset": offset, "meat": sums.meat})
@@ -188,9 +188,11 @@ def _drop_function(fit: Fit, j: int):
         held = fit.patterns.withColumn("_offset", F.col("_offset") + F.lit(value) * F.col("_x")[j]).withColumn(
             "_x", F.array(*[F.col("_x")[i] for i in others]) if others else F.array(F.lit(0.0)))
         if fit.kind == "logit":
-            like = (fit_logit_patterns(held, len(others))[1] if others else logit_pass(held, np.zeros(1))).like
+            few = fit.design.few
+            like = (fit_logit_patterns(held, len(others), few)[1] if others
+                    else logit_pass(held, np.zeros(1), few)).like
         else:
-            beta, theta, like, _ = _nb_fit(held, max(len(others), 1), free=len(others))
+            like = _nb_fit(held, max(len(others), 1), free=len(others), few=fit.design.few)[2].like
         return 2 * (fit.loglik - like)
 
     return drop
@@ -222,27 +224,43 @@ def _nb_log_density(y, mu, theta):
             + np.where(y > 0, y * np.log(mu / (theta + mu)), 0.0))
 
 
-def _nb_sums(table: DataFrame, beta: np.ndarray, theta: float, weight: str = "_w"):
-    """One pass: information and score for beta, score and information for theta, log-likelihood."""
+@dataclass
+class NbSums:
+    """What one pass yields: expected information, score and observed information of (beta, log theta), likelihood."""
+
+    expected: np.ndarray
+    score: np.ndarray
+    observed: np.ndarray
+    like: float
+
+
+def _nb_sums(table: DataFrame, beta: np.ndarray, theta: float, few: bool = False) -> NbSums:
     p = len(beta)
 
     def block(batch):
-        x, y, w = matrix(batch), column(batch, "_y"), column(batch, weight)
+        x, y, w = matrix(batch), column(batch, "_y"), column(batch, "_w")
         mu = np.exp(x @ beta + column(batch, "_offset"))
-        ww = w * mu / (1 + mu / theta)
-        score = x.T @ (w * (y - mu) / (1 + mu / theta))
-        t_score = np.sum(w * (_rising(y, theta, 1) + np.log(theta) + 1 - np.log(theta + mu) - (y + theta) / (mu + theta)))
-        t_info = np.sum(w * (_rising(y, theta, 2) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2))
+        both = theta + mu
+        fisher = (x * (w * mu * theta / both)[:, None]).T @ x
+        exact = (x * (w * mu * (theta + y) * theta / both ** 2)[:, None]).T @ x
+        score = x.T @ (w * (y - mu) * theta / both)
+        cross = x.T @ (w * (y - mu) * mu * theta / both ** 2)
+        slope = np.sum(w * (_rising(y, theta, 1) + np.log(theta) + 1 - np.log(both) - (y + theta) / both))
+        curve = np.sum(w * (_rising(y, theta, 2) - 1 / theta + 2 / both - (y + theta) / both ** 2))
         like = np.sum(w * _nb_log_density(y, mu, theta))
-        return np.concatenate([((x * ww[:, None]).T @ x).ravel(), score, [t_score, t_info, like, w.sum()]])
+        return np.concatenate([fisher.ravel(), exact.ravel(), score, cross, [slope, curve, like]])
 
-    s = sum_blocks(table, p * p + p + 4, block)
-    return s[:p * p].reshape(p, p), s[p * p:p * p + p], *s[p * p + p:]
+    s = sum_blocks(table, 2 * p * p + 2 * p + 3, block, few)
+    fisher, exact = s[:p * p].reshape(p, p), s[p * p:2 * p * p].reshape(p, p)
+    score, cross = s[2 * p * p:2 * p * p + p], s[2 * p * p + p:2 * p * p + 2 * p]
+    slope, curve, like = s[-3:]
+    observed = np.block([[exact, -cross[:, None]], [-cross[None, :], np.array([[curve * theta ** 2 - slope * theta]])]])
+    return NbSums(fisher, np.concatenate([score, [slope * theta]]), observed, float(like))
 
 
-def _nb_start(table: DataFrame, weight: str = "_w") -> tuple[float, float]:
+def _nb_start(table: DataFrame) -> tuple[float, float]:
     """Log mean rate and a moment estimate of theta."""
-    w = F.col(weight)
+    w = F.col("_w")
     r = table.agg((F.sum(w * F.col("_y")) / F.sum(w * F.exp("_offset"))).alias("rate"),
                   (F.sum(w * F.col("_y")) / F.sum(w)).alias("mean"),
                   (F.sum(w * F.col("_y") * F.col("_y")) / F.sum(w)).alias("square")).first()
@@ -250,33 +268,34 @@ def _nb_start(table: DataFrame, weight: str = "_w") -> tuple[float, float]:
     return math.log(max(r.rate, 1e-8)), (r.mean ** 2 / spread if spread > 1e-8 else 100.0)
 
 
-def _nb_fit(table: DataFrame, p: int, free: int | None = None, weight: str = "_w", tol: float = 1e-10,
-            max_iter: int = 100, start: tuple[np.ndarray, float] | None = None):
-    """Joint Fisher steps: beta and log(theta) are orthogonal, so each pass moves both."""
-    if start is None:
-        rate, theta = _nb_start(table, weight)
-        beta = np.zeros(p)
-        beta[0] = rate
-    else:
-        beta, theta = start[0].copy(), start[1]
+def _nb_fit(table: DataFrame, p: int, free: int | None = None, few: bool = False, tol: float = 1e-6,
+            max_iter: int = 100) -> tuple[np.ndarray, float, NbSums]:
+    """Newton steps of (beta, log theta); scoring steps where the likelihood is not concave."""
+    rate, theta = _nb_start(table)
     free = p if free is None else free
-    sums = _nb_sums(table, beta, theta, weight)
+    beta = np.zeros(p)
+    beta[0] = rate if free else 0.0
+    now = _nb_sums(table, beta, theta, few)
     for _ in range(max_iter):
-        info, score, t_score, t_info, like, _ = sums
-        move = solve(info, score) if free else np.zeros(p)
-        slope, curve = t_score * theta, t_info * theta ** 2 - t_score * theta
-        t_move = float(np.clip(slope / curve if curve > 0 else np.sign(slope), -1, 1))
+        j = now.observed if free else now.observed[-1:, -1:]
+        score = now.score if free else now.score[-1:]
+        if np.all(np.linalg.eigvalsh(j) > 0):
+            move = solve(j, score)
+        else:
+            move = np.concatenate([solve(now.expected, now.score[:-1]) if free else [], [np.sign(now.score[-1])]])
+        move = np.concatenate([np.zeros(p if not free else 0), move])
+        move[-1] = np.clip(move[-1], -1, 1)
         scale = 1.0
         while True:
-            nb, nt = beta + scale * move, theta * math.exp(scale * t_move)
-            new = _nb_sums(table, nb, nt, weight)
-            if new[4] >= like - 1e-9 * abs(like) or scale < 1e-4:
+            nb, nt = beta + scale * move[:-1], theta * math.exp(scale * move[-1])
+            new = _nb_sums(table, nb, nt, few)
+            if new.like >= now.like - 1e-9 * abs(now.like) or scale < 1e-4:
                 break
             scale /= 2
-        beta, theta, sums = nb, nt, new
-        if max(np.max(np.abs(scale * move)), abs(scale * t_move)) < tol * (1 + np.max(np.abs(beta))):
+        beta, theta, now = nb, nt, new
+        if np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))):
             break
-    return beta, theta, sums[4], sums
+    return beta, theta, now
 
 
 def neg_binomial(df: DataFrame, y: str, terms, offset: str | None = None, weight: str | None = None,
@@ -292,16 +311,17 @@ def neg_binomial(df: DataFrame, y: str, terms, offset: str | None = None, weight
         df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
         log_exposure = "_log_exposure"
     d, table = patterns(df, terms, y, weight, log_exposure)
-    beta, theta, like, sums = _nb_fit(table, d.width)
+    beta, theta, sums = _nb_fit(table, d.width, few=d.few)
+    theta_info = (sums.observed[-1, -1] + sums.score[-1]) / theta ** 2
     n = table.agg(F.sum("_n").alias("n")).first().n
-    return Fit(df.sparkSession, "neg_binomial", d, beta, invert(sums[0]), like, int(n), None, table, df,
-               {"theta": theta, "theta_se": 1 / math.sqrt(sums[3]) if sums[3] > 0 else None, "extra_params": 1,
+    return Fit(df.sparkSession, "neg_binomial", d, beta, invert(sums.expected), sums.like, int(n), None, table, df,
+               {"theta": theta, "theta_se": 1 / math.sqrt(theta_info) if theta_info > 0 else None, "extra_params": 1,
                 "y": y, "weight": weight, "offset": offset})
 
 
 # --- zero-inflated negative binomial -------------------------------------------------------------------
 
-def _zinb_gradients(table: DataFrame, points: list[np.ndarray]) -> np.ndarray:
+def _zinb_gradients(table: DataFrame, points: list[np.ndarray], few: bool) -> np.ndarray:
     """Score of the observed likelihood at several parameter points (beta, logit pi, log theta) in one pass."""
     q = len(points[0])
 
@@ -325,17 +345,17 @@ def _zinb_gradients(table: DataFrame, points: list[np.ndarray]) -> np.ndarray:
             out.append(np.concatenate([score, [d_gamma, d_theta]]))
         return np.concatenate(out)
 
-    return sum_blocks(table, q * len(points), block).reshape(len(points), q)
+    return sum_blocks(table, q * len(points), block, few).reshape(len(points), q)
 
 
-def _zinb_loglik(table: DataFrame, beta, pi, theta) -> float:
+def _zinb_loglik(table: DataFrame, beta, pi, theta, few: bool) -> float:
     def block(batch):
         x, y, w = matrix(batch), column(batch, "_y"), column(batch, "_w")
         mu = np.exp(x @ beta + column(batch, "_offset"))
         dens = np.exp(_nb_log_density(y, mu, theta))
         return np.array([np.sum(w * np.log(np.where(y == 0, pi + (1 - pi) * dens, (1 - pi) * dens)))])
 
-    return float(sum_blocks(table, 1, block)[0])
+    return float(sum_blocks(table, 1, block, few)[0])
 
 
 def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str | None = None, where=None,
@@ -352,21 +372,21 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
         df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
         log_exposure = "_log_exposure"
     d, table = patterns(df, terms, y, weight, log_exposure)
-    beta, theta, _, _ = _nb_fit(table, d.width, tol=1e-4)
+    beta, theta, _ = _nb_fit(table, d.width, few=d.few, tol=1e-3)
     share = table.agg((F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)) / F.sum("_w")).alias("z")).first().z
     pi = min(max(share / 2, 1e-3), 0.9)
     par = np.concatenate([beta, [math.log(pi / (1 - pi)), math.log(theta)]])
     q = len(par)
 
     def like_at(v):
-        return _zinb_loglik(table, v[:-2], 1 / (1 + math.exp(-v[-2])), math.exp(v[-1]))
+        return _zinb_loglik(table, v[:-2], 1 / (1 + math.exp(-v[-2])), math.exp(v[-1]), d.few)
 
     like = like_at(par)
     hess = np.eye(q)
     for _ in range(max_iter):
         h = 1e-5 * (1 + np.abs(par))
         points = [par] + [par + s * h[i] * np.eye(q)[i] for i in range(q) for s in (1, -1)]
-        grads = _zinb_gradients(table, points)
+        grads = _zinb_gradients(table, points, d.few)
         hess = np.array([(grads[1 + 2 * i] - grads[2 + 2 * i]) / (2 * h[i]) for i in range(q)])
         hess = (hess + hess.T) / 2
         vals, vecs = np.linalg.eigh(-hess)

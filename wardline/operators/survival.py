@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.tails import chi2_tail
-from wardline.operators.design import column, complete, design, dot, invert, matrix, solve, sum_blocks, term_sources
+from wardline.operators.design import column, complete, design, dot, few_tasks, invert, matrix, solve, sum_blocks, term_sources
 from wardline.operators.models import Fit, rows_frame
 from wardline.session import cut_lineage
 
@@ -210,6 +210,7 @@ class CoxTable:
                 new[1:] = (table[strata].iloc[1:].to_numpy() != table[strata].iloc[:-1].to_numpy()).any(1)
             new[:1] = True
             self.block_of = np.cumsum(new) - 1
+        self.few = self.small_days and few_tasks(self.rows)
 
     # --- the small day table ---------------------------------------------------------------------
 
@@ -239,9 +240,11 @@ class CoxTable:
                 names=["day", "pos", "value"])
 
         cells = self.rows.select("_x", "_w", "_d", "_n", "_day").mapInArrow(per_task, "day int, pos int, value double")
-        got = cells.groupBy("day", "pos").agg(F.sum("value").alias("value")).toPandas()
+        if not self.few:
+            cells = cells.groupBy("day", "pos").agg(F.sum("value").alias("value"))
+        got = cells.toArrow()
         out = np.zeros((len(self.day_keys), width))
-        out[got["day"].to_numpy(), got["pos"].to_numpy()] = got["value"].to_numpy()
+        np.add.at(out, (got["day"].to_numpy(), got["pos"].to_numpy()), got["value"].to_numpy())
         return out
 
     def _within(self, values: np.ndarray, reverse: bool = False) -> np.ndarray:
@@ -279,7 +282,7 @@ class CoxTable:
             h = r * (hazard[:, day] - own[:, day] * column(batch, "_d"))
             return np.concatenate([((x * hk[:, None]).T @ x).ravel() for hk in h])
 
-        grams = sum_blocks(self.rows.select("_x", "_w", "_d", "_day"), len(powers) * p * p, block)
+        grams = sum_blocks(self.rows.select("_x", "_w", "_d", "_day"), len(powers) * p * p, block, self.few)
         like, score, info = _event_terms(days, powers, p)
         for k in powers:
             info[k] += grams.reshape(len(powers), p, p)[k]
@@ -436,7 +439,7 @@ def _score_squares(table: CoxTable, beta) -> np.ndarray:
             x * column(batch, "h0")[:, None] - gone)
         return ((res * column(batch, "_w2")[:, None]).T @ res).ravel()
 
-    return sum_blocks(rows, p * p, block).reshape(p, p)
+    return sum_blocks(rows, p * p, block, table.few).reshape(p, p)
 
 
 def _event_scale(fit: Fit) -> DataFrame:

@@ -32,7 +32,7 @@ def propensity(df: DataFrame, treatment: str, covariates, name: str = "ps") -> D
     d, table = patterns(used, covariates, treatment)
     if table.select("_y").distinct().limit(2).count() < 2:
         raise ValueError(f"{treatment} has only one value")
-    beta, _ = fit_logit_patterns(table, d.width)
+    beta, _ = fit_logit_patterns(table, d.width, d.few)
     return df.withColumn(name, _score(d, beta))
 
 
@@ -42,8 +42,8 @@ def att_weights(df: DataFrame, treatment: str, ps: str = "ps", name: str = "weig
         F.col(treatment) == 0, F.col(ps) / (1 - F.col(ps))))
 
 
-def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, tol: float = 1e-6, max_iter: int = 50
-              ) -> np.ndarray:
+def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, few: bool, tol: float = 1e-6,
+              max_iter: int = 50) -> np.ndarray:
     """One-against-the-rest logistic coefficients of every arm, all arms in the same passes."""
     index = F
     for k, arm in enumerate(arms):
@@ -62,7 +62,7 @@ def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, tol: float =
                         [np.sum(w * (y * eta - np.logaddexp(0, eta)))]]
             return np.concatenate(out)
 
-        return sum_blocks(rows, k * size, block).reshape(k, size)
+        return sum_blocks(rows, k * size, block, few).reshape(k, size)
 
     betas, now = np.zeros((k, p)), sums(np.zeros((k, p)))
     for _ in range(max_iter):
@@ -94,7 +94,7 @@ def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, sta
         raise ValueError("too many arms")
     total = sum(shares.values())
     arms = sorted(shares)
-    fitted = dict(zip(arms, _fit_arms(table, treatment, arms, d.width)))
+    fitted = dict(zip(arms, _fit_arms(table, treatment, arms, d.width, d.few)))
     score = {arm: _score(d, beta) for arm, beta in fitted.items()}
     weight = F
     for arm in arms:
