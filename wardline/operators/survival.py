@@ -71,27 +71,34 @@ def _arms(df: DataFrame, by: str) -> list:
     return arms
 
 
-def _logrank_parts(df: DataFrame, time: str, event: str, by: str, arms: list) -> tuple[np.ndarray, ...]:
-    """Size, observed, expected per arm and the covariance of observed minus expected."""
+def _risk_days(df: DataFrame, time: str, event: str, by: str, arms: list) -> DataFrame:
+    """Per day: at risk (n), events (d) and people leaving (m) of each arm side by side."""
     is_arm = [F.col(by) == a for a in arms]
     ev = F.col(event) == 1
     days = complete(df, [time, event, by]).groupBy(F.col(time).alias("t")).agg(
         *[F.count_if(c).alias(f"m{i}") for i, c in enumerate(is_arm)],
         *[F.count_if(c & ev).alias(f"d{i}") for i, c in enumerate(is_arm)])
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("t"))
-    k = range(len(arms))
-    risk = days.withColumns({f"n{i}": F.sum(f"m{i}").over(down) for i in k})
-    risk = risk.withColumns({"n": sum(F.col(f"n{i}") for i in k).cast("double"),
-                             "d": sum(F.col(f"d{i}") for i in k).cast("double")})
-    share = [F.col(f"n{i}") / F.col("n") for i in k]
-    spread = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
-    sums = [F.sum(f"m{i}").alias(f"size{i}") for i in k]
-    sums += [F.sum(f"d{i}").alias(f"obs{i}") for i in k]
-    sums += [F.sum(F.col("d") * share[i]).alias(f"exp{i}") for i in k]
-    sums += [F.sum(spread * share[i] * ((1 if i == j else 0) - share[j])).alias(f"v{i}_{j}") for i in k for j in k]
-    r = risk.agg(*sums).first()
-    vec = lambda p: np.array([float(r[f"{p}{i}"] or 0) for i in k])
-    cov = np.array([[float(r[f"v{i}_{j}"] or 0) for j in k] for i in k])
+    return days.withColumns({f"n{i}": F.sum(f"m{i}").over(down) for i in range(len(arms))})
+
+
+def _compare(part: list[int], name: str = "") -> list[Column]:
+    """Sums that compare the arms with these numbers: sizes, observed, expected and covariance."""
+    n = sum(F.col(f"n{i}") for i in part).cast("double")
+    d = sum(F.col(f"d{i}") for i in part).cast("double")
+    share = {i: F.when(n > 0, F.col(f"n{i}") / n).otherwise(0.0) for i in part}
+    spread = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    sums = [F.sum(f"m{i}").alias(f"{name}size{i}") for i in part]
+    sums += [F.sum(f"d{i}").alias(f"{name}obs{i}") for i in part]
+    sums += [F.sum(d * share[i]).alias(f"{name}exp{i}") for i in part]
+    sums += [F.sum(spread * share[i] * ((1 if i == j else 0) - share[j])).alias(f"{name}v{i}_{j}")
+             for i in part for j in part]
+    return sums
+
+
+def _parts_of(row, part: list[int], name: str = "") -> tuple[np.ndarray, ...]:
+    vec = lambda p: np.array([float(row[f"{name}{p}{i}"] or 0) for i in part])
+    cov = np.array([[float(row[f"{name}v{i}_{j}"] or 0) for j in part] for i in part])
     return vec("size"), vec("obs"), vec("exp"), cov
 
 
@@ -106,7 +113,8 @@ def _logrank_stat(parts) -> tuple[float, int, float]:
 def logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
     """Per arm: people, observed and expected events; the test repeated on every row."""
     arms = _arms(df, by)
-    parts = _logrank_parts(df, time, event, by, arms)
+    part = list(range(len(arms)))
+    parts = _parts_of(_risk_days(df, time, event, by, arms).agg(*_compare(part)).first(), part)
     stat, dof, p = _logrank_stat(parts)
     rows = [(str(a), int(parts[0][i]), float(parts[1][i]), float(parts[2][i]), stat, dof, p)
             for i, a in enumerate(arms)]
@@ -124,12 +132,14 @@ def benjamini_hochberg(ps: list[float]) -> list[float]:
 
 
 def pairwise_logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
-    """Log-rank test of every pair of arms, p-values adjusted by Benjamini-Hochberg."""
-    pairs = list(combinations(_arms(df, by), 2))
-    stats = [_logrank_stat(_logrank_parts(df.filter(F.col(by).isin(*pair)), time, event, by, list(pair)))
-             for pair in pairs]
+    """Log-rank test of every pair of arms from one pass, p-values adjusted by Benjamini-Hochberg."""
+    arms = _arms(df, by)
+    pairs = list(combinations(range(len(arms)), 2))
+    sums = [c for k, pair in enumerate(pairs) for c in _compare(list(pair), f"p{k}_")]
+    row = _risk_days(df, time, event, by, arms).agg(*sums).first()
+    stats = [_logrank_stat(_parts_of(row, list(pair), f"p{k}_")) for k, pair in enumerate(pairs)]
     adjusted = benjamini_hochberg([s[2] for s in stats])
-    rows = [(str(a), str(b), s[0], s[2], q) for (a, b), s, q in zip(pairs, stats, adjusted)]
+    rows = [(str(arms[i]), str(arms[j]), s[0], s[2], q) for (i, j), s, q in zip(pairs, stats, adjusted)]
     return rows_frame(df.sparkSession, rows,
                        "arm_a string, arm_b string, chisq double, p_value double, p_adjusted double")
 

@@ -7,6 +7,7 @@ works on those few numbers.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +19,6 @@ from wardline.operators.design import MAX_LEVELS
 from wardline.operators.models import rows_frame
 
 OVERALL = "Overall"
-MOMENTS = "variable string, level string, stratum string, n double, w double, wx double, wxx double, w2 double, w2x double, w2xx double"
 TABLE = ("variable string, level string, stratum string, n double, count double, percent double, mean double, "
          "sd double, p_value double, smd double")
 
@@ -27,52 +27,55 @@ def _strata_column(strata: str | None):
     return F.col(strata).cast("string") if strata else F.lit(OVERALL)
 
 
+@dataclass(frozen=True)
+class Cell:
+    """Sums of one (variable, level, group): counts and values, plain and weighted."""
+
+    level: str | None
+    stratum: str
+    n: float
+    w: float
+    wx: float
+    wxx: float
+    w2: float
+    w2x: float
+    w2xx: float
+
+
 def moments(df: DataFrame, nums, cats, strata: str | None = None, weight: str | None = None) -> DataFrame:
     """Weight, value and squared-weight sums per variable, level and group; NULLs left out.
 
-    Numeric variables are summed side by side.  Categorical ones are laid out as rows inside
-    the scan stage and combined there, so only one row per level and group is shuffled.
+    All variables are laid out as rows inside the one scan and combined there, so a single
+    row per (variable, level, group) and task is shuffled.
     """
-    base = df.withColumn("_g", _strata_column(strata)).withColumn(
-        "_w", F.col(weight).cast("double") if weight else F.lit(1.0)).filter(F.col("_g").isNotNull())
-    parts = []
-    if nums:
-        stats = []
-        for v in nums:
-            x = F.col(v).cast("double")
-            w = F.when(x.isNotNull(), F.col("_w"))
-            stats.append(F.struct(F.lit(v).alias("variable"), F.count(x).cast("double").alias("n"),
-                                  F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"),
-                                  F.sum(w * w).alias("w2"), F.sum(w * w * x).alias("w2x"),
-                                  F.sum(w * w * x * x).alias("w2xx")).alias(v))
-        wide = base.groupBy("_g").agg(*stats)
-        parts.append(wide.select("_g", F.inline(F.array(*[F.col(f"`{v}`") for v in nums]))).select(
-            "variable", F.lit(None).cast("string").alias("level"), F.col("_g").alias("stratum"), "n", "w", "wx", "wxx",
-            "w2", "w2x", "w2xx"))
-    if cats:
-        cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in cats])
-        long = base.select("_g", "_w", F.inline(cells)).filter(F.col("level").isNotNull())
-        counted = long.groupBy("variable", "level", "_g").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") ** 2).alias("w2"))
-        parts.append(counted.select("variable", "level", F.col("_g").alias("stratum"), "n", "w",
-                                    *[F.lit(0.0).alias(c) for c in ("wx", "wxx")], "w2",
-                                    *[F.lit(0.0).alias(c) for c in ("w2x", "w2xx")]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def collect_moments(df: DataFrame, nums, cats, strata=None, weight=None) -> dict[str, list]:
-    """The moments on the driver: one row per variable, level and group, with a checked bound."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    text, number = F.lit(None).cast("string"), F.lit(0.0)
+    cells = [F.struct(F.lit(v).alias("variable"), text.alias("level"), F.col(v).cast("double").alias("x"),
+                      F.col(v).isNotNull().alias("known")) for v in nums]
+    cells += [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"), number.alias("x"),
+                       F.col(c).isNotNull().alias("known")) for c in cats]
+    long = df.select(_strata_column(strata).alias("stratum"), w.alias("_w"), F.inline(F.array(*cells))).filter(
+        F.col("known") & F.col("stratum").isNotNull() & F.col("_w").isNotNull())
+    x, w, w2 = F.col("x"), F.col("_w"), F.col("_w") * F.col("_w")
+    return long.groupBy("variable", "level", "stratum").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum(x * x).alias("xx"), F.sum(w).alias("w"),
+        F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"), F.sum(w2).alias("w2"), F.sum(w2 * x).alias("w2x"),
+        F.sum(w2 * x * x).alias("w2xx"))
+
+
+def collect_moments(df: DataFrame, nums, cats, strata=None, weight=None
+                    ) -> tuple[dict[str, list[Cell]], dict[str, list[Cell]]]:
+    """The moments on the driver, plain and weighted: a checked number of rows."""
     limit = MAX_LEVELS * (len(nums) + len(cats) + 1) * 10
     rows = moments(df, nums, cats, strata, weight).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError("a categorical variable has too many levels for a table")
-    out: dict[str, list] = {v: [] for v in [*nums, *cats]}
+    plain: dict[str, list] = {v: [] for v in [*nums, *cats]}
+    weighted: dict[str, list] = {v: [] for v in [*nums, *cats]}
     for r in rows:
-        out[r.variable].append(r)
-    return out
+        plain[r.variable].append(Cell(r.level, r.stratum, r.n, r.n, r.x, r.xx, r.n, r.x, r.xx))
+        weighted[r.variable].append(Cell(r.level, r.stratum, r.n, r.w, r.wx, r.wxx, r.w2, r.w2x, r.w2xx))
+    return plain, weighted
 
 
 # --- tests -----------------------------------------------------------------------------------------
@@ -209,7 +212,7 @@ def table_one(df: DataFrame, nums=(), cats=(), strata: str | None = None, weight
     Rao-Scott F.  More than two groups give the mean of the pairwise SMDs.
     """
     nums, cats = list(nums), list(cats)
-    sums = collect_moments(df, nums, cats, strata, weight)
+    sums = collect_moments(df, nums, cats, strata, weight)[1]
     out = []
     for v, rows in sums.items():
         numeric = v in nums
@@ -231,13 +234,13 @@ def table_one(df: DataFrame, nums=(), cats=(), strata: str | None = None, weight
 
 
 def smd_table(df: DataFrame, nums=(), cats=(), strata: str = "arm", weight: str | None = None) -> DataFrame:
-    sums = collect_moments(df, list(nums), list(cats), strata, weight)
+    sums = collect_moments(df, list(nums), list(cats), strata, weight)[1]
     rows = [(v, _p_and_smd(r, v in set(nums), weight is not None)[1]) for v, r in sums.items()]
     return rows_frame(df.sparkSession, rows, "variable string, smd double")
 
 
 def chi_square(df: DataFrame, a: str, b: str, correct: bool = True) -> DataFrame:
-    rows = collect_moments(df, [], [a], b)[a]
+    rows = collect_moments(df, [], [a], b)[0][a]
     stat = chi_square_stat(_counts(rows, "n")[2], correct)
     out = [(stat[0], stat[1], chi2_tail(*stat))] if stat else [(None, None, None)]
     return rows_frame(df.sparkSession, out, "chisq double, df int, p_value double")

@@ -122,8 +122,7 @@ def balance_table(df: DataFrame, nums, cats, treatment: str, weight: str, focal=
     """
     nums, cats, focal = list(nums), list(cats), str(focal)
     known = df.filter(F.col(weight).isNotNull())
-    before = collect_moments(known, nums, cats, treatment)
-    after = collect_moments(known, nums, cats, treatment, weight)
+    before, after = collect_moments(known, nums, cats, treatment, weight)
     out = []
     for v in [*nums, *cats]:
         if v in nums:
