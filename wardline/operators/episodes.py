@@ -27,12 +27,14 @@ def _day_number(df: DataFrame, col: str) -> Column:
     return F.unix_date(c) if dict(df.dtypes)[col] == "date" else c.cast("int")
 
 
-def covered_days(df: DataFrame, keys, start: str, length: str, name: str = "days") -> DataFrame:
+def covered_days(df: DataFrame, keys, start: str, length: str, name: str = "days",
+                 first_name: str | None = None) -> DataFrame:
     """Distinct days covered by a key's (possibly overlapping) intervals.
 
     Each interval becomes one 64-day bitmap per calendar word it touches; words are OR-ed per
     (key, word), which combines map-side, and the set bits are counted.  No row per day, no
     sort and no per-patient window.  Intervals without a start or with no day are ignored.
+    ``first_name`` adds the earliest start (as a day number) under that name.
     """
     keys = _list(keys)
     first, days = _day_number(df, start), F.col(length).cast("int")
@@ -42,10 +44,12 @@ def covered_days(df: DataFrame, keys, start: str, length: str, name: str = "days
     words = spans.select("*", F.explode(F.sequence(F.shiftright("_lo", 6), F.shiftright("_hi", 6))).alias("_word"))
     low_bit = F.greatest(F.col("_lo") - F.shiftleft("_word", 6), F.lit(0))
     high_bit = F.least(F.col("_hi") - F.shiftleft("_word", 6), F.lit(63))
-    bits = words.select(*keys, "_word", low_bit.alias("_a"), high_bit.alias("_b")).withColumn(
+    bits = words.select(*keys, "_lo", "_word", low_bit.alias("_a"), high_bit.alias("_b")).withColumn(
         "_mask", F.expr("shiftleft(-1L, _a) & shiftrightunsigned(-1L, 63 - _b)"))
-    merged = bits.groupBy(*keys, "_word").agg(F.bit_or("_mask").alias("_mask"))
-    return merged.groupBy(*keys).agg(F.sum(F.bit_count("_mask")).alias(name))
+    kept = [F.min("_lo").alias("_lo")] if first_name else []
+    merged = bits.groupBy(*keys, "_word").agg(F.bit_or("_mask").alias("_mask"), *kept)
+    kept = [F.min("_lo").alias(first_name)] if first_name else []
+    return merged.groupBy(*keys).agg(F.sum(F.bit_count("_mask")).alias(name), *kept)
 
 
 def merge_intervals(df: DataFrame, key, start: str, end: str) -> DataFrame:
@@ -212,10 +216,10 @@ def drug_courses(dispensing: DataFrame, cohort: DataFrame, key: str = "ref", ind
         F.col(drug).contains("PAXLOVID").alias("paxlovid"), (F.col(duration) + 1).alias("_days"))
     longest = named.groupBy(key, "molnupiravir", "paxlovid", start).agg(F.max("_days").alias("_days"))
     dated = events_after_index(cohort, longest, start, 0, None, index, key, "start_drug")
-    per_drug = covered_days(dated, [key, "molnupiravir", "paxlovid"], "start_drug", "_days", "duration")
-    firsts = dated.groupBy(key).agg(F.min("start_drug").alias("start_drug"))
-    out = course_cost(per_drug).join(firsts, key)
-    return out.withColumn("antiviral_course",
+    per_drug = covered_days(dated, [key, "molnupiravir", "paxlovid"], "start_drug", "_days", "duration", "start_drug")
+    # at most three rows per patient are left here
+    earliest = F.min("start_drug").over(Window.partitionBy(key))
+    return course_cost(per_drug).withColumn("start_drug", earliest).withColumn("antiviral_course",
                           F.when(F.col("duration") == study.FULL_COURSE_DAYS, 2).otherwise(1))
 
 
