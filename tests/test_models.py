@@ -63,7 +63,7 @@ def maximise(fn, at):
     for _ in range(60):
         grad, hess = derivatives(fn, at)
         move = np.linalg.solve(hess, grad)
-        move *= min(1.0, 0.5 / np.max(np.abs(move)))
+        move *= min(1.0, 0.5 / max(np.max(np.abs(move)), 1e-12))
         at = at - move
         if np.max(np.abs(move)) < 1e-9:
             break
@@ -216,7 +216,11 @@ def test_benjamini_hochberg():
 
 def test_weights_balance_the_arms(counts):
     df = counts.withColumn("treated", F.when((F.col("a") >= 2) | (F.col("ref").cast("int") % 3 == 0), 1).otherwise(0))
-    w = att_weights(propensity(df, "treated", [Factor("g"), Factor("fu")]), "treated")
+    # a saturated score balances the covariates exactly, an additive one only nearly
+    g, fu = Factor("g"), Factor("fu")
+    near = att_weights(propensity(df, "treated", [g, fu]), "treated")
+    assert max(abs(r.diff_adjusted) for r in balance_table(near, [], ["g", "fu"], "treated", "weight").collect()) < 0.05
+    w = att_weights(propensity(df, "treated", [g, fu, Interaction(g, fu)]), "treated")
     rows = balance_table(w, [], ["g", "fu"], "treated", "weight").collect()
     assert max(abs(r.diff_adjusted) for r in rows) < 1e-6 <= max(abs(r.diff_unadjusted) for r in rows)
 
