@@ -146,12 +146,17 @@ def glance(fit: Fit) -> DataFrame:
                        "n long, loglik double, minus_2_loglik double, aic double, dropped string")
 
 
+def _exp(x: float) -> float:
+    """Separated data has no finite upper bound."""
+    return math.exp(x) if x < 700 else math.inf
+
+
 def ratio_table(fit: Fit, level: float = 0.95, interval: str = "wald") -> DataFrame:
     """Odds, rate or hazard ratios with their interval; ``interval="profile"`` re-fits per bound."""
     if interval == "profile":
         return rows_frame(fit.spark, _profile_rows(fit, level), RATIO)
     q = t_quantile(0.5 + level / 2, fit.df_resid) if fit.kind == "svy_logit" else normal_quantile(0.5 + level / 2)
-    rows = [(name, math.exp(b), math.exp(b - q * se), math.exp(b + q * se))
+    rows = [(name, _exp(b), _exp(b - q * se), _exp(b + q * se))
             for name, b, se in zip(fit.terms, map(float, fit.beta), map(float, fit.std_errors))]
     return rows_frame(fit.spark, rows, RATIO)
 
