@@ -11,11 +11,13 @@ from wardline.session import cut_lineage
 def attach(rows: DataFrame, per_key: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``per_key``, which has one row for each key.
 
-    The long keys of ``per_key`` are computed anew, so that an aggregate's own partitioning is not reused and both
+    The keys of ``per_key`` (long or string) are computed anew, so that an aggregate's own partitioning is not reused and both
     sides are plain exchanges: only then may Spark split a hot key of ``rows`` (or broadcast the other side by size).
     """
     names = [f"{k}__" for k in keys]
-    side = per_key.select(*[(F.col(k) + F.lit(0)).alias(n) for k, n in zip(keys, names)],
+    kinds = dict(per_key.dtypes)
+    side = per_key.select(*[(F.concat(k, F.lit("")) if kinds[k] == "string" else F.col(k) + F.lit(0)).alias(n)
+                            for k, n in zip(keys, names)],
                           *[c for c in per_key.columns if c not in keys])
     on = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
     return rows.join(side, on, how).drop(*names)
@@ -27,7 +29,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``links`` (columns ``a``, ``b``); the component is its smallest node.
+    """``node, component`` for every node of ``links`` (columns ``a``, ``b``, long or string); the component is its smallest node.
 
     Links with a null end and loops are left out, repeated ones count once; without links the result is empty.
     Each half step is one combined minimum per node and one join, so a node with a third of all links is split.
