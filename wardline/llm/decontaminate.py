@@ -53,15 +53,20 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def found_in(passage: list[bytes], region: list[bytes]) -> float:
-    """Share of the passage found in order if that makes the region a copy or a paraphrase, else 0."""
-    if len(passage) < SHORT:
-        n = len(passage)
+def found_in(passage: list[bytes], region: list[bytes], there: set[bytes]) -> float:
+    """Share of the passage found in order if that makes the region a copy or a paraphrase, else 0.
+
+    ``there`` is the set of the region's words: what it lacks of the passage bounds the share, so most pairs end early.
+    """
+    n = len(passage)
+    if n < SHORT:
         return float(any(region[i:i + n] == passage for i in range(len(region) - n + 1)))
-    share = longest_common(passage, region) / len(passage)
+    if n - len(set(passage).difference(there)) < PARAPHRASED * n:
+        return 0.0
+    share = longest_common(passage, region) / n
     if share >= COPIED:
         return share
-    answer = passage[-max(4, len(passage) // 4):]
+    answer = passage[-max(4, n // 4):]
     return share if share >= PARAPHRASED and longest_common(answer, region) >= ANSWERED * len(answer) else 0.0
 
 
@@ -157,22 +162,40 @@ def latent_space(spark, block: list[tuple], frequency: dict[bytes, int], total:
     return Space([b[0] for b in block], [b[1] for b in block], words, project, targets)
 
 
-def near_windows(words: list[bytes], space: Space, cosine: float) -> list[tuple[int, int]]:
-    """(start of the window, passage) wherever the latent cosine reaches ``cosine``; a window is two steps long."""
-    get, out = space.words.get, []
+class Scan:
+    """Latent spaces side by side, for one look at each word; a word's row is zero in the spaces that lack it."""
+
+    def __init__(self, spaces: list[Space]):
+        self.spaces = spaces
+        self.words = {w: i for i, w in enumerate(sorted({w for s in spaces for w in s.words}))}
+        self.parts, width = [], sum(s.project.shape[1] for s in spaces)
+        self.project = np.zeros((len(self.words), width), np.float32)
+        at = 0
+        for s in spaces:
+            end = at + s.project.shape[1]
+            self.project[[self.words[w] for w in s.words], at:end] = s.project
+            self.parts.append((at, end))
+            at = end
+
+
+def near_windows(words: list[bytes], scan: Scan, cosine: float) -> list[tuple[int, int, int]]:
+    """(start of the window, space, passage) wherever the latent cosine reaches ``cosine``; a window is two steps long."""
+    get, out = scan.words.get, []
     block = STEP * 256
     for first in range(0, max(1, len(words) - STEP), block):
         code = np.array([get(w, -1) for w in words[first:first + block + STEP]])
         at = np.flatnonzero(code >= 0)
         if not len(at):
             continue
-        steps, starts = np.unique(at // STEP, return_index=True)
-        sums = np.zeros((-(-len(code) // STEP) + 1, space.project.shape[1]), np.float32)
-        sums[steps] = np.add.reduceat(space.project[code[at]], starts, axis=0)
+        step = at // STEP
+        starts = np.flatnonzero(np.diff(step, prepend=-1))
+        sums = np.zeros((-(-len(code) // STEP) + 1, scan.project.shape[1]), np.float32)
+        sums[step[starts]] = np.add.reduceat(scan.project[code[at]], starts, axis=0)
         windows = (sums[:-1] + sums[1:])[:256]
-        size = np.linalg.norm(windows, axis=1, keepdims=True)
-        near = windows @ space.targets.T >= cosine * np.maximum(size, 1e-12)
-        out += [(first + STEP * int(i), int(j)) for i, j in zip(*np.nonzero(near & (size > 0)))]
+        for k, (a, b) in enumerate(scan.parts):
+            size = np.linalg.norm(windows[:, a:b], axis=1, keepdims=True)
+            near = windows[:, a:b] @ scan.spaces[k].targets.T >= cosine * np.maximum(size, 1e-12)
+            out += [(first + STEP * int(i), k, int(j)) for i, j in zip(*np.nonzero(near & (size > 0)))]
     return out
 
 
@@ -181,19 +204,21 @@ _FIELDS = T.StructType([T.StructField("contaminated", T.BooleanType()), T.Struct
 
 
 def _flag(docs: DataFrame, text_col: str, spaces: list[Space], cosine: float, name: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(spaces)
+    held = docs.sparkSession.sparkContext.broadcast(Scan(spaces))
     place = docs.columns.index(text_col)
 
     def compute(batch: pa.RecordBatch) -> dict:
-        out = []
+        out, scan = [], held.value
         for text in batch.column(place).to_pylist():
-            words, hits = words_of(text), {}
-            for space in held.value:
-                for start, j in near_windows(words, space, cosine):
-                    region = words[max(0, start - MARGIN):start + 2 * STEP + MARGIN]
-                    share = found_in(space.passages[j], region)
-                    if share:
-                        hits[space.items[j]] = max(share, hits.get(space.items[j], 0.0))
+            words, hits, last, there = words_of(text), {}, -1, set()
+            for start, k, j in sorted(near_windows(words, scan, cosine)):
+                region = words[max(0, start - MARGIN):start + 2 * STEP + MARGIN]
+                if start != last:
+                    last, there = start, set(region)
+                share = found_in(scan.spaces[k].passages[j], region, there)
+                if share:
+                    item = scan.spaces[k].items[j]
+                    hits[item] = max(share, hits.get(item, 0.0))
             out.append((bool(hits), len(hits), ",".join(sorted(hits, key=lambda x: (len(x), x))), max(hits.values(), default=0.0)))
         return dict(zip(_FIELDS.fieldNames(), zip(*out)))
     return append_struct(docs, name, _FIELDS, compute)
