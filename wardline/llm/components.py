@@ -16,7 +16,7 @@ def attach(rows: DataFrame, per_key: DataFrame, *keys: str, how: str = "inner")
     """
     names = [f"{k}__" for k in keys]
     kinds = dict(per_key.dtypes)
-    side = per_key.select(*[(F.concat(k, F.lit("")) if kinds[k] == "string" else F.col(k) + F.lit(0)).alias(n)
+    side = per_key.select(*[(F.concat(k, F.lit("")) if kinds[k] == "string" else F.bitwise_not(F.bitwise_not(k))).alias(n)
                             for k, n in zip(keys, names)],
                           *[c for c in per_key.columns if c not in keys])
     on = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
