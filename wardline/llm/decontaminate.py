@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -53,15 +54,15 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def found_in(passage: list[bytes], region: list[bytes], there: set[bytes]) -> float:
+def found_in(passage: list[bytes], kinds: frozenset[bytes], region: list[bytes], there: set[bytes]) -> float:
     """Share of the passage found in order if that makes the region a copy or a paraphrase, else 0.
 
-    ``there`` is the set of the region's words: what it lacks of the passage bounds the share, so most pairs end early.
+    ``kinds`` and ``there`` are the words of both as sets: what is missing bounds the share, so most pairs end early.
     """
     n = len(passage)
     if n < SHORT:
         return float(any(region[i:i + n] == passage for i in range(len(region) - n + 1)))
-    if n - len(set(passage).difference(there)) < PARAPHRASED * n:
+    if n - len(kinds - there) < PARAPHRASED * n:
         return 0.0
     share = longest_common(passage, region) / n
     if share >= COPIED:
@@ -167,6 +168,7 @@ class Scan:
 
     def __init__(self, spaces: list[Space]):
         self.spaces = spaces
+        self.kinds = [[frozenset(p) for p in s.passages] for s in spaces]
         self.words = {w: i for i, w in enumerate(sorted({w for s in spaces for w in s.words}))}
         self.parts, width = [], sum(s.project.shape[1] for s in spaces)
         self.project = np.zeros((len(self.words), width), np.float32)
@@ -183,7 +185,8 @@ def near_windows(words: list[bytes], scan: Scan, cosine: float) -> list[tuple[in
     get, out = scan.words.get, []
     block = STEP * 256
     for first in range(0, max(1, len(words) - STEP), block):
-        code = np.array([get(w, -1) for w in words[first:first + block + STEP]])
+        part = words[first:first + block + STEP]
+        code = np.fromiter(map(get, part, repeat(-1)), np.int64, len(part))
         at = np.flatnonzero(code >= 0)
         if not len(at):
             continue
@@ -215,7 +218,7 @@ def _flag(docs: DataFrame, text_col: str, spaces: list[Space], cosine: float, na
                 region = words[max(0, start - MARGIN):start + 2 * STEP + MARGIN]
                 if start != last:
                     last, there = start, set(region)
-                share = found_in(scan.spaces[k].passages[j], region, there)
+                share = found_in(scan.spaces[k].passages[j], scan.kinds[k][j], region, there)
                 if share:
                     item = scan.spaces[k].items[j]
                     hits[item] = max(share, hits.get(item, 0.0))
