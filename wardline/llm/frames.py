@@ -58,6 +58,8 @@ def append_struct(df: DataFrame, name: str, fields: T.StructType,
             got = compute(b)
             made = pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in kinds], fields=list(kinds))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+            del b, made, got
+            pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

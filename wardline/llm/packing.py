@@ -155,6 +155,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 for doc_id, start, end in zip(batch.column(0).slice(a, b - a).to_pylist(), ends - counts, ends):
                     packer.add(doc_id, np.append(flat[start:end], np.uint32(end_id)))
                 yield packer.taken()
+            del batch, flat
+            pa.default_memory_pool().release_unused()
         packer.finish()
         yield packer.taken()
     slim = narrow(docs, id_col, text_col)

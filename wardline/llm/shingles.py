@@ -13,7 +13,7 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """64-bit hashes of words; it starts anew when it has ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -90,7 +90,7 @@ def encoder(path: str, keep_space: bool) -> Encoder:
     return _OPEN[key]
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 3 << 20) -> list[tuple[int, int]]:
     """Row ranges of a text column with about ``most`` bytes each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     out, start, held = [], 0, 0
