@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.tails import chi2_tail
-from wardline.operators.design import column, complete, design, dot, few_tasks, invert, matrix, solve, sum_blocks, term_sources
+from wardline.operators.design import column, complete, design, dot, invert, matrix, solve, sum_blocks, term_sources
 from wardline.operators.models import Fit, rows_frame
 from wardline.session import cut_lineage
 
-SMALL_DAYS = 200_000
 MAX_ARMS = 50
 
 
@@ -41,8 +40,8 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: str | None = None, we
     risk = days.withColumn("n_risk", F.sum("_left").over(down)).withColumn(
         "n_censor", F.col("_left") - F.col("n_event"))
     n, d = F.col("n_risk"), F.col("n_event")
-    out = risk.withColumn("survival", F.product(1 - d / n).over(up)).withColumn(
-        "_green", F.sum(F.when(n > d, d / (n * (n - d)))).over(up))
+    out = risk.withColumn("survival", F.product(F.when(n > 0, 1 - F.try_divide(d, n)).otherwise(1.0)).over(up)).withColumn(
+        "_green", F.sum(F.when((n > d) & (n > 0), F.try_divide(d, n * (n - d)))).over(up))
     return out.select(*keys, "time", "n_risk", "n_event", "n_censor", "survival",
                       F.when(F.col("survival") > 0, F.col("survival") * F.sqrt("_green")).alias("std_error"),
                       F.when(F.col("survival") > 0, -F.log("survival")).alias("cum_hazard"))
@@ -187,13 +186,11 @@ def _event_terms(days: dict, powers, p: int):
 class CoxTable:
     """Pattern rows of a Cox model and the day table at a coefficient vector.
 
-    The day table has one row per (stratum, day) with p values each.  Up to SMALL_DAYS rows
-    it is summed up on Spark and finished on the driver; beyond that it stays on Spark, with
-    windows for its running sums.  Both give the same numbers.
+    The day table has one row per (stratum, day) with p values each and stays on Spark, with
+    windows for its running sums; the driver gets p and p x p sums.
     """
 
-    def __init__(self, df: DataFrame, time: str, event: str, terms, weight: str | None, strata: list[str],
-                 small_days: int = SMALL_DAYS):
+    def __init__(self, df: DataFrame, time: str, event: str, terms, weight: str | None, strata: list[str]):
         self.spark, self.strata, self.keys = df.sparkSession, strata, [*strata, "_t"]
         group = list(dict.fromkeys([*strata, *term_sources(terms)]))
         summed = df.select(*[F.col(c) for c in group], F.col(time).alias("_t"), F.col(event).cast("int").alias("_d"),
@@ -208,95 +205,6 @@ class CoxTable:
         self.means = [float(c / center[0]) for c in center[3:]]
         shifted = F.array(*[(e - F.lit(m)).cast("double") for e, m in zip(d.exprs, self.means)])
         self.rows = self.rows.select(*strata, "_t", "_d", "_w", "_w2", "_n", shifted.alias("_x"))
-        table = self.rows.select(*self.keys).distinct().limit(small_days + 1).toPandas()
-        self.small_days = len(table) <= small_days
-        if self.small_days:
-            table = table.sort_values(self.keys, kind="stable", ignore_index=True)
-            table["_day"] = np.arange(len(table), dtype=np.int32)
-            self.day_keys = table
-            self.rows = cut_lineage(self.rows.join(F.broadcast(self.spark.createDataFrame(table)), self.keys))
-            new = np.ones(len(table), bool) if strata else np.zeros(len(table), bool)
-            if strata and len(table) > 1:
-                new[1:] = (table[strata].iloc[1:].to_numpy() != table[strata].iloc[:-1].to_numpy()).any(1)
-            new[:1] = True
-            self.block_of = np.cumsum(new) - 1
-        self.few = self.small_days and few_tasks(self.rows)
-
-    # --- the small day table ---------------------------------------------------------------------
-
-    def _day_sums(self, beta) -> np.ndarray:
-        """Per day: risk and event sums, in the order r0 d0 dw deta dn r1.. d1.. dx.."""
-        p, width = self.p, 5 + 3 * self.p
-
-        def per_task(batches):
-            days = np.zeros(0, np.int64)
-            sums = np.zeros((0, width))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, w, ev = matrix(batch), column(batch, "_w"), column(batch, "_d").astype(float)
-                eta = x @ beta
-                r = w * np.exp(eta)
-                cells = np.column_stack([r, ev * r, ev * w, ev * w * eta, ev * column(batch, "_n"), r[:, None] * x,
-                                         (ev * r)[:, None] * x, (ev * w)[:, None] * x])
-                both = np.concatenate([days, column(batch, "_day")])
-                days, at = np.unique(both, return_inverse=True)
-                merged = np.zeros((len(days), width))
-                np.add.at(merged, at, np.concatenate([sums, cells]))
-                sums = merged
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(days.astype(np.int32), width)),
-                 pa.array(np.tile(np.arange(width, dtype=np.int32), len(days))), pa.array(sums.ravel())],
-                names=["day", "pos", "value"])
-
-        cells = self.rows.select("_x", "_w", "_d", "_n", "_day").mapInArrow(per_task, "day int, pos int, value double")
-        if not self.few:
-            cells = cells.groupBy("day", "pos").agg(F.sum("value").alias("value"))
-        got = cells.toArrow()
-        out = np.zeros((len(self.day_keys), width))
-        np.add.at(out, (got["day"].to_numpy(), got["pos"].to_numpy()), got["value"].to_numpy())
-        return out
-
-    def _within(self, values: np.ndarray, reverse: bool = False) -> np.ndarray:
-        """Running sums inside each stratum, from the last day back when reversed."""
-        block = self.block_of
-        if reverse:
-            values, block = values[::-1], block[::-1]
-        total = np.cumsum(values, axis=0)
-        first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-        base = (total - values)[first]
-        out = total - np.repeat(base, np.diff([*first, len(block)]), axis=0)
-        return out[::-1] if reverse else out
-
-    def small(self, beta, g: np.ndarray | None = None) -> dict:
-        p, sums = self.p, self._day_sums(beta)
-        r0, d0, dw, deta, dn = sums[:, :5].T
-        risk = self._within(np.column_stack([r0, sums[:, 5:5 + p]]), reverse=True)
-        days = {"S0": risk[:, 0], "S1": risk[:, 1:], "d0": d0, "D1": sums[:, 5 + p:5 + 2 * p], "dw": dw, "deta": deta,
-                "dn": dn, "DX": sums[:, 5 + 2 * p:], "g": np.zeros(len(r0)) if g is None else g,
-                **dict(zip(TIE_SUMS, _tie_arrays(dn, risk[:, 0], d0)))}
-        days["wbar"] = np.divide(dw, dn, out=np.zeros_like(dw), where=dn > 0)
-        for k in range(3):
-            days[f"h{k}"] = self._within(days["wbar"] * days["a0"] * days["g"] ** k)
-        return days
-
-    def _small_derivatives(self, beta, g: np.ndarray | None):
-        p, powers = self.p, ((0, 1, 2) if g is not None else (0,))
-        days = self.small(beta, g)
-        hazard = np.array([days[f"h{k}"] for k in powers])
-        own = np.array([days["wbar"] * days["a1"] * days["g"] ** k for k in powers])
-
-        def block(batch):
-            x, day = matrix(batch), column(batch, "_day")
-            r = column(batch, "_w") * np.exp(x @ beta)
-            h = r * (hazard[:, day] - own[:, day] * column(batch, "_d"))
-            return np.concatenate([((x * hk[:, None]).T @ x).ravel() for hk in h])
-
-        grams = sum_blocks(self.rows.select("_x", "_w", "_d", "_day"), len(powers) * p * p, block, self.few)
-        like, score, info = _event_terms(days, powers, p)
-        for k in powers:
-            info[k] += grams.reshape(len(powers), p, p)[k]
-        return like, score, info
 
     # --- the day table on Spark --------------------------------------------------------------------
 
@@ -305,11 +213,6 @@ class CoxTable:
 
     def days(self, beta, g: DataFrame | None = None) -> DataFrame:
         """Per (stratum, day): risk-set sums, event sums, tie sums and running hazard sums."""
-        if self.small_days:
-            table = self.day_keys.drop(columns="_day")
-            for name, values in self.small(beta).items():
-                table[name] = list(values)
-            return self.spark.createDataFrame(table)
         ev, x = F.col("_d") == 1, [F.col("_x")[j] for j in range(self.p)]
         on_event = lambda c: F.sum(F.when(ev, c).otherwise(0.0))
         r, w = F.col("_r"), F.col("_w")
@@ -344,7 +247,7 @@ class CoxTable:
     def with_hazard(self, rows: DataFrame, days: DataFrame, extra: list[str] = ()) -> DataFrame:
         """Own-day hazard sums on the rows: an event row leaves out its share of the tied sums."""
         table = days.select(*self.keys, "h0", "h1", "h2", "g", (F.col("wbar") * F.col("a1")).alias("_own"), *extra)
-        joined = rows.join(F.broadcast(table) if self.small_days else table, self.keys)
+        joined = rows.join(table, self.keys)
         own = F.when(F.col("_d") == 1, F.col("_own")).otherwise(0.0)
         return joined.withColumns({"h0": F.col("h0") - own, "h1": F.col("h1") - own * F.col("g"),
                                    "h2": F.col("h2") - own * F.col("g") * F.col("g")})
@@ -356,11 +259,6 @@ class CoxTable:
         accumulated hazard h, so the day table holds p values per day and never p x p.
         """
         p = self.p
-        if self.small_days:
-            at = None
-            if g is not None:
-                at = self.day_keys[["_t"]].merge(g.toPandas(), on="_t", how="left")["g"].fillna(0.0).to_numpy()
-            return self._small_derivatives(np.asarray(beta, float), at)
         days = self.days(beta, g)
         nul = lambda t: F.lit(None).cast(t)
         people = self.with_hazard(self.scored(beta), days).select(
@@ -393,7 +291,7 @@ class CoxTable:
 
 
 def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None, strata=(), robust: bool | None = None,
-        where=None, tol: float = 1e-6, max_iter: int = 30, small_days: int = SMALL_DAYS) -> Fit:
+        where=None, tol: float = 1e-6, max_iter: int = 30) -> Fit:
     """Proportional hazards with Efron ties, optional weights and strata.
 
     With weights the variance is the robust sandwich unless ``robust=False``.
@@ -401,7 +299,7 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
     df = df if where is None else df.filter(where)
     strata = list(strata)
     df = complete(df, {time, event, *term_sources(terms), *strata, *([weight] if weight else [])})
-    table = CoxTable(df, time, event, terms, weight, strata, small_days)
+    table = CoxTable(df, time, event, terms, weight, strata)
     d = table.design
     beta = np.zeros(d.width)
     like, score, info = table.derivatives(beta)
@@ -449,7 +347,7 @@ def _score_squares(table: CoxTable, beta) -> np.ndarray:
             x * column(batch, "h0")[:, None] - gone)
         return ((res * column(batch, "_w2")[:, None]).T @ res).ravel()
 
-    return sum_blocks(rows, p * p, block, table.few).reshape(p, p)
+    return sum_blocks(rows, p * p, block).reshape(p, p)
 
 
 def _event_scale(fit: Fit) -> DataFrame:

@@ -33,7 +33,7 @@ def outpatient_cohort(visits: DataFrame, demographics: DataFrame, hospital: Data
     people = lookup_first(index, demographics, "ref", list(demo_cols), ["appointment_date", *demo_cols])
     people = people.join(visit_count(kept), "ref", "left")
     people = within_flags(reattendance_days(kept, index), people, "days")
-    emergency = hospital.filter(F.col("emergency_admission") == "Y")
+    emergency = dedupe_rows(hospital.filter(F.col("emergency_admission") == "Y"))
     people = admissions_within(emergency, people)
     people = follow_up(people, first_death(hospital), end, dead_by="record")
     people = people.join(comorbidity if comorbidity is not None else charlson(diagnoses), "ref", "left")
