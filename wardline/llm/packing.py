@@ -29,6 +29,7 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """
     first = max(x for x in counts if x <= capacity)
     target = capacity - first
+    within = (1 << target + 1) - 1
     reach, steps = 1, []
     for length in sorted(counts, reverse=True):
         left = min(counts[length] - (length == first), target // length)
@@ -36,12 +37,12 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
         while left > 0 and not reach >> target & 1:
             take = min(take, left)
             steps.append((reach, length, take))
-            reach |= reach << length * take
+            reach |= reach << length * take & within
             left -= take
             take *= 2
         if reach >> target & 1:
             break
-    best = (reach & ((1 << target + 1) - 1)).bit_length() - 1
+    best = reach.bit_length() - 1
     used: dict[int, int] = defaultdict(int, {first: 1})
     for before, length, take in reversed(steps):
         if not before >> best & 1:
