@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,49 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.keep_space, self.half = keep_space, limit // 2
+        if keep_space:  # the byte-level name of a space
+            names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+            self.spaced = np.array([(n or "").startswith("\u0120") for n in names])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece by the tokenizer.
+
+        Pieces of a space and a word are encoded as one text, since a token begins with a space only where a piece does;
+        the others, and all if the pieces are not found again, one by one.
+        """
+        if self.keep_space:
+            plain = [p[:1] == " " and p[1:2].strip() != "" and "<|" not in p for p in pieces]
+            joined = [p for p, ok in zip(pieces, plain) if ok]
+            ids = np.array(self._encode(["".join(joined)])[0].ids, "<u4")
+            at = 4 * np.flatnonzero(self.spaced[ids])
+            if len(at) == len(joined) and (not len(at) or not at[0]):
+                raw, cuts = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
+                made = iter([raw[a:b] for a, b in zip(cuts, cuts[1:])])
+                rest = iter(self._single([p for p, ok in zip(pieces, plain) if not ok]))
+                return [next(made if ok else rest) for ok in plain]
+        return self._single(pieces)
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self._encode(texts)]
+
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [self.new.get(p) for p in pieces]
+        found = list(map(self.new.get, pieces))
         missing = []
-        for i, f in enumerate(found):
+        for i in [i for i, f in enumerate(found) if f is None]:
+            f = self.old.get(pieces[i])
             if f is None:
-                f = self.old.get(pieces[i])
-                if f is None:
-                    missing.append(i)
-                else:
-                    found[i] = self.new[pieces[i]] = f
+                missing.append(i)
+            else:
+                found[i] = self.new[pieces[i]] = f
         for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            made = self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)
-            for i, e in zip(part, made):
-                found[i] = self.new[pieces[i]] = np.array(e.ids, "<u4").tobytes()
+            part = [pieces[i] for i in missing[at:at + 4096]]
+            for i, p, ids in zip(missing[at:at + 4096], part, self.fresh(part)):
+                found[i] = self.new[p] = ids
             if len(self.new) >= self.half:
                 self.old, self.new = self.new, {}
         return found
@@ -57,10 +83,12 @@ class Encoder:
         starts = np.concatenate([[0], ends[:-1]])
         coded = lists.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        odd = np.fromiter(("<|" in w for w in words), bool, len(words))
+        odd = np.asarray(pc.match_substring(coded.dictionary, "<|"), bool)
         if self.keep_space:
             firsts, where = np.unique(index[starts], return_inverse=True)
-            odd = np.concatenate([odd | np.fromiter((not w or w[0].isspace() for w in words), bool, len(words)), odd[firsts]])
+            head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+            gap = np.asarray(pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)), bool)
+            odd = np.concatenate([odd | gap, odd[firsts]])
             pieces = [" " + w for w in words] + [words[i] for i in firsts]
             index[starts] = len(words) + where
         else:
