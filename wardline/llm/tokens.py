@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# A small letter (folding leaves it a letter), one mark and a space: such a mark is a piece by itself.
+MARK = (r"(\p{Ll})([.,;:!?]) ", r"\1 \2 ")
 _OPEN: dict[tuple, "Encoder"] = {}
 
 
@@ -16,8 +18,9 @@ class Encoder:
     """Ids of whole texts, equal to those of the tokenizer on the whole text.
 
     ``keep_space``: the tokenizer cuts before a single space that a word follows (byte-level); texts are then encoded
-    by such pieces.  Otherwise white space only separates and letters are folded, and the pieces are the words.  A text
-    where this may not hold (a space before white space or at the end, a special token) is encoded whole.
+    by such pieces.  Otherwise white space only separates and letters are folded, and the pieces are the words, without
+    one mark that ends them, which the tokenizer takes by itself too.  A text where this may not hold
+    (a space before white space or at the end, a special token) is encoded whole.
     The memo holds at most ``limit`` pieces: the older half goes when the newer half is full.
     """
 
@@ -29,15 +32,24 @@ class Encoder:
         if keep_space:  # the byte-level name of a space
             names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
             self.spaced = np.array([(n or "").startswith("\u0120") for n in names])
+        else:  # a special token, which ends whatever stands before it
+            self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def fresh(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece by the tokenizer.
 
-        Pieces of a space and a word are encoded as one text, since a token begins with a space only where a piece does;
-        the others, and all if the pieces are not found again, one by one.
+        Pieces are encoded as one text: those of a space and a word as they are, since a token begins with a space only
+        where a piece does, words with a special token between them.  The others, and all if the pieces are not found
+        again, go one by one.
         """
+        if not self.keep_space and self.mark and not any("<|" in p for p in pieces):
+            ids = np.array(self._encode([self.mark[0].join(pieces)])[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[1])
+            if len(at) == len(pieces) - 1:
+                raw, cuts = ids.tobytes(), (4 * at).tolist()
+                return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         if self.keep_space:
             plain = [p[:1] == " " and p[1:2].strip() != "" and "<|" not in p for p in pieces]
             joined = [p for p, ok in zip(pieces, plain) if ok]
@@ -78,7 +90,10 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         texts = pc.fill_null(texts, "")
-        lists = pc.split_pattern(texts if self.keep_space else pc.ascii_lower(texts), " ")
+        split = texts
+        if not self.keep_space:
+            split = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), *MARK)
+        lists = pc.split_pattern(split, " ")
         ends = np.asarray(lists.value_lengths(), np.int64).cumsum()
         starts = np.concatenate([[0], ends[:-1]])
         coded = lists.flatten().dictionary_encode()
