@@ -6,7 +6,6 @@ are folded into that latent space and compared by cosine; what comes near is che
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,11 +27,12 @@ BLOCK, RANK, SPACES_PER_SCAN = 192, 256, 8
 COSINE = 0.4
 # Share of a passage's words found in order: enough alone, or enough when its last quarter (the answer) is there too.
 COPIED, PARAPHRASED, ANSWERED, SHORT = 0.8, 0.6, 0.8, 8
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+# Every byte outside 0-9, a-z and beyond ASCII parts words.
+_PARTS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode("utf-8", "replace"))
+    return (text or "").lower().encode("utf-8", "replace").translate(_PARTS).split()
 
 
 def passages_of(words: list[bytes]) -> list[list[bytes]]:
