@@ -130,6 +130,20 @@ def test_best_fill():
     assert packing.best_fill({1500: 3}, 2048) == {1500: 1}
 
 
+def test_ids_of_pieces_equal_those_of_whole_texts():
+    import pyarrow as pa
+    from wardline.llm.tokens import Encoder
+    texts = ["", "a.", "a. b,", "don't. It's, we'll; x.. y., z! ", "\u00e9. \u00c9\u0301, \u00e9. o", "<|endoftext|>",
+             "a<|endoftext|>b. c <|x", "\u0130. \u03a3. \u03c2,  \u01c5; q", "a\u0338. b", " . , ", "x\n\ny.\nz. \n",
+             "a\u3000b. c", "\u00aba\u00bb. 1. 2, b3. ", "same. same. same, same", None]
+    for name, keep in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        enc = Encoder(tokenizer(name), keep, limit=8)
+        flat, counts = enc.encode(pa.array(texts))
+        want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert flat.tolist() == [i for w in want for i in w]
+
+
 def test_token_store(spark, docs, empty, texts, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
