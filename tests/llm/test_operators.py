@@ -174,6 +174,48 @@ def test_passages(spark, empty):
     assert chunk_dedup.passages(empty).count() == 0
 
 
+def test_passages_have_one_partner(spark):
+    rng = random.Random(15)
+    phrases = [" ".join(f"{rng.randrange(10**6):06d}" for _ in range(9)) + " " for _ in range(12)]
+    long = [words(rng, 60, 9000) for _ in range(3)]
+    rows = [(i, f"{words(rng, 40, 9000)} {p}{words(rng, 40, 9000)}") for i, p in enumerate(phrases)]
+    rows += [(50, "".join(phrases))]
+    # 60 to 64: a chain in which each has parts of the smaller ones, with edits
+    rows += [(60, f"{words(rng, 50, 9000)} {long[0]} {words(rng, 9, 9000)}"), (61, f"{long[1]} {long[0]} {long[2]}"),
+             (62, f"{long[0]} zz {long[1]}"), (63, f"{long[0]} zz {long[1]} {long[2]}"), (64, f"{long[1]} {long[0]} {long[2]}")]
+    texts = dict(rows)
+    got = {r["doc_id"]: r for r in chunk_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {60, 61, 62, 63, 64} and got[60]["n_removed_chars"] == 0
+    kept = {i: got[i]["kept_text"] if i in got else t for i, t in texts.items()}
+    for i, r in got.items():
+        for a, b in (map(int, s.split(":")) for s in r["spans"].split(",")):
+            parts = [texts[i][k:k + 120] for k in range(a, b - 119)]
+            assert parts and any(parts[0] in t for j, t in texts.items() if j != i)
+    # Every stretch of fifty words that several documents have is left whole in one of them.
+    for x in long:
+        w = x.split()
+        assert any(" ".join(w[5:55]) in t for t in kept.values())
+
+
+def test_windows_stand_whole_with_their_keepers():
+    rng = random.Random(16)
+    for _ in range(30):
+        parts = [words(rng, rng.randrange(5, 60), 9000).encode() for _ in range(6)]
+        texts = [b" ".join(rng.choice(parts) for _ in range(5)) for _ in range(6)]
+        cells = [[*zip(*(x.tolist() for x in chunk_dedup.windows(t, 120)))] for t in texts]
+        holders = {}
+        for i, (t, c) in enumerate(zip(texts, cells)):
+            for a, b in c:
+                holders.setdefault(t[a:b], []).append(i)
+        marks = [[(a, b, holders[t[a:b]][0]) for a, b in c if len(set(holders[t[a:b]])) > 1] for t, c in zip(texts, cells)]
+        gone = [chunk_dedup.without(chunk_dedup.runs([m[:2] for m in x if m[2] != i]),
+                                    chunk_dedup.runs([m[:2] for m in x if m[2] == i]), 120) for i, x in enumerate(marks)]
+        for t, x in zip(texts, marks):
+            for a, b, k in x:
+                at = next(m for m in marks[k] if texts[k][m[0]:m[1]] == t[a:b])
+                assert not any(p < at[1] and q > at[0] for p, q in gone[k])
+
+
 def test_url_filter(spark):
     page = '<html><link rel="canonical" href="{}"><p>x</p>'
     pages = [(1, "http://bad.example.com/en/1", None), (2, "http://alias.test/1", page.format("http://bad.example.com/en/1")),

@@ -1,7 +1,8 @@
 """Repeated passages by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides where chunks end, so equal passages get equal chunks wherever they
-stand, and an insertion changes only the chunks it touches.  Digests of chunks found in several documents mark passages.
+stand, and an insertion changes only the chunks it touches.  Windows of neighbouring chunks are digested whole; digests
+found in several documents mark passages, so every mark is a stretch that one other document has byte for byte.
 """
 
 from __future__ import annotations
@@ -19,22 +20,23 @@ from wardline.llm.frames import SPACES, as_bytes, mix64, narrow
 
 # A chunk ends after one in WORDS_PER_CUT white-space bytes, or after one in BYTES_PER_CUT bytes without regard to words.
 WORDS_PER_CUT, BYTES_PER_CUT = 4, 2048
-# Shorter chunks are too common to mark anything by themselves; a passage needs this many bytes in and between marked chunks.
-SEED_BYTES, PASSAGE_BYTES, GAP_BYTES = 24, 120, 64
+# A window of chunks, and so a passage, has this many bytes at least.
+PASSAGE_BYTES = 120
 _GEAR = (mix64(np.arange(256)) >> np.uint64(48)).astype(np.uint16)
 _SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
 
-def chunk_ends(text: bytes) -> np.ndarray:
-    """Ends of the chunks of a text, in bytes; they depend on the 16 bytes before them only and never split a letter."""
-    raw = np.frombuffer(text, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64)
+def gear(raw: np.ndarray) -> np.ndarray:
+    """The rolling hash after each byte."""
     h, reach = _GEAR[raw], 1
     while reach < 16:
         shifted = np.zeros_like(h)
         shifted[reach:] = h[:-reach] << np.uint16(reach)
         h, reach = h + shifted, 2 * reach
+    return h
+
+
+def _ends(raw: np.ndarray, h: np.ndarray) -> np.ndarray:
     letter = np.ones(len(raw), bool)
     letter[:-1] = (raw[1:] & 0xC0) != 0x80
     cut = (_SPACE[raw] & (h < 65536 // WORDS_PER_CUT)) | (letter & (h < 65536 // BYTES_PER_CUT))
@@ -42,8 +44,38 @@ def chunk_ends(text: bytes) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def chunks(docs: DataFrame, seed_bytes: int) -> DataFrame:
-    """``doc, body, at, size, d1, d2`` for each chunk long enough; white space of any kind counts as a blank.
+def chunk_ends(text: bytes) -> np.ndarray:
+    """Ends of the chunks of a text, in bytes; they depend on the 16 bytes before them only and never split a letter."""
+    raw = np.frombuffer(text, np.uint8)
+    return _ends(raw, gear(raw)) if len(raw) else np.empty(0, np.int64)
+
+
+def windows(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows: from each chunk on as many whole chunks as have ``least`` bytes, the last up to the end.
+
+    A window whose hash is above those of both neighbours is left out where these meet without it, so of two neighbours one
+    is always there, and a repeated stretch of several windows loses at most the outer chunk at each side.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    if len(raw) < max(1, least):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = gear(raw)
+    bounds = np.concatenate([[0], _ends(raw, h)])
+    start = bounds[:-1][bounds[:-1] <= len(raw) - least]
+    end = bounds[np.searchsorted(bounds, start + least)]
+    order = h[start - 1]
+    keep = np.ones(len(start), bool)
+    keep[1:-1] = (order[1:-1] <= order[:-2]) | (order[1:-1] <= order[2:]) | (start[2:] > end[:-2])
+    # The hash before the first chunk is of the text's end, so the window after it stays; the last one reaches the end too.
+    keep[:2] = True
+    start, end = start[keep], end[keep]
+    if end[-1] < len(raw):
+        start, end = np.append(start, start[-1]), np.append(end, len(raw))
+    return start, end
+
+
+def cells_of(docs: DataFrame, passage_bytes: int) -> DataFrame:
+    """``doc, body, at, size, d1, d2`` for each window; white space of any kind counts as a blank.
 
     docs has doc_id, body and text; ``at`` and ``size`` are bytes, the digest has 128 bits.
     """
@@ -55,10 +87,7 @@ def chunks(docs: DataFrame, seed_bytes: int) -> DataFrame:
             rows, starts, sizes, digests = [], [], [], []
             for r, text in enumerate(as_bytes(batch.column(2))):
                 text = text.translate(blank)
-                ends = chunk_ends(text)
-                n = np.diff(ends, prepend=0)
-                long = n >= seed_bytes
-                begin, end = (ends - n)[long], ends[long]
+                begin, end = windows(text, passage_bytes)
                 rows.append(np.full(len(begin), r))
                 starts.append(begin)
                 sizes.append(end - begin)
@@ -66,47 +95,62 @@ def chunks(docs: DataFrame, seed_bytes: int) -> DataFrame:
             if rows:
                 r = np.concatenate(rows)
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], bodies[r], np.concatenate(starts),
-                                                  np.concatenate(sizes), d[:, 0].copy(), d[:, 1].copy())],
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], bodies[r], np.concatenate(starts).astype(np.int32),
+                                                  np.concatenate(sizes).astype(np.int32), d[:, 0].copy(), d[:, 1].copy())],
                                                  names=["doc", "body", "at", "size", "d1", "d2"])
-    return docs.mapInArrow(run, "doc long, body long, at long, size long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc long, body long, at int, size int, d1 long, d2 long")
 
 
-def runs(marks: list[tuple[int, int]], least: int, gap: int) -> list[tuple[int, int]]:
-    """Passages: marked stretches in ascending order, joined over gaps of ``gap`` bytes, at least ``least`` long."""
+def runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Marked stretches in ascending order, those that touch as one."""
     out: list[list[int]] = []
     for start, end in marks:
-        if out and start - out[-1][1] <= gap:
+        if out and start <= out[-1][1]:
             out[-1][1] = max(end, out[-1][1])
         else:
             out.append([start, end])
-    return [(a, b) for a, b in out if b - a >= least]
+    return [(a, b) for a, b in out]
+
+
+def without(stretches: list[tuple[int, int]], held: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """What of the stretches lies outside ``held`` (both ascending), if at least ``least`` long."""
+    out, i = [], 0
+    for start, end in stretches:
+        while i < len(held) and held[i][1] <= start:
+            i += 1
+        for a, b in held[i:]:
+            if a >= end:
+                break
+            out.append((start, a))
+            start = max(start, b)
+        out.append((start, end))
+    return [(a, b) for a, b in out if b - a >= max(1, least)]
 
 
 FIELDS = ("n_passages long, passage_chars long, n_removed_chars long, spans string, keepers array<long>, kept_text string")
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_bytes: int = SEED_BYTES,
-             passage_bytes: int = PASSAGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
     """One row for each document that shares a passage with another one: ``doc_id``, the counts, the passages' spans
     (``start:end`` in code points, comma-joined), the documents that keep them and the text without what those keep.
 
-    A passage is a stretch of chunks that other documents have too, also where short chunks lie between, of at least
-    ``passage_bytes`` (a passage of fifty words loses the ends that do not fill a chunk, hence less than its length).
-    Each chunk stays in the smallest id that has it.  Null and empty text has no chunks; rows without id are left
+    A passage is made of windows of neighbouring chunks, each of at least ``passage_bytes`` and each standing whole in some
+    other document; windows that touch form one passage (it loses the ends that do not fill a chunk).
+    Each window stays in the smallest id that has it.  A document loses the bytes of windows that others keep, unless
+    a window that it keeps itself covers them: so every window lost stands whole in the text that its keeper keeps.
+    Null and empty text has no chunks; rows without id are left
     out; rows of one id are one document, so what repeats only among them is no passage, and each such row with
     passages gives a row; identical rows of one id give one row; no passage or an empty table gives no row.
     """
     slim = narrow(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     slim = slim.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text")
-    cells = chunks(slim, seed_bytes)
+    cells = cells_of(slim, passage_bytes)
     common = (cells.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
               .filter("keeper <> last").select("d1", "d2", "keeper"))
     marks = attach(cells, common, "d1", "d2").groupBy("doc", "body").agg(
         F.sort_array(F.collect_set(F.struct("at", "size", "keeper"))).alias("marks"))
-    # Only documents that can reach the length go on to be joined with their text.
-    enough = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m["size"] + F.lit(gap_bytes)) >= passage_bytes
-    marks = marks.filter(enough).select(F.col("doc").alias("doc_id"), "body", "marks")
+    marks = marks.select(F.col("doc").alias("doc_id"), "body", "marks")
     joined = slim.join(marks, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("doc_id", "text", F.col("marks.at").alias("at"),
                                                          F.col("marks.size").alias("size"), F.col("marks.keeper").alias("keeper"))
 
@@ -116,17 +160,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
             for doc, text, at, size, keeper in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)),
                                                    *(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 marks = [(a, a + n) for a, n in zip(at, size)]
-                found = runs(marks, passage_bytes, gap_bytes)
-                if not found:
-                    continue
-                # Stretches to remove end at every chunk that this document keeps.
-                gone, stretch = [], []
-                for m, k in [*zip(marks, keeper), (None, doc)]:
-                    if k != doc:
-                        stretch.append(m)
-                    elif stretch:
-                        gone += runs(stretch, passage_bytes, gap_bytes)
-                        stretch = []
+                found = runs(marks)
+                gone = without(runs([m for m, k in zip(marks, keeper) if k != doc]),
+                               runs([m for m, k in zip(marks, keeper) if k == doc]), passage_bytes)
                 letters = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                 kept, last = [], 0
                 for a, b in gone:
@@ -136,7 +172,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
                 out.append((doc, len(found), int(sum(letters[b] - letters[a] for a, b in found)),
                             int(sum(letters[b] - letters[a] for a, b in gone)),
                             ",".join(f"{letters[a]}:{letters[b]}" for a, b in found),
-                            sorted({k for (a, b), k in zip(marks, keeper) if any(x <= a and b <= y for x, y in found)}),
+                            sorted(set(keeper)),
                             b"".join(kept).decode("utf-8")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
             names = ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))]
