@@ -256,6 +256,20 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(frame.filter("false"), bench).count() == 0
 
 
+def test_decontamination_excerpts(spark):
+    rng = random.Random(14)
+    items = {i: words(rng, n, 3000).split() for i, n in enumerate((96, 58, 48, 200))}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    cuts = [(0, 30, 70), (1, 10, 48), (2, 0, 37), (3, 91, 109), (0, 17, 30), (1, 20, 32)]
+    rows = [(k, f"{words(rng, 500, 3000)} {' '.join(items[i][a:b])} {words(rng, 150, 3000)}") for k, (i, a, b) in enumerate(cuts)]
+    # 6: across the end of a block of windows; 7: the paraphrase of the second half, with the item's end; 8: the first one without.
+    rows.append((6, f"{words(rng, 32 * 256 - 9, 3000)} {' '.join(items[3][50:70])}"))
+    changed = [w if k % 3 else "zz" for k, w in enumerate(items[2])]
+    rows += [(7, " ".join([*changed[:-12], *items[2][-12:-1]])), (8, " ".join(changed[:-12]))]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {0: "0", 1: "1", 2: "2", 3: "3", 4: "0", 6: "3", 7: "2"}
+
+
 def test_longest_common():
     rng = random.Random(6)
     for _ in range(50):

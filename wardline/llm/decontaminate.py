@@ -27,6 +27,9 @@ BLOCK, RANK, SPACES_PER_SCAN = 192, 256, 8
 COSINE = 0.4
 # Share of a passage's words found in order: enough alone, or enough when its last quarter (the answer) is there too.
 COPIED, PARAPHRASED, ANSWERED, SHORT = 0.8, 0.6, 0.8, 8
+# So many words of an item in a row are a copy by themselves; below half a passage, so that each such run lies in some passage.
+RUN = 13
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 # Every byte outside 0-9, a-z and beyond ASCII parts words.
 _PARTS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
 
@@ -35,11 +38,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PARTS).split()
 
 
-def passages_of(words: list[bytes]) -> list[list[bytes]]:
-    """Even parts of at most ``PASSAGE`` words."""
-    parts = -(-len(words) // PASSAGE)
-    cuts = [i * len(words) // parts for i in range(parts + 1)] if parts else []
-    return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+def passages_of(words: list[bytes]) -> list[tuple[int, int]]:
+    """Starts and ends of passages of at most ``PASSAGE`` words, a new one at each half of them."""
+    n = len(words)
+    starts = [*range(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE] if n > PASSAGE else [0] if n else []
+    return [(a, min(n, a + PASSAGE)) for a in starts]
+
+
+def answer_of(words: list[bytes]) -> list[bytes]:
+    """The end of an item: its last quarter, of a long one that of a passage."""
+    return words[-max(4, min(len(words), PASSAGE) // 4):]
 
 
 def longest_common(a: list, b: list) -> int:
@@ -54,28 +62,37 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def found_in(passage: list[bytes], kinds: frozenset[bytes], region: list[bytes], there: set[bytes]) -> float:
+@dataclass
+class Passage:
+    """Words of an item, the answer at that item's end, and how many words of the item come after the passage."""
+    item: str
+    words: list[bytes]
+    answer: list[bytes]
+    rest: int
+
+
+def found_in(passage: Passage, kinds: frozenset[bytes], region: list[bytes], there: set[bytes], after: list[bytes]) -> float:
     """Share of the passage found in order if that makes the region a copy or a paraphrase, else 0.
 
     ``kinds`` and ``there`` are the words of both as sets: what is missing bounds the share, so most pairs end early.
+    ``after`` is what follows the region, as far as the answer of the item may lie behind it.
     """
-    n = len(passage)
+    n = len(passage.words)
     if n < SHORT:
-        return float(any(region[i:i + n] == passage for i in range(len(region) - n + 1)))
+        return float(any(region[i:i + n] == passage.words for i in range(len(region) - n + 1)))
     if n - len(kinds - there) < PARAPHRASED * n:
         return 0.0
-    share = longest_common(passage, region) / n
+    share = longest_common(passage.words, region) / n
     if share >= COPIED:
         return share
-    answer = passage[-max(4, n // 4):]
-    return share if share >= PARAPHRASED and longest_common(answer, region) >= ANSWERED * len(answer) else 0.0
+    answer = passage.answer
+    return share if share >= PARAPHRASED and longest_common(answer, region + after) >= ANSWERED * len(answer) else 0.0
 
 
 @dataclass
 class Space:
     """One latent space: the words' rows (weight times singular vectors), the passages in it, and what they are."""
-    items: list
-    passages: list[list[bytes]]
+    passages: list[Passage]
     words: dict[bytes, int]
     project: np.ndarray
     targets: np.ndarray
@@ -100,36 +117,39 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[bytes])
     return got, got.pop(b"", 0)
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The benchmark's passages as lists of about ``BLOCK`` (item, words), one list on the driver at a time."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[Passage]]:
+    """The benchmark's passages as lists of about ``BLOCK``, one list on the driver at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(item, b" ".join(p)) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for p in passages_of(words_of(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
-                                             names=["item", "words"])
-    parts = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).alias("text")).mapInArrow(run, "item string, words binary")
-    parts = parts.groupBy("words").agg(F.min("item").alias("item"))
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                rows += [(item, b" ".join(words[a:b]), b" ".join(answer_of(words)), len(words) - b) for a, b in passages_of(words)]
+            kinds = {"item": pa.string(), "words": pa.binary(), "answer": pa.binary(), "rest": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+    parts = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).alias("text"))
+    parts = parts.mapInArrow(run, "item string, words binary, answer binary, rest int")
+    parts = parts.groupBy("words", "answer", "rest").agg(F.min("item").alias("item"))
     blocks = max(1, -(-parts.count() // BLOCK))
     parts = parts.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     for i in range(blocks):
-        rows = sorted((r["item"], bytes(r["words"])) for r in parts.filter(F.col("block") == i).collect())
+        rows = sorted((r["item"], bytes(r["words"]), bytes(r["answer"]), r["rest"]) for r in parts.filter(F.col("block") == i).collect())
         if rows:
-            yield [(item, words.split()) for item, words in rows]
+            yield [Passage(item, words.split(), answer.split(), rest) for item, words, answer, rest in rows]
 
 
-def latent_space(spark, block: list[tuple], frequency: dict[bytes, int], total: int) -> Space:
+def latent_space(spark, block: list[Passage], frequency: dict[bytes, int], total: int) -> Space:
     """Randomised decomposition of the block's TF-IDF rows: random range, one power step and its small Gram matrix.
 
     Rows are multiplied where they lie; tasks emit sums over slices of columns, which Spark adds.  The driver
     orthogonalises matrices of (words of the block) x rank and finds the rank x rank rotation.
     """
-    words = {w: i for i, w in enumerate(sorted({w for _, p in block for w in p}))}
+    words = {w: i for i, w in enumerate(sorted({w for p in block for w in p.words}))}
     idf = np.array([np.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words])
     rank = min(RANK, len(words))
     rows = []
-    for _, p in block:
-        tf = Counter(words[w] for w in p)
+    for p in block:
+        tf = Counter(words[w] for w in p.words)
         v = np.array([n * idf[c] for c, n in tf.items()])
         rows.append((list(map(int, tf)), (v / np.linalg.norm(v)).tolist()))
     cells = spark.createDataFrame(rows, "cols array<int>, vals array<double>").repartition(8)
@@ -158,9 +178,9 @@ def latent_space(spark, block: list[tuple], frequency: dict[bytes, int], total:
     value, rotation = np.linalg.eigh(q.T @ power(q))
     basis = q @ rotation[:, value > 1e-9]
     project = (idf[:, None] * basis).astype(np.float32)
-    targets = np.stack([project[[words[w] for w in p]].sum(axis=0) for _, p in block])
+    targets = np.stack([project[[words[w] for w in p.words]].sum(axis=0) for p in block])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
-    return Space([b[0] for b in block], [b[1] for b in block], words, project, targets)
+    return Space(block, words, project, targets)
 
 
 class Scan:
@@ -168,7 +188,7 @@ class Scan:
 
     def __init__(self, spaces: list[Space]):
         self.spaces = spaces
-        self.kinds = [[frozenset(p) for p in s.passages] for s in spaces]
+        self.kinds = [[frozenset(p.words) for p in s.passages] for s in spaces]
         self.words = {w: i for i, w in enumerate(sorted({w for s in spaces for w in s.words}))}
         self.parts, width = [], sum(s.project.shape[1] for s in spaces)
         self.project = np.zeros((len(self.words), width), np.float32)
@@ -178,11 +198,43 @@ class Scan:
             self.project[[self.words[w] for w in s.words], at:end] = s.project
             self.parts.append((at, end))
             at = end
-
-
-def near_windows(words: list[bytes], scan: Scan, cosine: float) -> list[tuple[int, int, int]]:
-    """(start of the window, space, passage) wherever the latent cosine reaches ``cosine``; a window is two steps long."""
-    get, out = scan.words.get, []
+        # Hashes of all runs of the passages in order, and the space and passage of each.
+        code = [(k, j, np.array([self.words[w] for w in p.words])) for k, s in enumerate(spaces) for j, p in enumerate(s.passages)]
+        grams = [run_hashes(c, np.arange(max(0, len(c) - RUN + 1))) for _, _, c in code]
+        owners = np.repeat(np.array([(k, j) for k, j, _ in code], np.int64).reshape(-1, 2), [len(g) for g in grams], axis=0)
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        self.grams, self.owners = flat[order], owners[order]
+
+
+def run_hashes(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``RUN`` words from each start."""
+    word, h = mix64(code), np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(RUN):
+            h = h * _BASE + word[starts + i]
+    return h
+
+
+def runs_in(code: np.ndarray, scan: Scan) -> list[tuple[int, int, int]]:
+    """(start, space, passage) wherever ``RUN`` words in a row may be those of a passage; a code of -1 is in none."""
+    if len(code) < RUN:
+        return []
+    misses = np.concatenate([[0], np.cumsum(code < 0)])
+    starts = np.flatnonzero(misses[RUN:] == misses[:-RUN])
+    if not len(starts):
+        return []
+    h = run_hashes(code, starts)
+    first, last = np.searchsorted(scan.grams, h), np.searchsorted(scan.grams, h, "right")
+    return [(int(starts[i]), *map(int, scan.owners[o])) for i in np.flatnonzero(first < last) for o in range(first[i], last[i])]
+
+
+def near_windows(words: list[bytes], scan: Scan, cosine: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start of the window, space, passage) wherever the latent cosine reaches ``cosine``; a window is two steps long.
+
+    And the same for the starts of runs; neighbouring blocks share a step, so none is cut.
+    """
+    get, out, runs = scan.words.get, [], []
     block = STEP * 256
     for first in range(0, max(1, len(words) - STEP), block):
         part = words[first:first + block + STEP]
@@ -190,6 +242,7 @@ def near_windows(words: list[bytes], scan: Scan, cosine: float) -> list[tuple[in
         at = np.flatnonzero(code >= 0)
         if not len(at):
             continue
+        runs += [(first + i, k, j) for i, k, j in runs_in(code, scan)]
         step = at // STEP
         starts = np.flatnonzero(np.diff(step, prepend=-1))
         sums = np.zeros((-(-len(code) // STEP) + 1, scan.project.shape[1]), np.float32)
@@ -199,7 +252,7 @@ def near_windows(words: list[bytes], scan: Scan, cosine: float) -> list[tuple[in
             size = np.linalg.norm(windows[:, a:b], axis=1, keepdims=True)
             near = windows[:, a:b] @ scan.spaces[k].targets.T >= cosine * np.maximum(size, 1e-12)
             out += [(first + STEP * int(i), k, int(j)) for i, j in zip(*np.nonzero(near & (size > 0)))]
-    return out
+    return out, runs
 
 
 _FIELDS = T.StructType([T.StructField("contaminated", T.BooleanType()), T.StructField("n_items", T.LongType()),
@@ -214,14 +267,25 @@ def _flag(docs: DataFrame, text_col: str, spaces: list[Space], cosine: float, na
         out, scan = [], held.value
         for text in batch.column(place).to_pylist():
             words, hits, last, there = words_of(text), {}, -1, set()
-            for start, k, j in sorted(near_windows(words, scan, cosine)):
-                region = words[max(0, start - MARGIN):start + 2 * STEP + MARGIN]
+            near, runs = near_windows(words, scan, cosine)
+            for start, k, j in sorted(near):
+                end = start + 2 * STEP + MARGIN
+                region = words[max(0, start - MARGIN):end]
                 if start != last:
                     last, there = start, set(region)
-                share = found_in(scan.spaces[k].passages[j], scan.kinds[k][j], region, there)
+                passage = scan.spaces[k].passages[j]
+                share = found_in(passage, scan.kinds[k][j], region, there, words[end:end + passage.rest])
                 if share:
-                    item = scan.spaces[k].items[j]
-                    hits[item] = max(share, hits.get(item, 0.0))
+                    hits[passage.item] = max(share, hits.get(passage.item, 0.0))
+            seen: dict = {}
+            for at, k, j in sorted(runs):
+                passage = scan.spaces[k].passages[j]
+                mine, run = passage.words, words[at:at + RUN]
+                # One look at each copy: its other runs lie within the same region.
+                if at > seen.get((k, j), -1) and any(mine[i:i + RUN] == run for i in range(len(mine) - RUN + 1)):
+                    seen[k, j] = at + PASSAGE - RUN
+                    share = longest_common(mine, words[max(0, at - PASSAGE):at + 2 * PASSAGE]) / len(mine)
+                    hits[passage.item] = max(share, hits.get(passage.item, 0.0))
             out.append((bool(hits), len(hits), ",".join(sorted(hits, key=lambda x: (len(x), x))), max(hits.values(), default=0.0)))
         return dict(zip(_FIELDS.fieldNames(), zip(*out)))
     return append_struct(docs, name, _FIELDS, compute)
@@ -232,13 +296,14 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     """``docs`` with struct columns (one for each scan of up to ``BLOCK * SPACES_PER_SCAN`` passages), and their names.
 
     Every window of every whole text is compared with every benchmark passage.  Null and empty texts and items hold
-    nothing and match nothing; equal passages count once, for the smallest item; passages under ``SHORT`` words must stand
+    nothing and match nothing; equal passages count once, for the smallest item; ``RUN`` words of an item in a row are
+    enough wherever they stand, also without the item's end (then the share may be small); passages under ``SHORT`` words must stand
     there as they are; repeated documents are judged each; an empty benchmark flags nothing; names taken get ``_``.
     """
     spark, names, held = docs.sparkSession, [], []
 
     def scan(df: DataFrame) -> DataFrame:
-        frequency, total = document_frequencies(docs, text_col, {w for b in held for _, p in b for w in p})
+        frequency, total = document_frequencies(docs, text_col, {w for b in held for p in b for w in p.words})
         names.append(fresh(df, "leak"))
         return _flag(df, text_col, [latent_space(spark, b, frequency, total) for b in held], cosine, names[-1])
     out = docs
