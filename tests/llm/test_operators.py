@@ -243,6 +243,19 @@ def test_personal_data(spark, docs, empty):
     assert "[email]" in personal_data.redacted(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
 
 
+def test_labels_reach_all_repeats():
+    text = "call (743) 555-3007, " + "or 555-3007 again " * 50
+    field = personal_data.Field(np.zeros((4097, 5)), np.array([np.zeros((5, 5)), 8 * np.eye(5)]))
+    field.nodes[zlib.crc32(b"b(999)|999-9999") % 4096, 4] = 40
+    got = personal_data.added_spans(text, field, [])
+    assert {(k, text[a:b]) for k, a, b in got if "555" in text[a:b]} == {(3, "555-3007")} and len(got) >= 51
+    # Recognised by a pattern, repeated bare.
+    text = "call +1 (743) 555-3007 now " + "or 555-3007 again " * 50
+    field.nodes[:] = 0
+    got = personal_data.added_spans(text, field, personal_data.base_spans(text))
+    assert len(got) == 50 and {k for k, _, _ in got} == {3}
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(4)
     item = words(rng, 30, 3000)

@@ -1,8 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans.  The field labels every token with a digit or an at sign; neighbours share chain
-potentials, and repeated or similar tokens anywhere in a document share skip potentials, so what is recognised
-in one place is also found where its context is missing.  Loopy message passing settles each document's labels.
+potentials, and all repeats of a token in a document are tied by skip potentials to one shared node (a hub), so what is
+recognised in one place is also found where its context is missing, however many repeats lie between.  Loopy message passing settles each document's labels.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ _DIGIT = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SPACES = frozenset(SPACES)
 
-# Labels: 0 is none.  Documents the field is fitted on, steps of its fit, rounds of messages, and certainty of an added span.
+# Labels: 0 is none.  Documents the field is fitted on, steps of its fit, least rounds of messages, and certainty of an added span.
 SAMPLE, STEPS, RATE, ROUNDS, CERTAIN = 3000, 60, 0.5, 10, 0.9
-FEATURES, LABELS = 4096, len(KINDS) + 1
+# The feature numbered FEATURES is that of the hubs and has no weight; SURE is the score of what is known.
+FEATURES, LABELS, SURE = 4096, len(KINDS) + 1, 1e4
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -107,10 +108,14 @@ def _shape(token: str) -> str:
 
 @dataclass
 class Graph:
-    """One document's tokens: spans, feature numbers, and edges (chain 0, skip 1)."""
+    """One document's tokens: spans, feature numbers, and edges (chain 0, skip 1).
+
+    Hubs are nodes numbered after the tokens, one for each set of tokens that repeat a word; skip edges go from hub to token.
+    """
     spans: list[tuple[int, int]]
     features: list[list[int]]
     edges: np.ndarray
+    hubs: int = 0
 
 
 def graph_of(text: str) -> Graph:
@@ -126,12 +131,22 @@ def graph_of(text: str) -> Graph:
         features.append([zlib.crc32(n.encode()) % FEATURES for n in names])
         if beside:
             edges.append((i - 1, i, 0))
-        # Equal words, and words with the same digits if they are many; each is tied to the one before.
+        # Equal words, and words with the same digits if they are many.
         for key in {text[a:b].lower(), digits if len(digits) >= 6 else text[a:b].lower()}:
-            if key in seen:
-                edges.append((seen[key], i, 1))
-            seen[key] = i
-    return Graph(spans, features, np.array(edges, np.int64).reshape(-1, 3))
+            seen.setdefault(key, []).append(i)
+    tied = list(dict.fromkeys(tuple(m) for m in seen.values() if len(m) > 1))
+    edges += [(len(spans) + h, i, 1) for h, members in enumerate(tied) for i in members]
+    features += [[FEATURES] * 5] * len(tied)
+    return Graph(spans, features, np.array(edges, np.int64).reshape(-1, 3), len(tied))
+
+
+def hub_labels(graph: Graph, labels: np.ndarray) -> np.ndarray:
+    """The label of each hub: the one that most of its recognised tokens have, 0 if none is recognised."""
+    skip = graph.edges[graph.edges[:, 2] == 1]
+    votes = np.zeros((graph.hubs, LABELS), np.int64)
+    np.add.at(votes, (skip[:, 0] - len(graph.spans), labels[skip[:, 1]]), 1)
+    votes[:, 0] = 0
+    return votes.argmax(axis=1)
 
 
 def base_labels(graph: Graph, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -153,9 +168,15 @@ class Field:
     nodes: np.ndarray
     pairs: np.ndarray
 
-    def marginals(self, graph: Graph) -> np.ndarray:
-        """Label probabilities after ``ROUNDS`` rounds of messages along all edges, both ways at once."""
+    def marginals(self, graph: Graph, taken: np.ndarray) -> np.ndarray:
+        """Label probabilities of the tokens once messages along all edges, both ways at once, settle.
+
+        ``taken`` are the base labels: a hub with a recognised token has that token's label, as in the fit.  A message
+        crosses the graph in as many rounds as it has nodes at most, which bounds the rounds.
+        """
         node = self.nodes[np.array(graph.features)].sum(axis=1)
+        known = hub_labels(graph, taken)
+        node[len(graph.spans) + np.flatnonzero(known), known[known > 0]] += SURE
         if not len(graph.edges):
             return _softmax(node)
         source = np.concatenate([graph.edges[:, 0], graph.edges[:, 1]])
@@ -164,7 +185,7 @@ class Field:
         tie = np.concatenate([tie, tie.transpose(0, 2, 1)])
         half, sent = len(graph.edges), np.zeros((len(source), LABELS))
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        for _ in range(ROUNDS):
+        for _ in range(max(ROUNDS, len(node))):
             belief = node.copy()
             np.add.at(belief, sink, sent)
             score = (belief[source] - sent[back])[:, :, None] + tie
@@ -176,7 +197,7 @@ class Field:
                 break
         belief = node.copy()
         np.add.at(belief, sink, sent)
-        return _softmax(belief)
+        return _softmax(belief[:len(graph.spans)])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -191,16 +212,17 @@ def fit(texts: list[str]) -> Field:
         graph = graph_of(text)
         if graph.spans:
             features += graph.features
-            labels.append(base_labels(graph, base_spans(text)))
+            known = base_labels(graph, base_spans(text))
+            labels += [known, hub_labels(graph, known)]
             edges.append(graph.edges + np.array([size, size, 0]))
-            size += len(graph.spans)
-    field = Field(np.zeros((FEATURES, LABELS)), np.zeros((2, LABELS, LABELS)))
-    field.nodes[:, 0] = 0.2
+            size += len(graph.features)
+    field = Field(np.zeros((FEATURES + 1, LABELS)), np.zeros((2, LABELS, LABELS)))
+    field.nodes[:FEATURES, 0] = 0.2
     if not size:
         return field
     f, y, e = np.array(features), np.concatenate(labels), np.concatenate(edges)
     one = np.eye(LABELS)[y]
-    seen = np.bincount(f.ravel(), minlength=FEATURES)[:, None] + 1.0
+    seen = np.bincount(f.ravel(), minlength=FEATURES + 1)[:, None] + 1.0
     ties = np.bincount(e[:, 2], minlength=2)[:, None, None] + 1.0
     for _ in range(STEPS):
         score = field.nodes[f].sum(axis=1)
@@ -212,6 +234,7 @@ def fit(texts: list[str]) -> Field:
         pull = np.zeros_like(field.pairs)
         np.add.at(pull, (e[:, 2], y[e[:, 0]]), miss[e[:, 1]])
         np.add.at(pull.transpose(0, 2, 1), (e[:, 2], y[e[:, 1]]), miss[e[:, 0]])
+        step[FEATURES] = 0
         field.nodes += RATE * step / seen
         field.pairs += RATE * pull / ties
     return field
@@ -230,7 +253,7 @@ def added_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> li
     if not graph.spans:
         return []
     taken = base_labels(graph, base)
-    chance = field.marginals(graph)
+    chance = field.marginals(graph, taken)
     label = np.where((chance.max(axis=1) >= CERTAIN) & (taken == 0), chance.argmax(axis=1), 0)
     out: list[list[int]] = []
     for i, k in enumerate(label):
