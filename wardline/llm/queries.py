@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import (
     chunk_dedup,
+    conversations,
     decontaminate,
     language_id,
     line_dedup,
@@ -21,7 +23,7 @@ from wardline.llm import (
     url_filter,
 )
 from wardline.llm.frames import read
-from wardline.session import shared_dir
+from wardline.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +106,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def damaged(talk: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with faults put in by the CRC of their key."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20
+    text = F.when(way == 1, "").when(way == 2, F.translate(shown("text"), ".!?", "")).otherwise(shown("text"))
+    role = F.when(way == 4, "user").otherwise(shown("role"))
+    copies = F.explode(F.when(way == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return talk.filter(way != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = read(spark, sf_dir, "conversations")
+    rows = damaged(talk)
+    found = cut_lineage(conversations.audits(rows))
+    digests = conversations.repaired_digests(rows, found)
+    every, both = talk.select("conv_id").distinct(), found.join(digests.withColumnRenamed("conv_id", "conv"),
+                                                                F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
+    out = every.join(both.withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    none = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "",
+            "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    return out.fillna(none)
+
+
 ORACLES["op4_line_dedup"] = """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 rows AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
