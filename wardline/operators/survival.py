@@ -1,22 +1,27 @@
 """Kaplan-Meier, log-rank and Cox models.
 
-Follow-up is in whole days, so people are first summed per (arm or stratum, day, event,
-covariate pattern).  Running sums then go over at most one row per day, and every Newton
-step of the Cox fit is one Spark job that returns p x p sums.
+People are first summed per (arm or stratum, time, event, covariate pattern).  Running sums over times go in two
+levels (a part of the times per task, then the parts).  A Cox step is one or two passes over people laid out
+by stratum and falling time, without a shuffle; only p x p sums per part reach the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.tails import chi2_tail
+from wardline.functions.tails import chi2_tail, normal_quantile, normal_two_sided
 from wardline.operators.design import column, complete, design, dot, invert, matrix, solve, sum_blocks, term_sources
 from wardline.operators.models import Fit, rows_frame
+from wardline.operators.riskscan import Scan, hand_on
+from wardline.operators.running import PART, ranged, running
 from wardline.session import cut_lineage
 
 MAX_ARMS = 50
@@ -28,23 +33,43 @@ def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
-def kaplan_meier(df: DataFrame, time: str, event: str, by: str | None = None, weight: str | None = None) -> DataFrame:
-    """Per arm and day: at risk, events, censored, survival with Greenwood error, cumulative hazard."""
+def kaplan_meier(df: DataFrame, time: str, event: str, by: str | None = None, weight: str | None = None,
+                 limits: bool = False, level: float = 0.95) -> DataFrame:
+    """Per arm and time: at risk, events, censored, survival with Greenwood error, cumulative hazard.
+
+    With ``limits`` also the influence-based error (each person's share in the curve by the infinitesimal
+    jackknife, right also with weights) and limits on the log scale, from it where there are weights and else from
+    Greenwood's.
+    """
     keys = [by] if by else []
     used = complete(df, [time, event, *keys]).withColumn("_w", _weight(weight))
+    on_event = lambda c: F.sum(F.when(F.col(event) == 1, c).otherwise(0.0))
     days = used.groupBy(*keys, F.col(time).alias("time")).agg(
-        F.sum("_w").alias("_left"),
-        F.sum(F.when(F.col(event) == 1, F.col("_w")).otherwise(0.0)).alias("n_event"))
-    down = Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("time"))
-    up = Window.partitionBy(*keys or [F.lit(0)]).orderBy("time")
-    risk = days.withColumn("n_risk", F.sum("_left").over(down)).withColumn(
-        "n_censor", F.col("_left") - F.col("n_event"))
+        F.sum("_w").alias("_left"), on_event(F.col("_w")).alias("n_event"),
+        F.sum(F.col("_w") * F.col("_w")).alias("_left2"), on_event(F.col("_w") * F.col("_w")).alias("_event2"))
+    back = {"n_risk": "_left"} | ({"_risk2": "_left2"} if limits else {})
+    risk = running(ranged(days, keys, "time"), keys, "time", back, descending=True)
+    risk = risk.withColumn("n_censor", F.col("_left") - F.col("n_event"))
     n, d = F.col("n_risk"), F.col("n_event")
-    out = risk.withColumn("survival", F.product(F.when(n > 0, 1 - F.try_divide(d, n)).otherwise(1.0)).over(up)).withColumn(
-        "_green", F.sum(F.when((n > d) & (n > 0), F.try_divide(d, n * (n - d)))).over(up))
-    return out.select(*keys, "time", "n_risk", "n_event", "n_censor", "survival",
-                      F.when(F.col("survival") > 0, F.col("survival") * F.sqrt("_green")).alias("std_error"),
-                      F.when(F.col("survival") > 0, -F.log("survival")).alias("cum_hazard"))
+    green = F.when((n > d) & (n > 0), F.try_divide(d, n * (n - d))).otherwise(0.0)
+    out = running(risk.withColumn("_g", green), keys, "time", {"_green": "_g"},
+                  products={"survival": F.when(n > 0, 1 - F.try_divide(d, n)).otherwise(1.0)})
+    s = F.col("survival")
+    shown = [*keys, "time", "n_risk", "n_event", "n_censor", s.alias("survival"),
+             F.when(s > 0, s * F.sqrt("_green")).alias("std_error"), F.when(s > 0, -F.log(s)).alias("cum_hazard")]
+    if not limits:
+        return out.select(*shown)
+    # someone who left at u has the influence event/(n-d) - A(u) on the log curve, A(u) Greenwood's sum; others have -A(t)
+    alive = F.coalesce(F.try_divide(F.lit(1.0), n - d), F.lit(0.0))
+    gone = (F.col("_event2") * (alive - F.col("_green")) ** 2 + (F.col("_left2") - F.col("_event2")) * F.col("_green") ** 2)
+    out = running(out.withColumn("_q", gone), keys, "time", {"_gone": "_q"})
+    after = F.greatest(F.col("_risk2") - F.col("_left2"), F.lit(0.0))
+    influence = F.sqrt(F.col("_gone") + F.col("_green") ** 2 * after)
+    on_log = influence if weight else F.sqrt("_green")
+    z = normal_quantile(0.5 + level / 2)
+    return out.select(*shown, F.when(s > 0, s * influence).alias("robust_error"),
+                      F.when(s > 0, s * F.exp(-z * on_log)).alias("conf_low"),
+                      F.when(s > 0, F.least(s * F.exp(z * on_log), F.lit(1.0))).alias("conf_high"))
 
 
 def risk_table(km: DataFrame, times: list[int], by: str | None = None) -> DataFrame:
@@ -77,8 +102,7 @@ def _risk_days(df: DataFrame, time: str, event: str, by: str, arms: list) -> Dat
     days = complete(df, [time, event, by]).groupBy(F.col(time).alias("t")).agg(
         *[F.count_if(c).alias(f"m{i}") for i, c in enumerate(is_arm)],
         *[F.count_if(c & ev).alias(f"d{i}") for i, c in enumerate(is_arm)])
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("t"))
-    return days.withColumns({f"n{i}": F.sum(f"m{i}").over(down) for i in range(len(arms))})
+    return running(ranged(days, [], "t"), [], "t", {f"n{i}": f"m{i}" for i in range(len(arms))}, descending=True)
 
 
 def _compare(part: list[int], name: str = "") -> list[Column]:
@@ -146,155 +170,150 @@ def pairwise_logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame
 # --- Cox model -------------------------------------------------------------------------------------
 
 TIE_SUMS = ("a0", "a1", "c0", "c1", "c2", "ll")
+KEYS = ["_s", "_tt"]
+DAYS = ("_s string, _tt double, S0 double, d0 double, dw double, dn double, wbar double, g double, S1 array<double>, "
+        "D1 array<double>, " + ", ".join(f"{c} double" for c in TIE_SUMS))
 
 
-def _tie_arrays(d: np.ndarray, s0: np.ndarray, d0: np.ndarray) -> np.ndarray:
-    """Sums over the tied events of a day: with s = S0 - f*D0 and f = l/d, l = 0..d-1,
-    of 1/s, f/s, 1/s^2, f/s^2, f^2/s^2 and log s."""
-    out = np.zeros((len(TIE_SUMS), len(d)))
-    for i in np.flatnonzero(d > 0):
-        for lo in range(0, int(d[i]), 1 << 20):
-            f = np.arange(lo, min(int(d[i]), lo + (1 << 20))) / d[i]
-            s = s0[i] - f * d0[i]
-            a = 1 / s
-            out[:, i] += [a.sum(), (a * f).sum(), (a * a).sum(), (a * a * f).sum(), (a * a * f * f).sum(),
-                          np.log(s).sum()]
-    return out
-
-
-def _tie_sums(batches):
-    for batch in batches:
-        out = _tie_arrays(column(batch, "dn"), column(batch, "S0"), column(batch, "d0"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(row) for row in out]],
-                                         names=[*batch.schema.names, *TIE_SUMS])
+def _stratum(strata: list[str]) -> Column:
+    return F.to_json(F.struct(*strata)) if strata else F.lit("")
 
 
-def _event_terms(days: dict, powers, p: int):
-    """Log-likelihood, scores and (negative) mean products of the event days."""
-    s1, d1, dx, wb, gg = days["S1"], days["D1"], days["DX"], days["wbar"], days["g"]
-    a0, a1, c0, c1, c2, ll = (days[c] for c in TIE_SUMS)
-    score, info = np.zeros((3, p)), np.zeros((3, p, p))
-    u = dx - wb[:, None] * (a0[:, None] * s1 - a1[:, None] * d1)
-    for k in powers:
-        f = wb * gg ** k
-        score[k] = (u * (gg ** k)[:, None]).sum(0)
-        cross = (s1 * (f * c1)[:, None]).T @ d1
-        info[k] = -((s1 * (f * c0)[:, None]).T @ s1 - cross - cross.T + (d1 * (f * c2)[:, None]).T @ d1)
-    return float(np.sum(days["deta"] - wb * ll)), score, info
+def _read(batches, scan: Scan) -> None:
+    for b in batches:
+        if b.num_rows:
+            scan.take(b.column(0).to_pylist(), *(column(b, c) for c in ("_tt", "_d", "_w")), column(b, "_n").astype(float),
+                      matrix(b), column(b, "_g"))
 
 
 class CoxTable:
-    """Pattern rows of a Cox model and the day table at a coefficient vector.
+    """Pattern rows of a Cox model, laid out by stratum and falling time.
 
-    The day table has one row per (stratum, day) with p values each and stays on Spark, with
-    windows for its running sums; the driver gets p and p x p sums.
+    The rows are dealt by ranges, also within a busy time, and written once; each evaluation reads them in order (``Scan``).
+    With several parts a first pass hands the open sums of a part on to the next: 2 (p^2 + 3p) numbers per part.
     """
 
     def __init__(self, df: DataFrame, time: str, event: str, terms, weight: str | None, strata: list[str]):
-        self.spark, self.strata, self.keys = df.sparkSession, strata, [*strata, "_t"]
+        self.spark, self.strata = df.sparkSession, strata
         group = list(dict.fromkeys([*strata, *term_sources(terms)]))
         summed = df.select(*[F.col(c) for c in group], F.col(time).alias("_t"), F.col(event).cast("int").alias("_d"),
                            _weight(weight).alias("_w")).groupBy(*group, "_t", "_d").agg(
             F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.count(F.lit(1)).alias("_n"))
-        self.rows = cut_lineage(summed)
-        self.design = d = design(self.rows, terms, intercept=False)
+        rows = cut_lineage(summed)
+        self.design = d = design(rows, terms, intercept=False)
         self.p = d.width
-        center = self.rows.agg(F.sum("_w"), F.sum("_n"), F.sum(F.col("_n") * F.col("_d")),
-                               *[F.sum(F.col("_w") * e) for e in d.exprs]).first()
+        center = rows.agg(F.sum("_w"), F.sum("_n"), F.sum(F.col("_n") * F.col("_d")),
+                          *[F.sum(F.col("_w") * e) for e in d.exprs]).first()
         self.n, self.events = int(center[1]), int(center[2])
         self.means = [float(c / center[0]) for c in center[3:]]
-        shifted = F.array(*[(e - F.lit(m)).cast("double") for e, m in zip(d.exprs, self.means)])
-        self.rows = self.rows.select(*strata, "_t", "_d", "_w", "_w2", "_n", shifted.alias("_x"))
-
-    # --- the day table on Spark --------------------------------------------------------------------
-
-    def scored(self, beta) -> DataFrame:
-        return self.rows.withColumn("_eta", dot("_x", beta)).withColumn("_r", F.col("_w") * F.exp("_eta"))
-
-    def days(self, beta, g: DataFrame | None = None) -> DataFrame:
-        """Per (stratum, day): risk-set sums, event sums, tie sums and running hazard sums."""
-        ev, x = F.col("_d") == 1, [F.col("_x")[j] for j in range(self.p)]
-        on_event = lambda c: F.sum(F.when(ev, c).otherwise(0.0))
-        r, w = F.col("_r"), F.col("_w")
-        sums = [F.sum(r).alias("r0"), on_event(r).alias("d0"), on_event(w).alias("dw"),
-                on_event(w * F.col("_eta")).alias("deta"),
-                F.sum(F.when(ev, F.col("_n")).otherwise(0)).cast("double").alias("dn")]
-        sums += [F.sum(r * x[j]).alias(f"r1_{j}") for j in range(self.p)]
-        sums += [on_event(r * x[j]).alias(f"d1_{j}") for j in range(self.p)]
-        sums += [on_event(w * x[j]).alias(f"dx_{j}") for j in range(self.p)]
-        per_day = self.scored(beta).groupBy(*self.keys).agg(*sums)
-        part = [F.col(s) for s in self.strata] or [F.lit(0)]
-        down = Window.partitionBy(*part).orderBy(F.desc("_t"))
-        up = Window.partitionBy(*part).orderBy("_t")
-        arr = lambda name: F.array(*[F.col(f"{name}_{j}") for j in range(self.p)])
-        risk = per_day.withColumn("S0", F.sum("r0").over(down)).withColumns(
-            {f"s1_{j}": F.sum(f"r1_{j}").over(down) for j in range(self.p)})
-        flat = risk.select(*self.keys, "S0", "d0", "dw", "deta", "dn", arr("s1").alias("S1"), arr("d1").alias("D1"),
-                           arr("dx").alias("DX"))
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
-        ties = flat.mapInArrow(_tie_sums, schema + "".join(f", {c} double" for c in TIE_SUMS))
-        if g is not None:
-            ties = ties.join(g, "_t", "left").fillna({"g": 0.0})
-        else:
-            ties = ties.withColumn("g", F.lit(0.0))
-        wbar = F.when(F.col("dn") > 0, F.col("dw") / F.col("dn")).otherwise(0.0)
-        out = ties.withColumn("wbar", wbar).withColumns({
-            "h0": F.sum(F.col("wbar") * F.col("a0")).over(up),
-            "h1": F.sum(F.col("wbar") * F.col("a0") * F.col("g")).over(up),
-            "h2": F.sum(F.col("wbar") * F.col("a0") * F.col("g") * F.col("g")).over(up)})
-        return out
+        self.rows = self._laid_out(rows.select(
+            _stratum(strata).alias("_s"), F.col("_t").cast("double").alias("_tt"), "_d", "_w", "_w2", "_n",
+            F.lit(0.0).alias("_g"), self.centred().alias("_x")))
+
+    def centred(self) -> Column:
+        return F.array(*[(e - F.lit(m)).cast("double") for e, m in zip(self.design.exprs, self.means)])
+
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        order = [F.col("_s"), F.col("_tt").desc()]
+        rows = rows.repartitionByRange(*order, F.xxhash64("_x", "_d")).sortWithinPartitions(*order)
+        self.parts = None
+        return cut_lineage(rows)
+
+    def with_scale(self, g: DataFrame) -> CoxTable:
+        """The same people with g (one row per ``_tt``) beside them."""
+        other = object.__new__(CoxTable)
+        other.__dict__.update(self.__dict__)
+        other.rows = other._laid_out(self.rows.drop("_g").join(g.select(F.col("_tt").alias("_at"), F.col("g").alias("_g")),
+                                                               F.col("_tt") == F.col("_at")).drop("_at"))
+        return other
+
+    # --- passes ----------------------------------------------------------------------------------
+
+    def _starts(self, beta) -> tuple[dict, set]:
+        """What each part starts with; a single part starts with nothing."""
+        if self.parts is None:
+            self.parts = self.rows.rdd.getNumPartitions()
+        if self.parts == 1:
+            return {}, set()
+        p = self.p
 
-    def with_hazard(self, rows: DataFrame, days: DataFrame, extra: list[str] = ()) -> DataFrame:
-        """Own-day hazard sums on the rows: an event row leaves out its share of the tied sums."""
-        table = days.select(*self.keys, "h0", "h1", "h2", "g", (F.col("wbar") * F.col("a1")).alias("_own"), *extra)
-        joined = rows.join(table, self.keys)
-        own = F.when(F.col("_d") == 1, F.col("_own")).otherwise(0.0)
-        return joined.withColumns({"h0": F.col("h0") - own, "h1": F.col("h1") - own * F.col("g"),
-                                   "h2": F.col("h2") - own * F.col("g") * F.col("g")})
-
-    def derivatives(self, beta, g: DataFrame | None = None):
-        """Log-likelihood, score and information; with g(t) also their g- and g^2-weighted forms.
-
-        The second-moment sum over event days is turned around: each row adds r*h*xx' with its
-        accumulated hazard h, so the day table holds p values per day and never p x p.
+        def run(batches):
+            scan = Scan(p, beta, evaluate=False)
+            _read(batches, scan)
+            part = TaskContext.get().partitionId()
+            found = scan.summary(part)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(found)], pa.binary())],
+                                             names=["part", "sums"])
+        got = self._laid().mapInArrow(run, "part int, sums binary").collect()
+        return hand_on([x for x in (pickle.loads(r.sums) for r in sorted(got, key=lambda r: r.part)) if x])
+
+    def _laid(self) -> DataFrame:
+        return self.rows.select("_s", "_tt", "_d", "_w", "_n", "_x", "_g")
+
+    def derivatives(self, beta, powers=(0,)):
+        """Log-likelihood, score and information; with powers 1 and 2 also their g- and g^2-weighted forms.
+
+        The second-moment sum over event days is turned around: each row adds r*h*xx' with the hazard h of the days it is at
+        risk on, so a day has p values and never p x p.
         """
         p = self.p
-        days = self.days(beta, g)
-        nul = lambda t: F.lit(None).cast(t)
-        people = self.with_hazard(self.scored(beta), days).select(
-            F.lit(0).alias("kind"), "_x", *[(F.col("_r") * F.col(h)).alias(h) for h in ("h0", "h1", "h2")],
-            *[nul("array<double>").alias(c) for c in ("S1", "D1", "DX")],
-            *[F.lit(0.0).alias(c) for c in ("wbar", *TIE_SUMS, "deta", "g")])
-        events = days.filter(F.col("dn") > 0).select(
-            F.lit(1).alias("kind"), nul("array<double>").alias("_x"),
-            *[F.lit(0.0).alias(h) for h in ("h0", "h1", "h2")], "S1", "D1", "DX", "wbar", *TIE_SUMS, "deta", "g")
-        powers = (0, 1, 2) if g is not None else (0,)
-
-        def block(batch):
-            kind = column(batch, "kind")
-            like, score, info = 0.0, np.zeros((3, p)), np.zeros((3, p, p))
-            rows = batch.filter(pa.array(kind == 0))
-            if rows.num_rows:
-                x = matrix(rows)
-                for k in powers:
-                    info[k] += (x * column(rows, f"h{k}")[:, None]).T @ x
-            evs = batch.filter(pa.array(kind == 1))
-            if evs.num_rows:
-                table = {c: matrix(evs, c) for c in ("S1", "D1", "DX")}
-                table |= {c: column(evs, c) for c in ("wbar", "g", "deta", *TIE_SUMS)}
-                like, score, negative = _event_terms(table, powers, p)
-                info += negative
-            return np.concatenate([[like], score.ravel(), info.ravel()])
-
-        s = sum_blocks(people.unionByName(events), 1 + 3 * p + 3 * p * p, block)
+        starts, open_ended = self._starts(beta)
+
+        def run(batches):
+            part = TaskContext.get().partitionId()
+            scan = Scan(p, beta, starts.get(part), powers)
+            _read(batches, scan)
+            if part not in open_ended:
+                scan.finish_day()
+            sums = np.concatenate([[scan.like], scan.score.ravel(), scan.info.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], names=["sums"])
+
+        got = self._laid().mapInArrow(run, "sums array<double>").collect()
+        s = np.sum([r.sums for r in got], axis=0) if got else np.zeros(1 + 3 * p + 3 * p * p)
         return float(s[0]), s[1:1 + 3 * p].reshape(3, p), s[1 + 3 * p:].reshape(3, p, p)
 
+    def days(self, beta) -> DataFrame:
+        """Per (stratum, time): risk-set sums, event sums, tie sums, and the hazard up to it (``h0``, running)."""
+        p = self.p
+        starts, open_ended = self._starts(beta)
+        names = [c.split()[0] for c in DAYS.split(", ")]
+
+        def run(batches):
+            part, made = TaskContext.get().partitionId(), []
+
+            def emit(s, t, table, wbar, sums):
+                lists = [pa.array(list(table[k]), pa.list_(pa.float64())) for k in ("S1", "d1")]
+                flat = [pa.array(np.asarray(v, float)) for v in (t, table["S0"], table["d0"], table["dw"], table["dn"], wbar,
+                                                                 table["g"])]
+                made.append(pa.RecordBatch.from_arrays([pa.array([s] * len(t)), *flat, *lists, *[pa.array(v) for v in sums]],
+                                                       names=names))
+            scan = Scan(p, beta, starts.get(part), emit=emit)
+            for b in batches:
+                _read([b], scan)
+                yield from made
+                made.clear()
+            if part not in open_ended:
+                scan.finish_day()
+            yield from made
+
+        table = ranged(self._laid().mapInArrow(run, DAYS), ["_s"], "_tt")
+        return running(table, ["_s"], "_tt", {"h0": F.col("wbar") * F.col("a0")})
+
+    def with_hazard(self, rows: DataFrame, days: DataFrame, extra: list[str] = ()) -> DataFrame:
+        """Own-time hazard sums on the rows: an event row leaves out its share of the tied sums."""
+        table = days.select(F.col("_s").alias("_s_"), F.col("_tt").alias("_tt_"), F.col("h0").alias("_h"),
+                            (F.col("wbar") * F.col("a1")).alias("_own"), *extra)
+        joined = rows.join(table, (F.col("_s") == F.col("_s_")) & (F.col("_tt") == F.col("_tt_"))).drop("_s_", "_tt_")
+        return joined.withColumn("h0", F.col("_h") - F.when(F.col("_d") == 1, F.col("_own")).otherwise(0.0)).drop("_h")
+
 
 def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None, strata=(), robust: bool | None = None,
         where=None, tol: float = 1e-6, max_iter: int = 30) -> Fit:
     """Proportional hazards with Efron ties, optional weights and strata.
 
-    With weights the variance is the robust sandwich unless ``robust=False``.
+    With weights the variance is the robust sandwich unless ``robust=False``; ``extra`` keeps the model-based one as
+    ``naive``.  ``extra["converged"]`` tells whether the last step was small; a coefficient without a finite
+    maximum (separated data) goes on to ``max_iter`` and does not converge.
     """
     df = df if where is None else df.filter(where)
     strata = list(strata)
@@ -303,8 +322,10 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
     d = table.design
     beta = np.zeros(d.width)
     like, score, info = table.derivatives(beta)
-    null_like = like
-    for _ in range(max_iter):
+    null_like, null_score, null_info = like, score[0], info[0]
+    converged, steps = False, 0
+    while steps < max_iter and not converged:
+        steps += 1
         move = solve(info[0], score[0])
         scale = 1.0
         while True:
@@ -314,31 +335,34 @@ def cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None,
             scale /= 2
         beta = beta + scale * move
         like, score, info = new
-        if np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))):
-            break
+        converged = bool(np.max(np.abs(scale * move), initial=0.0) < tol * (1 + np.max(np.abs(beta), initial=0.0)))
     naive = invert(info[0])
     robust = weight is not None if robust is None else robust
     cov = naive @ _score_squares(table, beta) @ naive if robust else naive
     return Fit(df.sparkSession, "cox", d, beta, cov, like, table.n, None, table.rows, df,
-               {"table": table, "naive": naive, "null_loglik": null_like, "events": table.events, "time": time,
-                "event": event, "weight": weight, "strata": strata})
+               {"table": table, "naive": naive, "null_loglik": null_like, "null_score": null_score, "null_info": null_info,
+                "events": table.events, "time": time, "event": event, "weight": weight, "strata": strata, "robust": robust,
+                "converged": converged, "iterations": steps})
+
+
+def _event_mean(p: int) -> Column:
+    """Mean of the tied risk-set means of a time."""
+    return F.array(*[F.when(F.col("dn") > 0, (F.col("a0") * F.col("S1")[j] - F.col("a1") * F.col("D1")[j]) / F.col("dn"))
+                     .otherwise(0.0) for j in range(p)])
 
 
 def _score_squares(table: CoxTable, beta) -> np.ndarray:
-    """Sum over people of w^2 L L', L the score residual."""
+    """Sum over people of w^2 L L', L the score residual; people of one pattern share it, so w^2 is summed."""
     p = table.p
     days = table.days(beta)
-    part = [F.col(s) for s in table.strata] or [F.lit(0)]
-    up = Window.partitionBy(*part).orderBy("_t")
-    # running sums of hazard-weighted risk means, their own-day tied share, and the mean of the tied means
-    drift = [(F.col("wbar") * (F.col("c0") * F.col("S1")[j] - F.col("c1") * F.col("D1")[j])) for j in range(p)]
+    # hazard-weighted risk means, running, and their own-time tied share
+    drift = {f"g_{j}": F.col("wbar") * (F.col("c0") * F.col("S1")[j] - F.col("c1") * F.col("D1")[j]) for j in range(p)}
     tied = [(F.col("wbar") * (F.col("c1") * F.col("S1")[j] - F.col("c2") * F.col("D1")[j])) for j in range(p)]
-    mean = [F.when(F.col("dn") > 0, (F.col("a0") * F.col("S1")[j] - F.col("a1") * F.col("D1")[j]) / F.col("dn"))
-            .otherwise(0.0) for j in range(p)]
-    rich = days.withColumns({f"g_{j}": F.sum(drift[j]).over(up) for j in range(p)}).withColumns({
-        "_drift": F.array(*[F.col(f"g_{j}") for j in range(p)]), "_tied": F.array(*tied), "_mean": F.array(*mean)})
-    rows = table.with_hazard(table.scored(beta), rich, ["_drift", "_tied", "_mean"]).select(
-        "_x", "_d", "_w2", F.exp("_eta").alias("_risk"), "h0", "_drift", "_tied", "_mean")
+    rich = running(days, ["_s"], "_tt", drift).withColumns({
+        "_drift": F.array(*[F.col(f"g_{j}") for j in range(p)]), "_tied": F.array(*tied), "_mean": _event_mean(p)})
+    scored = table.rows.withColumn("_risk", F.exp(dot("_x", beta)))
+    rows = table.with_hazard(scored, rich, ["_drift", "_tied", "_mean"]).select(
+        "_x", "_d", "_w2", "_risk", "h0", "_drift", "_tied", "_mean")
 
     def block(batch):
         x, ev = matrix(batch), column(batch, "_d")[:, None]
@@ -350,21 +374,24 @@ def _score_squares(table: CoxTable, beta) -> np.ndarray:
     return sum_blocks(rows, p * p, block).reshape(p, p)
 
 
-def _event_scale(fit: Fit) -> DataFrame:
-    """g(t) = 1 - KM(t-) over all people, unweighted, for every day of the data."""
-    table: CoxTable = fit.extra["table"]
-    days = table.rows.groupBy("_t").agg(F.sum("_n").alias("m"), F.sum(F.col("_n") * F.col("_d")).alias("d"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_t"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    risk = days.withColumn("n", F.sum("m").over(down))
-    return risk.select("_t", (1 - F.coalesce(F.product(1 - F.col("d") / F.col("n")).over(before), F.lit(1.0))).alias("g"))
+def _scale_before(table: CoxTable) -> DataFrame:
+    """g(t) = 1 - KM(t-) over all people, unweighted, for every time of the data.
+
+    KM(t-) = KM(t) / (1 - d/n) but where everybody left dies, which only the last time can bring; there it is the
+    least KM above 0, or 1.
+    """
+    times = table.rows.groupBy("_tt").agg(F.sum("_n").alias("m"), F.sum(F.col("_n") * F.col("_d")).alias("d"))
+    risk = running(ranged(times, [], "_tt"), [], "_tt", {"n": "m"}, descending=True)
+    step = F.when(F.col("d") < F.col("n"), 1 - F.col("d") / F.col("n"))
+    km = running(risk, [], "_tt", {}, products={"km": F.coalesce(step, F.lit(1.0))})
+    return km.select("_tt", (1 - F.col("km") / F.coalesce(step, F.lit(1.0))).alias("g"))
 
 
 def ph_test(fit: Fit) -> DataFrame:
     """Score test of a time-varying coefficient along g(t), per term (all its columns) and for all."""
     table: CoxTable = fit.extra["table"]
     p = table.p
-    _, score, info = table.derivatives(fit.beta, cut_lineage(_event_scale(fit)))
+    _, score, info = table.with_scale(_scale_before(table)).derivatives(fit.beta, (0, 1, 2))
     joint = np.block([[info[0], info[1]], [info[1], info[2]]])
     rows = []
     groups = [*fit.design.groups.items(), ("GLOBAL", list(range(p)))]
@@ -377,23 +404,19 @@ def ph_test(fit: Fit) -> DataFrame:
     return rows_frame(fit.spark, rows, "term string, chisq double, df int, p_value double")
 
 
-def _scored_people(fit: Fit, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """People of the fit with their centred x, own-day hazard and event mean; and the day table."""
+def _scored_people(fit: Fit, keep: list[str]) -> DataFrame:
+    """People of the fit with their centred x, own-time hazard and event mean."""
     table: CoxTable = fit.extra["table"]
-    days = cut_lineage(table.days(fit.beta))
-    mean = F.array(*[F.when(F.col("dn") > 0, (F.col("a0") * F.col("S1")[j] - F.col("a1") * F.col("D1")[j]) / F.col("dn"))
-                     .otherwise(0.0) for j in range(table.p)])
-    x = F.array(*[(e - F.lit(m)).cast("double") for e, m in zip(fit.design.exprs, table.means)])
-    strata = fit.extra["strata"]
-    people = fit.data.select(*dict.fromkeys([*keep, *strata]), F.col(fit.extra["time"]).alias("_t"),
-                             F.col(fit.extra["event"]).cast("int").alias("_d"), x.alias("_x")).withColumn(
-        "_eta", dot("_x", fit.beta))
-    return table.with_hazard(people, days.withColumn("_mean", mean), ["_mean"]), days
+    strata, time = fit.extra["strata"], F.col(fit.extra["time"])
+    people = fit.data.select(*keep, _stratum(strata).alias("_s"), time.cast("double").alias("_tt"), time.alias("_t"),
+                             F.col(fit.extra["event"]).cast("int").alias("_d"), table.centred().alias("_x"))
+    days = table.days(fit.beta).withColumn("_mean", _event_mean(table.p))
+    return table.with_hazard(people.withColumn("_eta", dot("_x", fit.beta)), days, ["_mean"])
 
 
 def schoenfeld(fit: Fit, key: str = "ref") -> DataFrame:
     """Event rows: covariate minus its risk-set mean, one row per person and term."""
-    people, _ = _scored_people(fit, [key])
+    people = _scored_people(fit, [key])
     pairs = F.array(*[F.struct(F.lit(name).alias("term"), (F.col("_x")[j] - F.col("_mean")[j]).alias("residual"))
                       for j, name in enumerate(fit.terms)])
     return people.filter(F.col("_d") == 1).select(key, F.col("_t").alias("time"), F.inline(pairs))
@@ -401,7 +424,7 @@ def schoenfeld(fit: Fit, key: str = "ref") -> DataFrame:
 
 def cox_residuals(fit: Fit, kind: str = "deviance", key: str = "ref") -> DataFrame:
     """Martingale or deviance residual per person."""
-    people, _ = _scored_people(fit, [key])
+    people = _scored_people(fit, [key])
     m = F.col("_d") - F.exp("_eta") * F.col("h0")
     out = people.select(key, F.col("_t").alias("time"), F.col("_d").alias("event"), F.col("_eta").alias("linear"),
                         m.alias("residual"))
