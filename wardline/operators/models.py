@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.tails import (chi2_quantile_1df, normal_quantile, normal_two_sided, t_quantile,
                                       t_two_sided)
+from wardline.functions.tiesums import rising
 from wardline.operators.design import (Design, column, complete, invert, matrix, patterns, solve, sum_blocks,
                                        term_sources)
 
@@ -205,27 +206,8 @@ def _drop_function(fit: Fit, j: int):
 
 # --- negative binomial -----------------------------------------------------------------------------
 
-def _rising(y: np.ndarray, theta: float, power: int) -> np.ndarray:
-    """Sum over j < y of 1/(theta+j)^power: differences of digamma (1) and trigamma (2)."""
-    top = int(y.max()) if len(y) else 0
-    table = np.concatenate([[0.0], np.cumsum(1.0 / (theta + np.arange(top)) ** power)])
-    return table[y.astype(int)]
-
-
-def _log_rising(y: np.ndarray, theta: float) -> np.ndarray:
-    top = int(y.max()) if len(y) else 0
-    table = np.concatenate([[0.0], np.cumsum(np.log(theta + np.arange(top)))])
-    return table[y.astype(int)]
-
-
-def _log_factorial(y: np.ndarray) -> np.ndarray:
-    top = int(y.max()) if len(y) else 0
-    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-    return table[y.astype(int)]
-
-
 def _nb_log_density(y, mu, theta):
-    return (_log_rising(y, theta) - _log_factorial(y) + theta * np.log(theta / (theta + mu))
+    return (rising(y, theta)[2] - rising(y, 1.0)[2] + theta * np.log(theta / (theta + mu))
             + np.where(y > 0, y * np.log(mu / (theta + mu)), 0.0))
 
 
@@ -250,8 +232,9 @@ def _nb_sums(table: DataFrame, beta: np.ndarray, theta: float, few: bool = False
         exact = (x * (w * mu * (theta + y) * theta / both ** 2)[:, None]).T @ x
         score = x.T @ (w * (y - mu) * theta / both)
         cross = x.T @ (w * (y - mu) * mu * theta / both ** 2)
-        slope = np.sum(w * (_rising(y, theta, 1) + np.log(theta) + 1 - np.log(both) - (y + theta) / both))
-        curve = np.sum(w * (_rising(y, theta, 2) - 1 / theta + 2 / both - (y + theta) / both ** 2))
+        inverse, square, _ = rising(y, theta)
+        slope = np.sum(w * (inverse + np.log(theta) + 1 - np.log(both) - (y + theta) / both))
+        curve = np.sum(w * (square - 1 / theta + 2 / both - (y + theta) / both ** 2))
         like = np.sum(w * _nb_log_density(y, mu, theta))
         return np.concatenate([fisher.ravel(), exact.ravel(), score, cross, [slope, curve, like]])
 
@@ -344,7 +327,7 @@ def _zinb_gradients(table: DataFrame, points: list[np.ndarray], few: bool) -> np
             # posterior chance that a row belongs to the count part
             count = np.where(zero, (1 - pi) * p0 / both, 1.0)
             score = x.T @ (w * count * (y - mu) / (1 + mu / theta))
-            d_theta = np.sum(w * count * theta * (_rising(y, theta, 1) + np.log(theta) + 1 - np.log(theta + mu)
+            d_theta = np.sum(w * count * theta * (rising(y, theta)[0] + np.log(theta) + 1 - np.log(theta + mu)
                                                   - (y + theta) / (mu + theta)))
             d_gamma = np.sum(w * ((1 - count) - pi))
             out.append(np.concatenate([score, [d_gamma, d_theta]]))

@@ -51,6 +51,9 @@ def hand_on(parts: list[dict]) -> tuple[dict[int, Carry], set[int]]:
             start = Carry(mine.p, before.s, before.t, before.S0, before.S1, before.S2, dict(before.day))
             if before.t == part["first_t"]:
                 open_ended.add(number)
+            else:  # the part before has finished its last day
+                start.t = None
+                start.clear_day()
         starts[part["part"]] = start
         end = Carry(mine.p, mine.s, mine.t, mine.S0, mine.S1, mine.S2, dict(mine.day))
         if part["one_stratum"] and start.s == mine.s:

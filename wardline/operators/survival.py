@@ -11,17 +11,17 @@ import pickle
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.tails import chi2_tail, normal_quantile, normal_two_sided
+from wardline.operators.concordance import concordance
 from wardline.operators.design import column, complete, design, dot, invert, matrix, solve, sum_blocks, term_sources
 from wardline.operators.models import Fit, rows_frame
 from wardline.operators.riskscan import Scan, hand_on
-from wardline.operators.running import PART, ranged, running
+from wardline.operators.running import ranged, running
 from wardline.session import cut_lineage
 
 MAX_ARMS = 50
@@ -433,3 +433,31 @@ def cox_residuals(fit: Fit, kind: str = "deviance", key: str = "ref") -> DataFra
     m = F.col("residual")
     inner = m + F.when(F.col("event") == 1, F.log(F.col("event") - m)).otherwise(0.0)
     return out.withColumn("residual", F.signum(m) * F.sqrt(F.greatest(-2 * inner, F.lit(0.0))))
+
+
+# --- summaries of a Cox fit -------------------------------------------------------------------------
+
+def cox_terms(fit: Fit) -> DataFrame:
+    """Per term: estimate, hazard ratio, model-based and robust error, p-value by the error the fit reports."""
+    naive = np.sqrt(np.diag(fit.extra["naive"]))
+    robust = fit.extra["robust"]
+    rows = [(name, float(b), float(np.exp(b)), float(m), float(se) if robust else None, normal_two_sided(float(b / se)))
+            for name, b, m, se in zip(fit.terms, fit.beta, naive, fit.std_errors)]
+    return rows_frame(fit.spark, rows, "term string, estimate double, ratio double, model_error double, robust_error double, "
+                                       "p_value double")
+
+
+def cox_summary(fit: Fit) -> DataFrame:
+    """People, events, likelihoods, the likelihood-ratio, Wald (by the reported variance) and score tests, concordance."""
+    table, p = fit.extra["table"], fit.design.width
+    ratio = 2 * (fit.loglik - fit.extra["null_loglik"])
+    wald = float(fit.beta @ invert(fit.cov) @ fit.beta)
+    score = float(fit.extra["null_score"] @ invert(fit.extra["null_info"]) @ fit.extra["null_score"])
+    agree, against, tied = concordance(table.rows.withColumn("_y", dot("_x", fit.beta)), "_s", "_tt", "_d", "_y", "_w")
+    pairs = agree + against + tied
+    row = (table.n, table.events, fit.extra["null_loglik"], fit.loglik, ratio, chi2_tail(ratio, p), wald, chi2_tail(wald, p),
+           score, chi2_tail(score, p), p, agree, against, tied, (agree + tied / 2) / pairs if pairs else None,
+           fit.extra["converged"], fit.extra["iterations"])
+    return rows_frame(fit.spark, [row], "n long, events long, null_loglik double, loglik double, lr_test double, lr_p double, "
+                      "wald_test double, wald_p double, score_test double, score_p double, df int, concordant double, "
+                      "discordant double, tied double, concordance double, converged boolean, iterations int")
