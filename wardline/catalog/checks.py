@@ -55,7 +55,7 @@ def _(spark, sf):
 def _(spark, sf):
     terms = [Factor("sex"), Factor("segment"), "age"]
     fit = logit(view(spark, sf, "patients"), "outcome", terms)
-    return rounded(ratio_table(refit(fit, augment(fit), terms, 1.4, 1.0)))
+    return rounded(ratio_table(refit(fit, augment(fit), terms, 1.4, 1.0), interval="wald"))
 
 
 @query("corr_matrix", views("patients") + " UNION ALL ".join(

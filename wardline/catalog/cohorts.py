@@ -184,12 +184,12 @@ def _(spark, sf):
 def _(spark, sf):
     e = weighted_effect(_analysis(spark, sf), "unplan_28d", COVARIATES)
     return rounded(ratio_table(e.outcome).withColumn("model", F.lit("weighted")).unionByName(
-        ratio_table(e.adjusted).withColumn("model", F.lit("adjusted"))), 5)
+        ratio_table(e.adjusted, interval="wald").withColumn("model", F.lit("adjusted"))), 5)
 
 
 @query("inpatient_stay_model")
 def _(spark, sf):
-    return rounded(ratio_table(stay_model(_analysis(spark, sf), [Factor("use_antiviral"), Factor("sex"), "age"])), 5)
+    return rounded(ratio_table(stay_model(_analysis(spark, sf), [Factor("use_antiviral"), Factor("sex"), "age"]), interval="wald"), 5)
 
 
 @query("inpatient_death_model")

@@ -18,7 +18,7 @@ ROUND(a * d / (b * c) * EXP(-1.959963984540054 * SQRT(1 / a + 1 / b + 1 / c + 1
 ROUND(a * d / (b * c) * EXP(1.959963984540054 * SQRT(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS conf_high FROM c
 UNION ALL SELECT '(Intercept)', ROUND(c / d, 6), ROUND(c / d * EXP(-1.959963984540054 * SQRT(1 / c + 1 / d)), 6), ROUND(c / d * EXP(1.959963984540054 * SQRT(1 / c + 1 / d)), 6) FROM c""")
 def _(spark, sf):
-    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])))
+    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))]), interval="wald"))
 
 
 @query("logit_tidy", views("patients") + _CELLS + """, t AS (SELECT 'sexM' AS term, LN(a * d / (b * c)) AS e, SQRT(1 / a + 1 / b + 1 / c + 1 / d) AS s FROM c
@@ -30,18 +30,33 @@ def _(spark, sf):
 
 @query("logit_glance", views("patients") + """, g AS (SELECT sex, COUNT(*)::DOUBLE AS n, AVG(outcome) AS p FROM patients GROUP BY sex),
 l AS (SELECT SUM(n) AS n, SUM(n * (p * LN(p) + (1 - p) * LN(1 - p))) AS ll FROM g)
-SELECT CAST(n AS BIGINT) AS n, ROUND(ll, 6) AS loglik, ROUND(-2 * ll, 6) AS minus_2_loglik, ROUND(-2 * ll + 4, 6) AS aic, '' AS dropped FROM l""")
+SELECT CAST(n AS BIGINT) AS n, ROUND(ll, 6) AS loglik, ROUND(-2 * ll, 6) AS minus_2_loglik, ROUND(-2 * ll + 4, 6) AS aic, '' AS dropped, true AS converged, 0::BIGINT AS no_exposure FROM l""")
 def _(spark, sf):
-    return rounded(glance(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])))
+    return rounded(glance(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))])).drop("iterations"))
 
 
 @query("logit_adjusted")
 def _(spark, sf):
     terms = [Factor("sex"), Factor("arm", ("Did not use", "Paxlovid only", "Molnupiravir only")), Factor("segment"), "age"]
-    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", terms)))
+    return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", terms), interval="wald"))
 
 
-@query("logit_profile_interval")
+def _profile_sql() -> str:
+    """Limits by halving.  For the difference the best intercept is the root of a quadratic; for the intercept the other group is free."""
+    part = lambda n, y, eta: f"({y} * ({eta}) - ({n}) * LN(1 + EXP({eta})))"
+    u = "((-q + SQRT(q * q + 4 * EXP(x) * (n - y) * y)) / (2 * EXP(x) * (n - y)))"
+    like = f"""CASE WHEN term = 'sexM' THEN {part('c + d', 'c', f'LN({u})')} + {part('a + b', 'a', f'LN({u}) + x')}
+ELSE {part('c + d', 'c', 'x')} + {part('a + b', 'a', 'LN(a / b)')} END"""
+    return f""", m AS (SELECT *, a + b + c + d AS n, a + c AS y, {part('c + d', 'c', 'LN(c / d)')} + {part('a + b', 'a', 'LN(a / b)')} AS top FROM c),
+e AS (SELECT m.*, term, side, CASE WHEN term = 'sexM' THEN LN(a * d / (b * c)) ELSE LN(c / d) END AS est FROM m, (VALUES ('sexM', -1), ('sexM', 1), ('(Intercept)', -1), ('(Intercept)', 1)) v(term, side)),
+r AS (WITH RECURSIVE h AS (SELECT e.*, 0 AS step, est AS near, est + 8 * side AS far FROM e
+UNION ALL SELECT a, b, c, d, n, y, top, term, side, est, step + 1, CASE WHEN 2 * (top - ({like})) < 3.841458820694124 THEN x ELSE near END,
+CASE WHEN 2 * (top - ({like})) < 3.841458820694124 THEN far ELSE x END FROM (SELECT *, (c + d) + (a + b) * EXP(x) - y * (1 + EXP(x)) AS q FROM (SELECT *, (near + far) / 2 AS x FROM h WHERE step < 60)))
+SELECT term, side, est, near FROM h WHERE step = 60)
+SELECT term, ROUND(EXP(ANY_VALUE(est)), 5) AS ratio, ROUND(EXP(MIN(near)), 5) AS conf_low, ROUND(EXP(MAX(near)), 5) AS conf_high FROM r GROUP BY term"""
+
+
+@query("logit_profile_interval", views("patients") + _CELLS + _profile_sql())
 def _(spark, sf):
     return rounded(ratio_table(logit(view(spark, sf, "patients"), "outcome", [Factor("sex", ("F", "M"))]), interval="profile"), 5)
 
@@ -123,7 +138,7 @@ def _(spark, sf):
 
 @query("neg_binomial_weighted")
 def _(spark, sf):
-    return rounded(ratio_table(neg_binomial(weighted_multi(spark, sf), "los", [Factor("sex"), Factor("arm")], "fu", "weight")), 5)
+    return rounded(ratio_table(neg_binomial(weighted_multi(spark, sf), "los", [Factor("sex"), Factor("arm")], "fu", "weight"), interval="wald"), 5)
 
 
 @query("zero_inflated_neg_binomial")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.design import dot, invert
@@ -33,30 +32,32 @@ def vif(fit: Fit) -> DataFrame:
 def augment(fit: Fit, df: DataFrame | None = None) -> DataFrame:
     """People of a logistic fit with fitted value, deviance and standardised residual, leverage, Cook's distance.
 
-    Leverage is a quadratic form in the person's own terms with a p x p matrix; the rest is
-    column arithmetic.  No join back to the people is needed.
+    Leverage is a quadratic form in the person's own terms with a p x p matrix; all of it is column
+    arithmetic, without a join back to the people.  It is written in the linear predictor, so that a fitted value that rounds
+    to 0 or 1 has leverage 0 and finite residuals; with leverage 1 the standardised residual and Cook's distance are NULL.
     """
     df = fit.data if df is None else df
     y, weight = fit.extra["y"], fit.extra.get("weight")
     inverse = invert(_information(fit)) if fit.kind == "svy_logit" else fit.cov
 
-    @F.pandas_udf("double")
-    def quadratic(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy())
-        return pd.Series(np.einsum("ij,jk,ik->i", m, inverse, m))
+    def along(row: Column) -> Column:
+        return F.aggregate(F.zip_with(row, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
+    across = F.transform(F.lit(inverse.tolist()), along)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     out = df.withColumn("_x", fit.design.array()).withColumn("_eta", dot("_x", fit.beta))
-    mu = 1 / (1 + F.exp(-F.col("_eta")))
-    out = out.withColumn("fitted", mu).withColumn("_q", quadratic("_x"))
-    m, obs = F.col("fitted"), F.col(y).cast("double")
-    out = out.withColumn("hat", w * m * (1 - m) * F.col("_q"))
-    like = F.when(obs == 1, F.log(m)).otherwise(F.log(1 - m))
-    out = out.withColumn("resid", F.signum(obs - m) * F.sqrt(-2 * w * like))
-    pearson = (obs - m) * F.sqrt(w / (m * (1 - m)))
+    eta, obs = F.col("_eta"), F.col(y).cast("double")
+    small = F.exp(-F.abs(eta))
+    out = out.withColumn("fitted", F.when(eta >= 0, 1.0).otherwise(small) / (1 + small)).withColumn("_q", along(across))
+    out = out.withColumn("hat", w * small / (1 + small) ** 2 * F.col("_q"))
+    away = F.when(obs == 1, -eta).otherwise(eta)  # log-odds against what was observed
+    side = F.when(obs == 1, 1.0).otherwise(-1.0)
+    loss = F.greatest(away, F.lit(0.0)) + F.log1p(small)
+    out = out.withColumn("resid", side * F.sqrt(2 * w * loss))
+    pearson = side * F.sqrt(w * F.exp(away))
     h, p = F.col("hat"), float(fit.design.width)
-    return out.withColumn("std_resid", F.col("resid") / F.sqrt(1 - h)).withColumn(
-        "cooksd", (pearson / (1 - h)) ** 2 * h / F.lit(p)).drop("_x", "_eta", "_q")
+    return out.withColumn("std_resid", F.try_divide(F.col("resid"), F.sqrt(F.greatest(1 - h, F.lit(0.0))))).withColumn(
+        "cooksd", F.try_divide(pearson, 1 - h) ** 2 * h / F.lit(p)).drop("_x", "_eta", "_q")
 
 
 def _information(fit: Fit) -> np.ndarray:

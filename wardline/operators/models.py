@@ -61,6 +61,11 @@ class LogitSums:
     n: float
 
 
+def expit(eta: np.ndarray) -> np.ndarray:
+    small = np.exp(-np.abs(eta))
+    return np.where(eta >= 0, 1.0, small) / (1 + small)
+
+
 def logit_pass(table: DataFrame, beta: np.ndarray, few: bool = False) -> LogitSums:
     p = len(beta)
 
@@ -68,7 +73,7 @@ def logit_pass(table: DataFrame, beta: np.ndarray, few: bool = False) -> LogitSu
         x, y = matrix(batch), column(batch, "_y")
         w, w2, n = column(batch, "_w"), column(batch, "_w2"), column(batch, "_n")
         eta = x @ beta + column(batch, "_offset")
-        mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+        mu = expit(eta)
         info = (x * (w * mu * (1 - mu))[:, None]).T @ x
         meat = (x * (w2 * (y - mu) ** 2)[:, None]).T @ x
         like = np.sum(w * (y * eta - np.logaddexp(0, eta)))
@@ -80,17 +85,20 @@ def logit_pass(table: DataFrame, beta: np.ndarray, few: bool = False) -> LogitSu
 
 
 def fit_logit_patterns(table: DataFrame, p: int, few: bool = False, tol: float = 1e-6, max_iter: int = 50
-                       ) -> tuple[np.ndarray, LogitSums]:
+                       ) -> tuple[np.ndarray, LogitSums, bool, int]:
     """Newton steps, halved while the likelihood drops; one Spark job of p x p sums per step.
 
-    Newton squares its error, so a last step below 1e-6 leaves about 1e-12.
+    Newton squares its error, so a last step below 1e-6 leaves about 1e-12.  Also says whether it got there, and in how many
+    steps: on separated data steps stay long while the likelihood no longer grows, and it ends without converging.
 
     Spark ML's own GLM starts from values that depend on the row weights, which drives it
     away on pattern rows whose weight is a count in the thousands.
     """
     beta = np.zeros(p)
     now = logit_pass(table, beta, few)
-    for _ in range(max_iter):
+    converged, steps = False, 0
+    while steps < max_iter and not converged:
+        steps += 1
         move = solve(now.info, now.score)
         scale = 1.0
         while True:
@@ -98,10 +106,12 @@ def fit_logit_patterns(table: DataFrame, p: int, few: bool = False, tol: float =
             if new.like >= now.like - 1e-12 * abs(now.like) or scale < 1e-6:
                 break
             scale /= 2
+        gain = new.like - now.like
         beta, now = beta + scale * move, new
-        if np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))):
+        converged = bool(np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))))
+        if gain < 1e-9 and np.max(np.abs(scale * move)) > 0.1 * (1 + np.max(np.abs(beta))) / steps:
             break
-    return beta, now
+    return beta, now, converged, steps
 
 
 def logit(df: DataFrame, y: str, terms, weight: str | None = None, where=None, offset: str | None = None) -> Fit:
@@ -109,10 +119,10 @@ def logit(df: DataFrame, y: str, terms, weight: str | None = None, where=None, o
     df = df if where is None else df.filter(where)
     df = complete(df, {y, *term_sources(terms), *([weight] if weight else []), *([offset] if offset else [])})
     d, table = patterns(df, terms, y, weight, offset)
-    beta, sums = fit_logit_patterns(table, d.width, d.few)
+    beta, sums, converged, steps = fit_logit_patterns(table, d.width, d.few)
     n = int(sums.n)
     return Fit(df.sparkSession, "logit", d, beta, invert(sums.info), sums.like, n, n - d.width, table, df,
-               {"y": y, "weight": weight, "offset": offset, "meat": sums.meat})
+               {"y": y, "weight": weight, "offset": offset, "meat": sums.meat, "converged": converged, "iterations": steps})
 
 
 def svy_logit(df: DataFrame, y: str, terms, weight: str, where=None) -> Fit:
@@ -143,65 +153,124 @@ def tidy(fit: Fit) -> DataFrame:
 
 
 def glance(fit: Fit) -> DataFrame:
-    return rows_frame(fit.spark, [(fit.n, fit.loglik, -2 * fit.loglik, fit.aic, ",".join(fit.design.dropped))],
-                       "n long, loglik double, minus_2_loglik double, aic double, dropped string")
+    """Size, likelihood, what was dropped, and whether the fit converged (NULL where it says nothing), in how many steps.
+
+    ``no_exposure`` is the number of rows left out for want of a positive exposure.
+    """
+    row = (fit.n, fit.loglik, -2 * fit.loglik, fit.aic, ",".join(fit.design.dropped), fit.extra.get("converged"),
+           fit.extra.get("iterations"), fit.extra.get("no_exposure", 0))
+    return rows_frame(fit.spark, [row], "n long, loglik double, minus_2_loglik double, aic double, dropped string, "
+                                        "converged boolean, iterations int, no_exposure long")
 
 
-def _exp(x: float) -> float:
-    """Separated data has no finite upper bound."""
-    return math.exp(x) if x < 700 else math.inf
+def _exp(x: float | None) -> float | None:
+    """NULL where the value is not finite: separated data bounds a ratio on one side only."""
+    return math.exp(x) if x is not None and -700 < x < 700 else None
 
 
-def ratio_table(fit: Fit, level: float = 0.95, interval: str = "wald") -> DataFrame:
-    """Odds, rate or hazard ratios with their interval; ``interval="profile"`` re-fits per bound."""
-    if interval == "profile":
-        return rows_frame(fit.spark, _profile_rows(fit, level), RATIO)
-    q = t_quantile(0.5 + level / 2, fit.df_resid) if fit.kind == "svy_logit" else normal_quantile(0.5 + level / 2)
-    rows = [(name, _exp(b), _exp(b - q * se), _exp(b + q * se))
-            for name, b, se in zip(fit.terms, map(float, fit.beta), map(float, fit.std_errors))]
+def ratio_table(fit: Fit, level: float = 0.95, interval: str | None = None) -> DataFrame:
+    """Odds, rate or hazard ratios with their interval.
+
+    ``interval`` is ``"profile"`` (the default of logistic and negative binomial fits) or ``"wald"`` (the only one for
+    survey-weighted, zero-inflated and Cox fits).  A limit that does not exist is NULL.
+    """
+    if (interval or ("profile" if fit.kind in PROFILED else "wald")) == "profile":
+        low, high = profile_limits(fit, level)
+    else:
+        q = t_quantile(0.5 + level / 2, fit.df_resid) if fit.kind == "svy_logit" else normal_quantile(0.5 + level / 2)
+        with np.errstate(invalid="ignore"):
+            low, high = fit.beta - q * fit.std_errors, fit.beta + q * fit.std_errors
+    rows = [(name, *(_exp(None if v is None or np.isnan(v) else float(v)) for v in bounds))
+            for name, *bounds in zip(fit.terms, fit.beta, low, high)]
     return rows_frame(fit.spark, rows, RATIO)
 
 
-def _profile_rows(fit: Fit, level: float, steps: int = 30):
-    """Bounds where twice the log-likelihood drop meets the chi-square quantile, by secant steps."""
-    target = chi2_quantile_1df(level)
-    rows = []
-    for j, name in enumerate(fit.terms):
-        ends = []
-        for side in (-1, 1):
-            se = float(fit.std_errors[j])
-            drop = _drop_function(fit, j)
-            at, value = float(fit.beta[j]), 0.0
-            step = math.sqrt(target) * se * side
-            for _ in range(steps):
-                nxt = float(fit.beta[j]) + step
-                value = drop(nxt)
-                at = nxt
-                if abs(value - target) < 1e-8 * target:
-                    break
-                step *= math.sqrt(target / max(value, 1e-12))
-            ends.append(math.exp(at))
-        rows.append((name, math.exp(float(fit.beta[j])), ends[0], ends[1]))
-    return rows
-
-
-def _drop_function(fit: Fit, j: int):
-    """Twice the log-likelihood lost when coefficient j is held at a value and the rest re-fitted."""
+# --- profile likelihood ----------------------------------------------------------------------------
+
+PROFILED = ("logit", "neg_binomial")
+
+
+def _likelihoods(fit: Fit, betas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood, score and expected information at many coefficient vectors, from one pass over the patterns."""
+    k, p = betas.shape
+    theta = fit.extra.get("theta")
+
+    def block(batch):
+        x, y, w = matrix(batch), column(batch, "_y"), column(batch, "_w")
+        out = []
+        for beta in betas:
+            eta = x @ beta + column(batch, "_offset")
+            if theta is None:
+                mu = expit(eta)
+                like, slope, curve = y * eta - np.logaddexp(0, eta), y - mu, mu * (1 - mu)
+            else:
+                log_both = np.logaddexp(math.log(theta), eta)
+                share = np.exp(eta - log_both)
+                like = y * (eta - log_both) - theta * (log_both - math.log(theta))
+                slope, curve = y * (1 - share) - theta * share, theta * share
+            out.append(np.concatenate([[np.sum(w * like)], x.T @ (w * slope), ((x * (w * curve)[:, None]).T @ x).ravel()]))
+        return np.concatenate(out)
+
+    s = sum_blocks(fit.patterns, k * (1 + p + p * p), block, fit.design.few).reshape(k, -1)
+    return s[:, 0], s[:, 1:1 + p], s[:, 1 + p:].reshape(k, p, p)
+
+
+def _spans(fit: Fit) -> np.ndarray:
+    """How far each column of the design reaches, so that steps can be told in units of the linear predictor."""
     p = fit.design.width
-    others = [i for i in range(p) if i != j]
-
-    def drop(value: float) -> float:
-        held = fit.patterns.withColumn("_offset", F.col("_offset") + F.lit(value) * F.col("_x")[j]).withColumn(
-            "_x", F.array(*[F.col("_x")[i] for i in others]) if others else F.array(F.lit(0.0)))
-        if fit.kind == "logit":
-            few = fit.design.few
-            like = (fit_logit_patterns(held, len(others), few)[1] if others
-                    else logit_pass(held, np.zeros(1), few)).like
-        else:
-            like = _nb_fit(held, max(len(others), 1), free=len(others), few=fit.design.few)[2].like
-        return 2 * (fit.loglik - like)
+    row = fit.patterns.agg(*[F.max(F.abs(F.col("_x")[j])).alias(f"m{j}") for j in range(p)]).first()
+    return np.array([float(row[j] or 0.0) or 1.0 for j in range(p)])
+
 
-    return drop
+def profile_limits(fit: Fit, level: float = 0.95, max_steps: int = 60) -> tuple[list, list]:
+    """Both limits of every term where twice the log-likelihood lost by holding it meets the chi-square quantile.
+
+    All limits are sought at once, each with its own coefficients: a step solves for the point where, to second order, the other
+    coefficients are at their best and the likelihood is on target.  One pass over the patterns serves the steps of
+    all limits, so the number of jobs does not grow with the terms.  A likelihood that stays above the target however far a
+    coefficient goes has no limit there (None).  The dispersion of a negative binomial fit is held.
+    """
+    p, half = fit.design.width, chi2_quantile_1df(level) / 2
+    top, _, info = (v[0] for v in _likelihoods(fit, fit.beta[None, :]))
+    inv, spans = invert(info), _spans(fit)
+    found: dict[tuple[int, int], float | None] = {}
+    at: dict[tuple[int, int], np.ndarray] = {}
+    for j in range(p):
+        reach = math.sqrt(max(2 * half * inv[j, j], 0.0))
+        move = inv[:, j] / max(inv[j, j], 1e-300) * min(reach, 2 / spans[j])
+        for side in (-1, 1):
+            at[j, side] = fit.beta + side * move
+    for _ in range(max_steps):
+        if not at:
+            break
+        keys = list(at)
+        likes, scores, infos = _likelihoods(fit, np.array([at[k] for k in keys]))
+        for key, like, g, i in zip(keys, likes, scores, infos):
+            j, side = key
+            others = [a for a in range(p) if a != j]
+            gap = like - (top - half)
+            free = solve(i[np.ix_(others, others)], np.column_stack([g[others], i[others, j]])) if others else np.zeros((0, 2))
+            nuisance = float(g[others] @ free[:, 0]) / 2
+            if abs(gap) < 1e-9 * (1 + half) and nuisance < 1e-9:
+                found[key] = float(at[key][j])
+                del at[key]
+                continue
+            # the coefficient itself: -a s^2 + b s + c = 0 with the others at their best
+            a = max(float(i[j, j] - i[j, others] @ free[:, 1]) / 2, 1e-300)
+            b, c = float(g[j] - i[j, others] @ free[:, 0]), gap + nuisance
+            root = b * b + 4 * a * c
+            step = (b + side * math.sqrt(root)) / (2 * a) if root > 0 else b / (2 * a)
+            step = float(np.clip(step, -2 / spans[j], 2 / spans[j]))
+            move = np.zeros(p)
+            move[j] = step
+            move[others] = free[:, 0] - step * free[:, 1]
+            at[key] = at[key] + np.clip(move, -4 / spans, 4 / spans)
+            # on the way to 0 the estimate itself may be far out
+            far = 25 + max(-side * fit.beta[j], 0.0) * spans[j]
+            if gap > 0 and side * (at[key][j] - fit.beta[j]) * spans[j] > far:
+                found[key] = None
+                del at[key]
+    return [found.get((j, -1)) for j in range(p)], [found.get((j, 1)) for j in range(p)]
 
 
 # --- negative binomial -----------------------------------------------------------------------------
@@ -256,22 +325,20 @@ def _nb_start(table: DataFrame) -> tuple[float, float]:
     return math.log(max(r.rate, 1e-8)), (r.mean ** 2 / spread if spread > 1e-8 else 100.0)
 
 
-def _nb_fit(table: DataFrame, p: int, free: int | None = None, few: bool = False, tol: float = 1e-6,
-            max_iter: int = 100) -> tuple[np.ndarray, float, NbSums]:
+def _nb_fit(table: DataFrame, p: int, few: bool = False, tol: float = 1e-6, max_iter: int = 100
+            ) -> tuple[np.ndarray, float, NbSums, bool, int]:
     """Newton steps of (beta, log theta); scoring steps where the likelihood is not concave."""
     rate, theta = _nb_start(table)
-    free = p if free is None else free
     beta = np.zeros(p)
-    beta[0] = rate if free else 0.0
+    beta[0] = rate
     now = _nb_sums(table, beta, theta, few)
-    for _ in range(max_iter):
-        j = now.observed if free else now.observed[-1:, -1:]
-        score = now.score if free else now.score[-1:]
-        if np.all(np.linalg.eigvalsh(j) > 0):
-            move = solve(j, score)
+    converged, steps = False, 0
+    while steps < max_iter and not converged:
+        steps += 1
+        if np.all(np.linalg.eigvalsh(now.observed) > 0):
+            move = solve(now.observed, now.score)
         else:
-            move = np.concatenate([solve(now.expected, now.score[:-1]) if free else [], [np.sign(now.score[-1])]])
-        move = np.concatenate([np.zeros(p if not free else 0), move])
+            move = np.concatenate([solve(now.expected, now.score[:-1]), [np.sign(now.score[-1])]])
         move[-1] = np.clip(move[-1], -1, 1)
         scale = 1.0
         while True:
@@ -281,30 +348,37 @@ def _nb_fit(table: DataFrame, p: int, free: int | None = None, few: bool = False
                 break
             scale /= 2
         beta, theta, now = nb, nt, new
-        if np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))):
+        converged = bool(np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(beta))))
+        if theta > 1e8:  # no spread beyond Poisson's
             break
-    return beta, theta, now
+    return beta, theta, now, converged, steps
+
+
+def _with_exposure(df: DataFrame, offset: str | None) -> tuple[DataFrame, str | None, int]:
+    """Rows with a logarithm of their exposure, its name, and the number of rows without one."""
+    if not offset:
+        return df, None, 0
+    without = df.filter(~F.coalesce(F.col(offset) > 0, F.lit(False))).count()
+    return df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double"))), "_log_exposure", without
 
 
 def neg_binomial(df: DataFrame, y: str, terms, offset: str | None = None, weight: str | None = None,
                  where=None) -> Fit:
     """Negative binomial regression; ``offset`` is the exposure, entering as its logarithm.
 
-    Rows without positive exposure have no finite offset and are left out.
+    Rows without positive exposure have no finite offset and are left out; ``extra["no_exposure"]`` (and ``glance``) has their
+    number.
     """
     df = df if where is None else df.filter(where)
     df = complete(df, {y, *term_sources(terms), *([weight] if weight else []), *([offset] if offset else [])})
-    log_exposure = None
-    if offset:
-        df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
-        log_exposure = "_log_exposure"
+    df, log_exposure, without = _with_exposure(df, offset)
     d, table = patterns(df, terms, y, weight, log_exposure)
-    beta, theta, sums = _nb_fit(table, d.width, few=d.few)
+    beta, theta, sums, converged, steps = _nb_fit(table, d.width, few=d.few)
     theta_info = (sums.observed[-1, -1] + sums.score[-1]) / theta ** 2
     n = table.agg(F.sum("_n").alias("n")).first().n
     return Fit(df.sparkSession, "neg_binomial", d, beta, invert(sums.expected), sums.like, int(n), None, table, df,
                {"theta": theta, "theta_se": 1 / math.sqrt(theta_info) if theta_info > 0 else None, "extra_params": 1,
-                "y": y, "weight": weight, "offset": offset})
+                "y": y, "weight": weight, "offset": offset, "converged": converged, "iterations": steps, "no_exposure": without})
 
 
 # --- zero-inflated negative binomial -------------------------------------------------------------------
@@ -355,12 +429,9 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
     """
     df = df if where is None else df.filter(where)
     df = complete(df, {y, *term_sources(terms), *([weight] if weight else []), *([offset] if offset else [])})
-    log_exposure = None
-    if offset:
-        df = df.filter(F.col(offset) > 0).withColumn("_log_exposure", F.log(F.col(offset).cast("double")))
-        log_exposure = "_log_exposure"
+    df, log_exposure, without = _with_exposure(df, offset)
     d, table = patterns(df, terms, y, weight, log_exposure)
-    beta, theta, _ = _nb_fit(table, d.width, few=d.few, tol=1e-3)
+    beta, theta, *_ = _nb_fit(table, d.width, few=d.few, tol=1e-3)
     share = table.agg((F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)) / F.sum("_w")).alias("z")).first().z
     pi = min(max(share / 2, 1e-3), 0.9)
     par = np.concatenate([beta, [math.log(pi / (1 - pi)), math.log(theta)]])
@@ -370,8 +441,9 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
         return _zinb_loglik(table, v[:-2], 1 / (1 + math.exp(-v[-2])), math.exp(v[-1]), d.few)
 
     like = like_at(par)
-    hess = np.eye(q)
-    for _ in range(max_iter):
+    hess, done, steps = np.eye(q), False, 0
+    while steps < max_iter and not done:
+        steps += 1
         h = 1e-5 * (1 + np.abs(par))
         points = [par] + [par + s * h[i] * np.eye(q)[i] for i in range(q) for s in (1, -1)]
         grads = _zinb_gradients(table, points, d.few)
@@ -387,13 +459,12 @@ def zinb(df: DataFrame, y: str, terms, offset: str | None = None, weight: str |
             if new >= like - 1e-10 * abs(like) or scale < 1e-6:
                 break
             scale /= 2
-        done = np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(par)))
+        done = bool(np.max(np.abs(scale * move)) < tol * (1 + np.max(np.abs(par))))
         par, like = nxt, new
-        if done:
-            break
     cov = invert(-hess)
     n = table.agg(F.sum("_n").alias("n")).first().n
     full = Design([*[f"count_{t}" for t in d.names], "zero_(Intercept)"], [*d.exprs, F.lit(1.0)], d.sources, d.groups,
                   d.dropped)
     return Fit(df.sparkSession, "zinb", full, par[:-1], cov[:-1, :-1], like, int(n), None, table, df,
-               {"theta": math.exp(par[-1]), "zero_share": 1 / (1 + math.exp(-par[-2])), "extra_params": 1})
+               {"theta": math.exp(par[-1]), "zero_share": 1 / (1 + math.exp(-par[-2])), "extra_params": 1,
+                "converged": done, "iterations": steps, "no_exposure": without})

@@ -103,8 +103,8 @@ def anova_p(groups) -> float | None:
 
 
 def svy_means_p(groups) -> float | None:
-    """Design-based Wald F test that the weighted means of the groups are equal."""
-    groups = [g for g in groups if g.n > 0]
+    """Design-based Wald F test that the weighted means of the groups are equal; groups of weight 0 are left out."""
+    groups = [g for g in groups if g.n > 0 and g.w > 0]
     n, k = sum(g.n for g in groups), len(groups)
     if k < 2 or n <= k:
         return None
@@ -169,7 +169,7 @@ def rao_scott_p(rows) -> float | None:
 
 def _smd_numeric(groups, weighted: bool) -> float | None:
     vals = []
-    for a, b in combinations(groups, 2):
+    for a, b in combinations([g for g in groups if g.w > 0], 2):
         va, vb = _variance(a, weighted), _variance(b, weighted)
         if va is None or vb is None:
             return None
@@ -180,10 +180,11 @@ def _smd_numeric(groups, weighted: bool) -> float | None:
 
 def _smd_levels(rows) -> float | None:
     """Yang-Dalton distance of the level shares without the first level; one share for two levels."""
-    _, groups, t = _counts(rows, "w")
+    t = _counts(rows, "w")[2]
+    t = t[:, t.sum(0) > 0]
     shares = t / t.sum(0)
     vals = []
-    for a, b in combinations(range(len(groups)), 2):
+    for a, b in combinations(range(t.shape[1]), 2):
         pa, pb = shares[1:, a], shares[1:, b]
         cov = (np.diag(pa) - np.outer(pa, pa) + np.diag(pb) - np.outer(pb, pb)) / 2
         diff = pa - pb
@@ -229,7 +230,8 @@ def table_one(df: DataFrame, nums=(), cats=(), strata: str | None = None, weight
                 out.append((v, None, r.stratum, r.n, r.w, None, r.wx / r.w if r.w else None,
                             math.sqrt(var) if var is not None else None, pv, dv))
             else:
-                out.append((v, r.level, r.stratum, r.n, r.w, 100 * r.w / totals[r.stratum], None, None, pv, dv))
+                out.append((v, r.level, r.stratum, r.n, r.w, 100 * r.w / totals[r.stratum] if totals[r.stratum] else None, None, None,
+                            pv, dv))
     return rows_frame(df.sparkSession, out, TABLE)
 
 

@@ -9,18 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.design import Design, column, complete, matrix, patterns, solve, sum_blocks, term_sources
-from wardline.operators.models import rows_frame, fit_logit_patterns
+from wardline.operators.models import expit, fit_logit_patterns, rows_frame
 from wardline.operators.tables import _variance, collect_moments
 
-BIG_ODDS = 700.0
-
-
 def _score(d: Design, beta: np.ndarray):
     """Fitted probability as a column expression on the person's own columns."""
     total = F.lit(0.0)
     for b, e in zip(beta, d.exprs):
         total = total + F.lit(float(b)) * e
-    return 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(BIG_ODDS)), F.lit(-BIG_ODDS))))
+    return 1 / (1 + F.exp(-total))
 
 
 def propensity(df: DataFrame, treatment: str, covariates, name: str = "ps") -> DataFrame:
@@ -32,14 +29,14 @@ def propensity(df: DataFrame, treatment: str, covariates, name: str = "ps") -> D
     d, table = patterns(used, covariates, treatment)
     if table.select("_y").distinct().limit(2).count() < 2:
         raise ValueError(f"{treatment} has only one value")
-    beta, _ = fit_logit_patterns(table, d.width, d.few)
+    beta = fit_logit_patterns(table, d.width, d.few)[0]
     return df.withColumn(name, _score(d, beta))
 
 
 def att_weights(df: DataFrame, treatment: str, ps: str = "ps", name: str = "weight") -> DataFrame:
-    """Treated 1, controls p/(1-p)."""
+    """Treated 1, controls p/(1-p); NULL for a control whose score is 1, who stands for nobody that could be treated."""
     return df.withColumn(name, F.when(F.col(treatment) == 1, 1.0).when(
-        F.col(treatment) == 0, F.col(ps) / (1 - F.col(ps))))
+        F.col(treatment) == 0, F.try_divide(F.col(ps), 1 - F.col(ps))))
 
 
 def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, few: bool, tol: float = 1e-6,
@@ -57,7 +54,7 @@ def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, few: bool, t
             out = []
             for i in range(k):
                 y, eta = (arm == i).astype(float), x @ betas[i]
-                mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                mu = expit(eta)
                 out += [((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel(), x.T @ (w * (y - mu)),
                         [np.sum(w * (y * eta - np.logaddexp(0, eta)))]]
             return np.concatenate(out)
@@ -82,7 +79,7 @@ def _fit_arms(table: DataFrame, treatment: str, arms: list, p: int, few: bool, t
 
 def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, stabilize: bool = False,
                       name: str = "weight", scores: bool = False) -> DataFrame:
-    """Several arms: one logistic model per arm, weight e_focal / e_own; the focal arm has 1.
+    """Several arms: one logistic model per arm, weight e_focal / e_own (NULL where e_own is 0); the focal arm has 1.
 
     All models share one table of covariate patterns.  ``stabilize`` multiplies by the arm's
     share of people.  People without an arm get no weight.
@@ -98,7 +95,7 @@ def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, sta
     score = {arm: _score(d, beta) for arm, beta in fitted.items()}
     weight = F
     for arm in arms:
-        ratio = F.lit(1.0) if arm == focal else score[focal] / score[arm]
+        ratio = F.lit(1.0) if arm == focal else F.try_divide(score[focal], score[arm])
         share = shares[arm] / total if stabilize else 1.0
         weight = weight.when(F.col(treatment) == arm, ratio * F.lit(share))
     out = df.withColumn(name, weight)
@@ -108,17 +105,26 @@ def att_weights_multi(df: DataFrame, treatment: str, covariates, focal: str, sta
 
 
 def ess(df: DataFrame, treatment: str, weight: str) -> DataFrame:
-    """Effective sample size per arm, before and after weighting."""
+    """Effective sample size per arm, before and after weighting; NULL for an arm of weight 0."""
     w = F.col(weight)
     return df.groupBy(treatment).agg(F.count(w).cast("double").alias("n"),
-                                     (F.sum(w) ** 2 / F.sum(w * w)).alias("ess"))
+                                     F.try_divide(F.sum(w) ** 2, F.sum(w * w)).alias("ess"))
+
+
+def _mean(cell) -> float | None:
+    return cell.wx / cell.w if cell is not None and cell.w else None
+
+
+def _gap(a: float | None, b: float | None, unit: float = 1.0) -> float | None:
+    return None if a is None or b is None or not unit else (a - b) / unit
 
 
 def balance_table(df: DataFrame, nums, cats, treatment: str, weight: str, focal=1) -> DataFrame:
     """Differences of every covariate between each arm and the focal one, before and after weighting.
 
     Numbers are divided by the focal arm's own standard deviation; levels are plain
-    differences of their shares.
+    differences of their shares.  A difference is NULL where it has no meaning: the covariate does not vary in the
+    focal arm, or an arm has no people or no weight.
     """
     nums, cats, focal = list(nums), list(cats), str(focal)
     known = df.filter(F.col(weight).isNotNull())
@@ -128,23 +134,23 @@ def balance_table(df: DataFrame, nums, cats, treatment: str, weight: str, focal=
         if v in nums:
             base = {r.stratum: r for r in before[v]}
             adj = {r.stratum: r for r in after[v]}
-            sd = math.sqrt(_variance(base[focal], False) or 0.0)
+            sd = math.sqrt(_variance(base[focal], False) or 0.0) if focal in base else 0.0
             for arm in sorted(base):
-                if arm != focal and sd > 0:
-                    out.append((v, None, arm, (base[focal].wx / base[focal].w - base[arm].wx / base[arm].w) / sd,
-                                (adj[focal].wx / adj[focal].w - adj[arm].wx / adj[arm].w) / sd))
+                if arm != focal:
+                    out.append((v, None, arm, *[_gap(_mean(m.get(focal)), _mean(m.get(arm)), sd) for m in (base, adj)]))
             continue
         shares = []
         for rows in (before[v], after[v]):
             size: dict[str, float] = {}
             for r in rows:
                 size[r.stratum] = size.get(r.stratum, 0.0) + r.w
-            shares.append({(r.level, r.stratum): r.w / size[r.stratum] for r in rows})
+            shares.append(({(r.level, r.stratum): r.w for r in rows}, size))
         arms = sorted({r.stratum for r in before[v]})
         for level in sorted({r.level for r in before[v]}):
             for arm in arms:
                 if arm != focal:
-                    diff = [s.get((level, focal), 0.0) - s.get((level, arm), 0.0) for s in shares]
+                    diff = [_gap(*[part.get((level, a), 0.0) / size[a] if size.get(a) else None for a in (focal, arm)])
+                            for part, size in shares]
                     out.append((v, level, arm, diff[0], diff[1]))
     return rows_frame(df.sparkSession, out,
                        "variable string, level string, arm string, diff_unadjusted double, diff_adjusted double")
@@ -155,8 +161,8 @@ def weight_summary(df: DataFrame, treatment: str, weight: str) -> DataFrame:
     w = F.col(weight)
     return df.filter(w.isNotNull()).groupBy(treatment).agg(
         F.count(w).alias("n"), F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean"),
-        (F.stddev_samp(w) / F.avg(w)).alias("cv"), F.count_if(w == 0).alias("zeros"),
-        (F.sum(w) ** 2 / F.sum(w * w)).alias("ess"))
+        F.try_divide(F.stddev_samp(w), F.avg(w)).alias("cv"), F.count_if(w == 0).alias("zeros"),
+        F.try_divide(F.sum(w) ** 2, F.sum(w * w)).alias("ess"))
 
 
 def largest_weights(df: DataFrame, treatment: str, weight: str, k: int = 5, key: str = "ref") -> DataFrame:
@@ -177,6 +183,6 @@ def reweight(df: DataFrame, condition, treatment: str, covariates, focal: str |
 def weighted_means(df: DataFrame, values, by: str, weight: str) -> DataFrame:
     """Weighted mean of each measure per arm, one row per arm and measure."""
     sums = df.groupBy(by).agg(*[
-        (F.sum(F.col(weight) * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col(weight)))).alias(v)
+        F.try_divide(F.sum(F.col(weight) * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col(weight)))).alias(v)
         for v in values])
     return sums.unpivot([by], list(values), "variable", "mean")
