@@ -185,7 +185,7 @@ def test_with_index_is_dense(spark):
 
 def test_attrition_never_grows(spark):
     a = spark.createDataFrame([(str(i), i) for i in range(9)], "ref string, v int")
-    rows = attrition({"all": a, "some": a.filter("v > 3"), "few": a.filter("v > 6")}).orderBy("step_no").collect()
+    rows = attrition(a, {"all": F.lit(True), "some": F.expr("v > 3"), "few": F.expr("v > 6")}).orderBy("step_no").collect()
     assert [r.patients for r in rows] == [9, 5, 2]
 
 

@@ -1,8 +1,9 @@
+import gzip
 import os
 
 from pyspark.sql import functions as F
 from wardline.operators.clean import cast_cols, dedupe_rows, require, strip_zeros
-from wardline.sources.extracts import list_files, normalise_header, read_extract, snake
+from wardline.sources.extracts import headers, list_files, normalise_header, read_extract, snake
 
 
 def write(path, text):
@@ -38,3 +39,24 @@ def test_column_choice_reaches_the_scan(spark, tmp_path):
 
 def test_snake():
     assert snake("Admission.Date..yyyy.mm.dd.") == "admission_date_yyyy_mm_dd"
+
+
+def test_compressed_files_missing_text_and_line_breaks(spark, tmp_path):
+    with gzip.open(tmp_path / "a.csv.gz", "wt", encoding="utf-8") as f:
+        f.write("\ufeffRef,Note\n1,NA\n2,\"NA \"\n3,\n")
+    write(tmp_path / "b.csv", "Ref,Note,More\r\n4,\"two\nlines\",\"say \"\"x\"\"\"\r\n5,N,NA\r\n")
+    write(tmp_path / "c.csv", "Ref,Note\n6,last\n")
+    write(tmp_path / "d.csv", "")
+    paths = list_files(spark, str(tmp_path), "csv")
+    found = headers(spark, paths)
+    assert {k: [os.path.basename(p) for p in v] for k, v in found.items()} == {
+        ("Ref", "Note"): ["a.csv.gz", "c.csv"], ("Ref", "Note", "More"): ["b.csv"]}
+    rows = read_extract(spark, str(tmp_path), "csv", line_breaks=True).orderBy("Ref").collect()
+    assert [(r.Ref, r.Note, r.More) for r in rows] == [
+        ("1", None, None), ("2", "NA ", None), ("3", None, None), ("4", "two\nlines", 'say "x"'), ("5", "N", None), ("6", "last", None)]
+
+
+def test_headers_read_first_lines_only(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"{i}.csv", f"a,b{i}\n" + "1,2\n" * 200_000)
+    assert sorted(headers(spark, list_files(spark, str(tmp_path), "csv"))) == [("a", f"b{i}") for i in range(3)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog.registry import query, rounded, table, view, views
 from wardline.operators.grouping import (attrition, count_by, count_visits, describe_num, expand_days, expand_rows,
-                                         first_per_key, freq, gap_to_next, hist_bins, repeat_rows, tagged_union, top_n,
+                                         first_per_key, flag_members, freq, gap_to_next, hist_bins, repeat_rows, tagged_union, top_n,
                                          value_range, with_index)
 from wardline.operators.lookup import exclude
 
@@ -33,10 +33,10 @@ SELECT 1 AS step_no, 'all stays' AS step, COUNT(DISTINCT ref) AS patients FROM s
 UNION ALL SELECT 3, 'without plasma', COUNT(DISTINCT ref) FROM b UNION ALL SELECT 4, 'without interferon', COUNT(DISTINCT ref) FROM c""")
 def _(spark, sf):
     stays = view(spark, sf, "stays").select("ref", "admission_date")
-    floor = stays.filter(F.col("admission_date") >= F.lit("1996-01-01").cast("date"))
-    no_plasma = exclude(floor, view(spark, sf, "plasma"))
-    return attrition({"all stays": stays, "after the floor": floor, "without plasma": no_plasma,
-                      "without interferon": exclude(no_plasma, view(spark, sf, "interferon"))})
+    marked = flag_members(flag_members(stays, view(spark, sf, "plasma"), "plasma"), view(spark, sf, "interferon"), "interferon")
+    floor = F.col("admission_date") >= F.lit("1996-01-01").cast("date")
+    return attrition(marked, {"all stays": F.lit(True), "after the floor": floor, "without plasma": floor & ~F.col("plasma"),
+                              "without interferon": floor & ~F.col("plasma") & ~F.col("interferon")})
 
 
 @query("freq_one_way", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline import study
 from wardline.functions.rules import no_disease
+from wardline.operators.lookup import of_cohort
 
 
 def _expand(item: str) -> list[str]:
@@ -26,13 +27,14 @@ def prefix_table(spark: SparkSession, length: int) -> DataFrame:
     return spark.createDataFrame(sorted(bits.items()), f"_p{length} string, _b{length} int")
 
 
-def charlson(dx: DataFrame, ref: str = "ref", code: str = "diagnosis_code") -> DataFrame:
-    """17 flags per patient, without hierarchy, plus the no-disease flag.
+def charlson(dx: DataFrame, ref: str = "ref", code: str = "diagnosis_code", cohort: DataFrame | None = None) -> DataFrame:
+    """17 flags per patient (of ``cohort``, if given), without hierarchy, plus the no-disease flag.
 
     Prefixes have 3, 4 or 5 characters, so a diagnosis meets three fixed code lists by hash
     (broadcast: they never grow with the data).  Its flags are bits of one number, which one
     combining aggregate per patient ORs together.
     """
+    dx = dx if cohort is None else of_cohort(dx, cohort, ref)
     plain = F.upper(F.replace(F.trim(F.col(code)), F.lit("."), F.lit("")))
     rows = dx.select(ref, plain.alias("_code"))
     bits = F.lit(0)

@@ -13,7 +13,7 @@ from wardline import study
 from wardline.functions.exprs import contains_any
 from wardline.functions.rules import treatment_arm
 from wardline.operators.grouping import first_per_key
-from wardline.operators.lookup import events_after_index, first_rows, in_cohort
+from wardline.operators.lookup import events_after_index, first_rows, in_cohort, of_cohort
 
 
 def _list(x) -> list:
@@ -208,10 +208,10 @@ def drug_courses(dispensing: DataFrame, cohort: DataFrame, key: str = "ref", ind
     """Per patient and drug: covered days, whole-currency cost, first start, and course flag.
 
     Only starts on or after the index day count; a duration covers its last day as well.
-    Of equal starts only the longest goes into the join.  The flag
+    Rows outside the cohort go first; of equal starts only the longest goes into the join.  The flag
     is 2 for exactly five days, else 1.
     """
-    named = dispensing.filter(contains_any(drug, ["MOLNUPIRAVIR", "PAXLOVID"])).select(
+    named = of_cohort(dispensing.filter(contains_any(drug, ["MOLNUPIRAVIR", "PAXLOVID"])), cohort, key, index).select(
         key, start, F.col(drug).contains("MOLNUPIRAVIR").alias("molnupiravir"),
         F.col(drug).contains("PAXLOVID").alias("paxlovid"), (F.col(duration) + 1).alias("_days"))
     longest = named.groupBy(key, "molnupiravir", "paxlovid", start).agg(F.max("_days").alias("_days"))

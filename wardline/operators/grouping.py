@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.running import ranged, running
 from wardline.session import cut_lineage
 
 
@@ -30,14 +31,34 @@ def count_visits(df: DataFrame, key: str = "ref", date: str = "appointment_date"
     return df.filter(F.col(date).isNotNull()).groupBy(key).agg(F.countDistinct(date).alias(name))
 
 
-def attrition(steps: dict[str, DataFrame], key: str = "ref") -> DataFrame:
-    """Patients left after each step, in step order."""
-    rows = [
-        df.agg(F.countDistinct(key).alias("patients")).select(
-            F.lit(i).alias("step_no"), F.lit(name).alias("step"), "patients")
-        for i, (name, df) in enumerate(steps.items(), 1)
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def flag_members(df: DataFrame, other: DataFrame, name: str, on: str = "ref") -> DataFrame:
+    """``df`` with a boolean telling whether the key is in ``other``."""
+    member = other.select(F.col(on).alias("_member")).filter(F.col("_member").isNotNull()).distinct()
+    return df.join(member, F.col(on) == F.col("_member"), "left").withColumn(name, F.col("_member").isNotNull()).drop("_member")
+
+
+def steps_reached(df: DataFrame, steps: dict[str, Column], key: str = "ref") -> DataFrame:
+    """Per patient, one bit for each step that a row of theirs meets; the bits are OR-ed before the shuffle."""
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [
+        F.when(met, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, met in enumerate(steps.values())])
+    return df.select(F.col(key).alias("key"), bits.alias("_bits")).filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.bit_or("_bits").alias("_bits"))
+
+
+def attrition(df: DataFrame, steps: dict[str, Column], key: str = "ref") -> DataFrame:
+    """Patients left after each step, in step order, from one pass over the rows (63 steps at most).
+
+    A step is a condition on a row; it implies the ones before it (``flag_members`` gives conditions on other sets).
+    """
+    return count_steps(steps_reached(df, steps, key), list(steps))
+
+
+def count_steps(reached: DataFrame, names: list[str]) -> DataFrame:
+    """Patients per bit of ``steps_reached``, one row for each step."""
+    counts = reached.agg(*[F.count_if(F.getbit("_bits", F.lit(i)) == 1).alias(f"_{i}") for i in range(len(names))])
+    rows = [F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), F.col(f"_{i}").alias("patients"))
+            for i, name in enumerate(names)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:
@@ -47,18 +68,39 @@ def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:
 def describe_num(df: DataFrame, col: str) -> DataFrame:
     """Minimum, quartiles, mean, maximum and NULL count of a whole-day (or other discrete) measure.
 
-    Rows are first counted per value, so the exact quartiles work on distinct values only.
+    Rows are first counted per value; the exact quartiles are selected by rank (``percentiles``).
     """
     per_value = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    quartile = "percentile(_v, array(0.25, 0.5, 0.75), _n) FILTER (WHERE _v IS NOT NULL)"
-    return per_value.agg(
+    known, q = F.col("_v").isNotNull(), percentiles(df, col, [0.25, 0.5, 0.75])
+    sums = per_value.agg(
         F.min("_v").cast("double").alias("min"),
-        F.expr(quartile).alias("_q"),
-        (F.sum(F.col("_v") * F.col("_n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("mean"),
+        F.try_divide(F.sum(F.col("_v").cast("double") * F.col("_n")), F.sum(F.when(known, F.col("_n")))).alias("mean"),
         F.max("_v").cast("double").alias("max"),
-        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("nulls"),
-    ).select("min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), "mean",
-             F.col("_q")[2].alias("q3"), "max", "nulls")
+        F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("nulls"))
+    quartiles = [F.lit(v).cast("double").alias(n) for n, v in zip(("q1", "median", "q3"), q)]
+    return sums.select("min", *quartiles[:2], "mean", quartiles[2], "max", "nulls")
+
+
+def percentiles(df: DataFrame, col: str, at: list[float]) -> list[float | None]:
+    """Exact percentiles (linear between neighbours) of the known values, without one task for the values.
+
+    Values are counted, dealt by ranges and given running counts in two levels; the values at the ranks wanted are minima over
+    the tail that reaches them, so only a pair of numbers per percentile leaves the tasks.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = cut_lineage(running(ranged(counts, [], "_v"), [], "_v", {"_upto": "_n"}))
+    n = upto.agg(F.max("_upto")).first()[0]
+    if not n:
+        return [None] * len(at)
+    ranks = sorted({r for q in at for r in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))})
+    row = upto.agg(*[F.min(F.when(F.col("_upto") > r, F.col("_v"))).alias(f"r{r}") for r in ranks]).first()
+    out = []
+    for q in at:
+        low = int(q * (n - 1))
+        a, b = row[f"r{low}"], row[f"r{min(low + 1, n - 1)}"]
+        out.append(a + (q * (n - 1) - low) * (b - a))
+    return out
 
 
 def value_range(df: DataFrame, col: str) -> DataFrame:
@@ -123,9 +165,13 @@ def with_index(df: DataFrame, order: str = "ref", name: str = "index") -> DataFr
 
 
 def top_n(df: DataFrame, k: int, col: str) -> DataFrame:
-    """The k largest, ties at the last place kept.  The cut is the k-th value of a distributed top-k."""
-    cut = df.select(col).filter(F.col(col).isNotNull()).orderBy(F.desc(col)).limit(k).agg(F.min(col).alias("_cut"))
-    return df.join(F.broadcast(cut), F.col(col) >= F.col("_cut")).drop("_cut")
+    """The k largest, ties at the last place kept, in one pass.
+
+    Every task keeps its own k largest with ties before anything is moved (a rank limit); the rest, k rows and ties of each
+    task, is ranked once more.
+    """
+    place = F.rank().over(Window.orderBy(F.desc(col)))
+    return df.filter(F.col(col).isNotNull()).withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 # --- unions and expansions ------------------------------------------------------------------

@@ -59,6 +59,16 @@ def in_cohort(df: DataFrame, cohort: DataFrame, on: str = "ref", hot: list | Non
     return df.join(cohort.select(on), on, "left_semi")
 
 
+def of_cohort(df: DataFrame, cohort: DataFrame, on: str = "ref", index: str = "start_episode") -> DataFrame:
+    """Rows of cohort members, ahead of any aggregate over the rows.
+
+    A semi join: Spark broadcasts a small cohort, and puts a Bloom filter of a larger one into the scan of a big table by itself
+    (``spark.sql.optimizer.runtime.bloomFilter``), for which the comparison on the index day marks the cohort as selective.
+    """
+    dated = cohort.filter(F.col(index) >= F.lit("1900-01-01").cast("date")) if index in cohort.columns else cohort
+    return df.join(dated.select(on), on, "left_semi")
+
+
 def exclude(df: DataFrame, *sets: DataFrame, on: str = "ref", hot: list | None = None) -> DataFrame:
     """Rows whose key is in none of the sets."""
     for other in sets:

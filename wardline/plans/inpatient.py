@@ -14,8 +14,8 @@ from wardline.operators.comorbidity import charlson
 from wardline.operators.episodes import (drug_courses, effective_end, first_death, first_episode, follow_up,
                                          index_date, length_of_stay, positive_tests, readmission_chain,
                                          readmission_count, readmission_los, stay_offsets, with_courses, within_flags)
-from wardline.operators.grouping import attrition, tagged_union
-from wardline.operators.lookup import exclude
+from wardline.operators.grouping import count_steps, flag_members, steps_reached, tagged_union
+from wardline.operators.lookup import exclude, of_cohort
 from wardline.session import cut_lineage
 
 
@@ -28,14 +28,18 @@ class Window:
     end: str = study.INPATIENT_END
 
 
+STEPS = ["stays", "in the window", "without plasma or interferon", "without clinic patients", "with an index date", "eligible"]
+
+
 @dataclass
 class InpatientCohort:
     people: DataFrame
     readmissions: DataFrame
-    steps: dict[str, DataFrame]
+    reached: DataFrame
 
     def attrition(self) -> DataFrame:
-        return attrition(self.steps)
+        """Patients left after each step."""
+        return count_steps(self.reached, STEPS)
 
 
 def clinic_patients(visits: DataFrame, floor: str, *excluded: DataFrame) -> DataFrame:
@@ -51,17 +55,16 @@ def inpatient_cohort(dx: DataFrame, pcr: DataFrame, tests: DataFrame, dispensing
 
     ``dx`` and ``pcr`` are stay extracts with ref, hn_number, admission_date, discharge_date,
     discharge_status, length_of_stay, age, admission_source and any attributes.  The cleaned
-    stays and the index rows are checkpointed, since five later steps read them.
+    stays, the index rows and the people are checkpointed, since several later steps read them.  Tests, dispensing
+    and diagnoses are cut down to the patients wanted before anything is summed over them.
     """
     floor = window.floor
     stays = dedupe_rows(tagged_union({"dx": dx, "pcr": pcr}, "extract"))
-    recent = between_dates(stays, "admission_date", floor)
-    clean = exclude(recent, plasma, interferon)
-    kept = exclude(clean, clinic_patients(visits, floor, plasma, interferon))
-    kept = cut_lineage(kept)
+    clinic = cut_lineage(clinic_patients(visits, floor, plasma, interferon))
+    kept = cut_lineage(exclude(between_dates(stays, "admission_date", floor), plasma, interferon, clinic))
 
-    firsts = first_episode(kept, order=("admission_date", "hn_number", "extract"))
-    index = cut_lineage(index_date(firsts, positive_tests(tests), floor))
+    firsts = cut_lineage(first_episode(kept, order=("admission_date", "hn_number", "extract")))
+    index = cut_lineage(index_date(firsts, of_cohort(positive_tests(tests), firsts), floor))
     key = index.select("ref", "start_episode")
 
     people = with_courses(index, drug_courses(dispensing, key))
@@ -71,10 +74,23 @@ def inpatient_cohort(dx: DataFrame, pcr: DataFrame, tests: DataFrame, dispensing
     people = readmission_count(gaps, people)
     los = length_of_stay(kept, key, window.stay_end).select("ref", "los")
     people = people.join(los, "ref", "left")
-    people = people.join(comorbidity if comorbidity is not None else charlson(diagnoses), "ref", "left")
+    people = people.join(comorbidity if comorbidity is not None else charlson(diagnoses, cohort=key), "ref", "left")
     people = people.filter(eligible())
     if source:
         people = people.filter(F.col("admission_source") == source)
-    steps = {"stays": stays, "in the window": recent, "without plasma or interferon": clean,
-             "without clinic patients": kept, "with an index date": index, "eligible": people}
-    return InpatientCohort(people, readmission_los(gaps, people), steps)
+    people = cut_lineage(people)
+    return InpatientCohort(people, readmission_los(gaps, people), _reached(stays, floor, (plasma, interferon, clinic), index, people))
+
+
+def _reached(stays: DataFrame, floor: str, sets: tuple, index: DataFrame, people: DataFrame) -> DataFrame:
+    """Steps per patient: the stays are read once and brought to patients, what follows are sets of patients."""
+    recent = F.coalesce(F.col("admission_date") >= F.lit(floor).cast("date"), F.lit(False))
+    out = steps_reached(stays, {"stays": F.lit(True), "in the window": recent}).withColumnRenamed("key", "ref")
+    for name, other in zip(("_plasma", "_interferon", "_clinic", "_index", "_eligible"), (*sets, index, people)):
+        out = flag_members(out, other, name)
+    clean = F.getbit("_bits", F.lit(1)) == 1
+    clean = clean & ~F.col("_plasma") & ~F.col("_interferon")
+    bits = F.col("_bits")
+    for i, met in enumerate((clean, clean & ~F.col("_clinic"), F.col("_index"), F.col("_eligible")), 2):
+        bits = bits.bitwiseOR(F.when(met, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return out.select(F.col("ref").alias("key"), bits.alias("_bits"))

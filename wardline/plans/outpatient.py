@@ -11,7 +11,7 @@ from wardline.operators.clean import between_dates, dedupe_rows
 from wardline.operators.comorbidity import charlson
 from wardline.operators.episodes import (admissions_within, drug_offset, first_death, first_visit, follow_up,
                                          reattendance_days, visit_count, visit_course_cost, within_flags)
-from wardline.operators.lookup import exclude, lookup_first
+from wardline.operators.lookup import exclude, lookup_first, of_cohort
 from wardline.session import cut_lineage
 
 
@@ -35,8 +35,8 @@ def outpatient_cohort(visits: DataFrame, demographics: DataFrame, hospital: Data
     people = within_flags(reattendance_days(kept, index), people, "days")
     emergency = dedupe_rows(hospital.filter(F.col("emergency_admission") == "Y"))
     people = admissions_within(emergency, people)
-    people = follow_up(people, first_death(hospital), end, dead_by="record")
-    people = people.join(comorbidity if comorbidity is not None else charlson(diagnoses), "ref", "left")
+    people = follow_up(people, first_death(of_cohort(hospital, index)), end, dead_by="record")
+    people = people.join(comorbidity if comorbidity is not None else charlson(diagnoses, cohort=index), "ref", "left")
     people = drug_offset(people, drug_visits, order=visit_order).withColumn("antiviral", arm_label("antiviral_code"))
     costs = visit_course_cost(drug_visits, index).select("ref", "dc_drug_cost")
     return people.join(costs, "ref", "left")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +23,43 @@ def list_files(spark: SparkSession, folder: str, name_regex: str) -> list[str]:
     return sorted(p.toString() for p in found if rx.search(p.getName()))
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
-    """Column names of one delimited file: its first line only, so no data is scanned for it."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(hpath)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    if not line:
-        return ()
-    return tuple(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)))
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of a file; the rest of it is not read."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([c.slice(0, 1).cast(pa.string()) for c in b.columns], names=["path", "line"])
+            return
+
+
+def headers(spark: SparkSession, paths: list[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names; empty files are left out.
+
+    One task opens each file through Hadoop (which unpacks compressed ones by their name) and stops after its first line; equal
+    lines meet in an aggregate, so the driver gets a row for each distinct header with the paths it asked for.
+    """
+    whole = str(1 << 50)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    own.conf.set("spark.sql.files.openCostInBytes", whole)  # a file never shares a task
+    lines = own.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    found = lines.mapInArrow(_first_rows, "path string, line string").groupBy("line").agg(
+        F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(found, key=lambda r: r.paths[0]):
+        line = r.line.lstrip("\ufeff").rstrip("\r")
+        if line:
+            out.setdefault(tuple(next(csv.reader([line], delimiter=sep))), []).extend(r.paths)
+    return out
 
 
 def read_extract(spark: SparkSession, folder: str, name_regex: str, columns: list[str] | None = None,
-                 format: str = "csv", sep: str = ",", with_order: bool = False) -> DataFrame:
+                 format: str = "csv", sep: str = ",", with_order: bool = False, missing: str = "NA",
+                 line_breaks: bool = False) -> DataFrame:
     """Union by name of all files whose name matches; absent columns are NULL, all columns text.
 
+    Unquoted empty fields and the text ``missing`` are NULL.  With ``line_breaks`` a quoted field may hold line breaks (a file
+    is then read by one task); a header is always one line.  Compressed files are read by their name.
+
     Files are read in one scan per distinct header, so the plan stays small however many files
     there are.  ``with_order`` adds ``_ord`` (file, block, row), since "first row" has a meaning
     in the study and Spark rows have no order of their own.
@@ -47,14 +68,12 @@ def read_extract(spark: SparkSession, folder: str, name_regex: str, columns: lis
     if not paths:
         raise FileNotFoundError(f"no file in {folder} matches {name_regex}")
     if format == "csv":
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for path in paths:
-            header = _header(spark, path, sep)
-            if header:
-                groups.setdefault(header, []).append(path)
+        groups = headers(spark, paths, sep)
+        if not groups:
+            raise ValueError(f"the files in {folder} that match {name_regex} are empty")
         frames = [
-            spark.read.option("header", True).option("sep", sep)
-            .schema(", ".join(f"`{c}` STRING" for c in header)).csv(files)
+            spark.read.option("header", True).option("sep", sep).option("nullValue", missing).option("multiLine", line_breaks)
+            .option("escape", '"').schema(", ".join(f"`{c}` STRING" for c in header)).csv(files)
             for header, files in groups.items()
         ]
     else:
