@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.frames import SPACES, ascii_lower, fresh
+from wardline.llm.components import attach
+from wardline.llm.frames import LOWER_BYTES, SPACES, as_bytes, fresh
+from wardline.llm.tokens import slices
+from wardline.session import cut_lineage
 
 MIN_CHARS, MIN_DOCS = 20, 3
+_SPACES = SPACES.encode()
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+def count_lines(text: Column) -> Column:
+    """Lines of a text; null and empty texts have one."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 def _without(lines: Column, drops: Column) -> Column:
@@ -26,16 +37,38 @@ def _without(lines: Column, drops: Column) -> Column:
     return F.flatten(F.transform(before, lambda s: F.slice(lines, s["start"] + 1, s["end"] - s["start"])))
 
 
-def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """The lines long enough (id, text hash, position, key hash), and for each common key its largest document."""
-    text = F.col(text_col)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(lines_of(text)).alias("pos", "line"))
-    rows = rows.select("doc", "body", "pos", line_key(F.col("line")).alias("line")).filter(F.length("line") >= min_chars)
-    rows = rows.select("doc", "body", "pos", F.unhex(F.md5("line")).alias("key"))
-    common = (rows.select("key", "doc").distinct().groupBy("key")
-              .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs))
-    return rows, common.select("key", "keeper")
+def _long_enough(line: bytes, min_chars: int) -> bool:
+    return len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode()) >= min_chars)
+
+
+def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """A row for each long enough line: id, hash of the whole text, position, and the key's 128-bit hash as two longs."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            for start, end in slices(b.column(2)):
+                texts = as_bytes(b.column(2).slice(start, end - start))
+                rows, places, keys = [], [], []
+                for i, text in enumerate(texts, start):
+                    for place, line in enumerate(text.translate(LOWER_BYTES).split(b"\n")):
+                        line = line.strip(_SPACES)
+                        if _long_enough(line, min_chars):
+                            rows.append(i)
+                            places.append(place)
+                            keys.append(digest(line))
+                both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(both[:, 0]),
+                     pa.array(both[:, 1])], names=["doc", "body", "pos", "k1", "k2"])
+                del texts, keys
+            pa.default_memory_pool().release_unused()
+    text = F.col(f"`{text_col}`")
+    slim = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("body"),
+                                                                text.alias("text"))
+    return slim.mapInArrow(run, f"doc {kind}, body long, pos int, k1 long, k2 long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
@@ -48,16 +81,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text is one empty line and comes back empty only if it had lines to lose, else as it was.  The added column
     gets ``_`` while its name is taken.
 
-    Only hashes and positions are shuffled by line; hot keys are pre-aggregated for the count and the join
-    back is a plain equi-join that Spark may split.
+    Lines are hashed once, and only hashes and positions are shuffled by line; keys are counted by combining aggregates, and
+    the rows of a hot key meet the common ones in a join that Spark may split.
     """
     name = fresh(docs, dropped_col)
-    rows, common = common_lines(docs, id_col, text_col, min_chars, min_docs)
-    flagged = (rows.join(common, "key").filter(F.col("doc") != F.col("keeper")).groupBy("doc", "body")
+    rows = cut_lineage(line_keys(docs, id_col, text_col, min_chars))
+    common = (rows.select("k1", "k2", "doc").distinct().groupBy("k1", "k2")
+              .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs)).drop("n")
+    flagged = (attach(rows, common, "k1", "k2").filter(F.col("doc") != F.col("keeper")).groupBy("doc", "body")
                .agg(F.sort_array(F.collect_set("pos")).alias("drops")))
     a, b = docs.alias("a"), flagged.alias("b")
-    drops, text = F.col("b.drops"), F.col(f"a.{text_col}")
-    joined = a.join(b, (F.col(f"a.{id_col}") == F.col("b.doc")) & (F.xxhash64(text) == F.col("b.body")), "left")
+    drops, text = F.col("b.drops"), F.col(f"a.`{text_col}`")
+    joined = a.join(b, (F.col(f"a.`{id_col}`") == F.col("b.doc")) & (F.xxhash64(text) == F.col("b.body")), "left")
     kept = F.when(drops.isNull(), text).otherwise(F.array_join(_without(lines_of(text), drops), "\n"))
     columns = [kept.alias(c) if c == text_col else F.col(f"a.`{c}`") for c in docs.columns]
     return joined.select(*columns, F.when(drops.isNull(), 0).otherwise(F.size(drops)).cast("long").alias(name))

@@ -65,8 +65,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = F.size(line_dedup.lines_of(F.col("text"))).cast("long")
-    done = line_dedup.dedup_lines(docs.withColumn("n_lines", lines))
+    done = line_dedup.dedup_lines(docs.withColumn("n_lines", line_dedup.count_lines(F.col("text"))))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
