@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from wardline.llm.frames import narrow
 from wardline.llm.tokens import encoder, slices
 
 CAPACITY, END_ID = 2048, 1
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, {}, doc_tokens long, sequence_id long, offset long"
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -27,11 +28,12 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     Bit s of a bitset tells that sum s can be reached; each step adds a power of two of one length, and the steps are
     walked back from the best sum.
     """
-    first = max(x for x in counts if x <= capacity)
+    order = sorted(counts, reverse=True)
+    first = next(x for x in order if x <= capacity)
     target = capacity - first
     within = (1 << target + 1) - 1
     reach, steps = 1, []
-    for length in sorted(counts, reverse=True):
+    for length in order:
         left = min(counts[length] - (length == first), target // length)
         take = 1
         while left > 0 and not reach >> target & 1:
@@ -54,8 +56,8 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 class Packer:
     """Pieces of documents laid into sequences; holds at most ``held`` ids and what one batch adds."""
 
-    def __init__(self, capacity: int, first_sequence: int, held: int = 1 << 21):
-        self.capacity, self.next, self.held = capacity, first_sequence, held
+    def __init__(self, capacity: int, first_sequence: int, held: int = 1 << 21, digest: bool = False):
+        self.capacity, self.next, self.held, self.digest = capacity, first_sequence, held, digest
         self.waiting: dict[int, list[tuple]] = defaultdict(list)
         self.size, self.rows = 0, []
 
@@ -73,7 +75,8 @@ class Packer:
     def _emit(self, pieces: list[tuple]) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
-            self.rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, self.next, offset))
+            shown = crc32(ids) if self.digest else ids.tobytes()
+            self.rows.append((doc_id, start, len(ids), shown, total, self.next, offset))
             offset += len(ids)
         self.next += 1
 
@@ -130,17 +133,19 @@ class Packer:
         self.waiting, self.size = defaultdict(list), 0
 
     def taken(self) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if self.digest else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "start", "length", "ids_crc32" if self.digest else "ids", "doc_tokens", "sequence_id", "offset"]
         columns = list(zip(*self.rows)) or [()] * len(kinds)
         self.rows = []
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, end_id: int = END_ID, keep_space: bool = True) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, keep_space: bool = True, digest: bool = False) -> DataFrame:
     """One row per piece: document, place in its ids, the ids (little-endian 32 bit), sequence and offset there.
 
+    With ``digest`` the column is ``ids_crc32``, the CRC-32 of those bytes, and the ids do not leave the task.
+
     Null and empty text is the end id alone; a null id stays null; repeated rows are packed each by itself; an empty
     table gives an empty result; other columns are ignored.  Sequences are full, or (at most eleven at the end of
     a partition) a power of two long, so none is padded.  Sequence ids grow within a partition and start with its number.
@@ -148,17 +153,19 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, keep_space)
-        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40, digest=digest)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 flat, counts = enc.encode(batch.column(1).slice(a, b - a))
-                ends = np.cumsum(counts)
-                for doc_id, start, end in zip(batch.column(0).slice(a, b - a).to_pylist(), ends - counts, ends):
-                    packer.add(doc_id, np.append(flat[start:end], np.uint32(end_id)))
+                ids = np.insert(flat, np.cumsum(counts), end_id).astype("<u4", copy=False)
+                ends = np.cumsum(counts + 1)
+                for doc_id, start, end in zip(batch.column(0).slice(a, b - a).to_pylist(), (ends - counts - 1).tolist(), ends.tolist()):
+                    packer.add(doc_id, ids[start:end])
                 yield packer.taken()
-            del batch, flat
+            del batch, flat, ids
             pa.default_memory_pool().release_unused()
         packer.finish()
         yield packer.taken()
     slim = narrow(docs, id_col, text_col)
-    return slim.select(slim["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    return slim.select(slim["doc_id"].cast("long"), "text").mapInArrow(
+        run, SCHEMA.format("ids_crc32 long" if digest else "ids binary"))

@@ -47,8 +47,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), digest=True)
 
 
 @query

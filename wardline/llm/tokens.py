@@ -14,6 +14,13 @@ MARK = (r"(\p{Ll})([.,;:!?]) ", r"\1 \2 ")
 _OPEN: dict[tuple, "Encoder"] = {}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """Words without spaces as Python strings, by one join and one split."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer on the whole text.
 
@@ -97,7 +104,7 @@ class Encoder:
         ends = np.asarray(lists.value_lengths(), np.int64).cumsum()
         starts = np.concatenate([[0], ends[:-1]])
         coded = lists.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, index = _strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
         odd = np.asarray(pc.match_substring(coded.dictionary, "<|"), bool)
         if self.keep_space:
             firsts, where = np.unique(index[starts], return_inverse=True)
