@@ -317,19 +317,21 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each document that holds benchmark passages: ``doc_id, n_items, items, share``.
 
-    ``items`` are the comma-joined items, ``share`` the largest part of a passage found in order.
+    ``items`` are the comma-joined items, shorter ones first, ``share`` the largest part of a passage found in order.  Each row
+    is judged by its own text, also where rows share an id, and however many scans the benchmark takes.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out, names = flagged(slim, benchmark, **options)
     if not names:
         return slim.filter(F.lit(False)).select("doc_id", F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"),
                                                 F.lit(0.0).alias("share"))
-    rows = out.select("doc_id", F.explode(F.array(*names)).alias("leak")).filter("leak.contaminated")
-    if len(names) == 1:
-        return rows.select("doc_id", "leak.n_items", "leak.items", "leak.share")
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("leak.items", ",")))))
-    merged = rows.groupBy("doc_id").agg(items.alias("all"), F.max("leak.share").alias("share"))
-    return merged.select("doc_id", F.size("all").cast("long").alias("n_items"), F.array_join("all", ",").alias("items"), "share")
+    leaks = F.filter(F.array(*names), lambda x: x["contaminated"])
+    rows = out.select("doc_id", leaks.alias("leaks")).filter(F.size("leaks") > 0)
+    every = F.array_distinct(F.flatten(F.transform("leaks", lambda x: F.split(x["items"], ","))))
+    shorter = lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    share = F.array_max(F.transform("leaks", lambda x: x["share"]))
+    return rows.select("doc_id", F.array_sort(every, shorter).alias("all"), share.alias("share")).select(
+        "doc_id", F.size("all").cast("long").alias("n_items"), F.array_join("all", ",").alias("items"), "share")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.llm.components import attach, components
-from wardline.llm.frames import append_struct, as_bytes, fresh, mix64, narrow
+from wardline.llm.frames import append_struct, as_bytes, mix64, narrow
 from wardline.llm.shingles import shingle_set
 from wardline.session import cut_lineage
 
@@ -191,9 +191,14 @@ def _left_over(shared: DataFrame, pivots: DataFrame, reps: DataFrame, found: Dat
     return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; see ``judged``."""
+    return judged(docs, id_col, text_col, **options).drop("body")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, body`` for every row of ``docs``; ``body`` is the hash of its text.
 
     Two texts are linked when their sets of ``size``-word shingles (A-Z lower-cased) share at least ``percent``
     of their union; components are transitive and named by their smallest id, the one row kept.  Equal sets form
@@ -236,11 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = attach(member, found.select(F.col("node").alias("rep"), "component"), "rep", how="left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+                      (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), "body")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents kept, with their own columns."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept")
-    name = fresh(docs, "gone")
-    return docs.join(gone.select(F.col("doc_id").alias(name)), docs[id_col] == F.col(name), "left_anti")
+    """The documents kept, with their own columns; of rows that share an id, each goes or stays by its own text."""
+    gone = judged(docs, id_col, text_col, **options).filter("not kept")
+    a, b = docs.alias("a"), gone.select("doc_id", "body").alias("b")
+    body = F.xxhash64(F.coalesce(F.col(f"a.`{text_col}`"), F.lit("")))
+    return a.join(b, (F.col(f"a.`{id_col}`") == F.col("b.doc_id")) & (body == F.col("b.body")), "left_anti")

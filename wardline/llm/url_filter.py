@@ -14,6 +14,7 @@ _TAG = r"(?i)<(?:link|meta)\b[^>]*>"
 _CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
 _REFRESH = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _CONTENT = r"""(?i)\burl\s*=\s*['"]?([^"'\s>;]+)"""
 
 
@@ -37,13 +38,43 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps."""
+    steps = F.split(path, "/", -1)
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s))))
+    joined = F.array_join(kept, "/")
+    return F.when(last.isin(".", "..") & ~F.endswith(joined, F.lit("/")), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A full address for ``target`` as written on a page at ``base``; null for other schemes, fragments and no base."""
+    scheme = F.regexp_extract(base, r"^([^:/?#]+)://", 1)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(rest_of(base), r"^[^/?#]*", 0))
+    folder = F.regexp_extract(path_of(base), r"^.*/", 0)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    path, tail = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    full = (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#") | (target == ""), F.lit(None))
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("/"), F.concat(root, _plain_path(path), tail))
+            .when(target.startswith("?"), F.concat(root, path_of(base), target))
+            .otherwise(F.concat(root, _plain_path(F.concat(folder, path)), tail)))
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | (scheme != ""), full)
+
+
 def redirects(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``url, target`` for the canonical links and refresh redirects of the pages; only full addresses count."""
+    """``url, target`` for the canonical links and refresh redirects of the pages; relative ones go by the page's url and
+    ``<base>``, and those that name no address are left out."""
+    base = F.replace(F.regexp_extract(F.col(html_col), _BASE, 1), F.lit("&amp;"), F.lit("&"))
+    base = F.when(F.coalesce(base, F.lit("")) == "", F.col(url_col)).otherwise(resolved(base, F.col(url_col)))
     tags = F.regexp_extract_all(F.col(html_col), F.lit(_TAG), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
-    found = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
+    found = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), base.alias("base"), F.explode(tags).alias("tag"))
     target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).otherwise(F.regexp_extract("tag", _CONTENT, 1))
-    return found.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target")).filter(F.instr("target", "://") > 0)
+    target = resolved(F.replace(target, F.lit("&amp;"), F.lit("&")), F.col("base"))
+    return found.select("url", target.alias("target")).filter(F.instr("target", "://") > 0)
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
