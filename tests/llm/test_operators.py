@@ -216,6 +216,50 @@ def test_windows_stand_whole_with_their_keepers():
                 assert not any(p < at[1] and q > at[0] for p, q in gone[k])
 
 
+def test_passages_without_white_space(spark):
+    rng = random.Random(17)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    shared = han(400)
+    rows = [(i, han(rng.randrange(50, 900)) + shared + han(rng.randrange(50, 900))) for i in range(4)] + [(4, han(900)), (5, "a" * 5000), (6, "b" * 7000)]
+    got = {r["doc_id"]: r for r in chunk_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0]["n_removed_chars"] == 0
+    texts = dict(rows)
+    for r in got.values():
+        a, b = map(int, r["spans"].split(":"))
+        assert texts[r["doc_id"]][a:b] in shared and b - a > 340
+
+
+def test_passages_against_all_windows(spark):
+    """Marks, keepers and kept texts agree with a plain dictionary of every window's bytes."""
+    rng = random.Random(18)
+    parts = [words(rng, rng.randrange(12, 80), 9000) for _ in range(12)]
+    rows = [(i % 37, "\t ".join(rng.choice(parts) if rng.random() < 0.4 else words(rng, rng.randrange(5, 60), 9000) for _ in range(6)))
+            for i in range(40)]
+    texts = [t.replace("\t", " ").encode() for _, t in rows]
+    cells = [[*zip(*(x.tolist() for x in chunk_dedup.windows(t, 120)))] for t in texts]
+    holders = {}
+    for (i, _), t, c in zip(rows, texts, cells):
+        for a, b in c:
+            holders.setdefault(t[a:b], set()).add(i)
+    want = []
+    for (i, _), t, c in zip(rows, texts, cells):
+        marked = sorted((a, b) for a, b in c if len(holders[t[a:b]]) > 1)
+        if marked:
+            lost, own = set(), set()
+            for a, b in marked:
+                (own if min(holders[t[a:b]]) == i else lost).update(range(a, b))
+            spans = ",".join(f"{a}:{b}" for a, b in chunk_dedup.runs(marked))
+            keepers = sorted({min(holders[t[a:b]]) for a, b in marked})
+            want.append((i, spans, keepers, len(lost - own)))
+    got = chunk_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["spans"], r["keepers"]) for r in got) == sorted(w[:3] for w in want) and len(want) > 20
+    # what is lost goes in stretches of 120 bytes or more
+    most = {}
+    for i, _, _, n in want:
+        most[i] = max(n, most.get(i, 0))
+    assert all(r["n_removed_chars"] <= most[r["doc_id"]] for r in got)
+
+
 def test_url_filter(spark):
     page = '<html><link rel="canonical" href="{}"><p>x</p>'
     pages = [(1, "http://bad.example.com/en/1", None), (2, "http://alias.test/1", page.format("http://bad.example.com/en/1")),

@@ -1,7 +1,7 @@
 """Repeated passages by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides where chunks end, so equal passages get equal chunks wherever they
-stand, and an insertion changes only the chunks it touches.  Windows of neighbouring chunks are digested whole; digests
+stand, and an insertion changes only the chunks it touches.  Every window of neighbouring chunks is digested whole; digests
 found in several documents mark passages, so every mark is a stretch that one other document has byte for byte.
 """
 
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from wardline.llm.components import attach
 from wardline.llm.frames import SPACES, as_bytes, mix64, narrow
+from wardline.session import cut_lineage
 
-# A chunk ends after one in WORDS_PER_CUT white-space bytes, or after one in BYTES_PER_CUT bytes without regard to words.
-WORDS_PER_CUT, BYTES_PER_CUT = 4, 2048
+# A chunk ends after one in WORDS_PER_CUT white-space bytes; in text that has had none for BARE_BYTES (scripts that write
+# without blanks, codes), after one in LETTERS_PER_CUT letters.
+WORDS_PER_CUT, LETTERS_PER_CUT, BARE_BYTES = 4, 8, 32
 # A window of chunks, and so a passage, has this many bytes at least.
 PASSAGE_BYTES = 120
 _GEAR = (mix64(np.arange(256)) >> np.uint64(48)).astype(np.uint16)
@@ -39,51 +41,43 @@ def gear(raw: np.ndarray) -> np.ndarray:
 def _ends(raw: np.ndarray, h: np.ndarray) -> np.ndarray:
     letter = np.ones(len(raw), bool)
     letter[:-1] = (raw[1:] & 0xC0) != 0x80
-    cut = (_SPACE[raw] & (h < 65536 // WORDS_PER_CUT)) | (letter & (h < 65536 // BYTES_PER_CUT))
+    space, at = _SPACE[raw], np.arange(len(raw))
+    bare = at - np.maximum.accumulate(np.where(space, at, -1)) >= BARE_BYTES
+    # Inside a run of one byte the hash stands still, and the run stays one chunk.
+    moved = np.ones(len(raw), bool)
+    moved[1:] = h[1:] != h[:-1]
+    cut = moved & ((space & (h < 65536 // WORDS_PER_CUT)) | (bare & letter & (h < 65536 // LETTERS_PER_CUT)))
     cut[-1] = True
     return np.flatnonzero(cut) + 1
 
 
 def chunk_ends(text: bytes) -> np.ndarray:
-    """Ends of the chunks of a text, in bytes; they depend on the 16 bytes before them only and never split a letter."""
+    """Ends of the chunks of a text, in bytes; they depend on the 32 bytes before them only and never split a letter."""
     raw = np.frombuffer(text, np.uint8)
     return _ends(raw, gear(raw)) if len(raw) else np.empty(0, np.int64)
 
 
 def windows(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the windows: from each chunk on as many whole chunks as have ``least`` bytes, the last up to the end.
-
-    A window whose hash is above those of both neighbours is left out where these meet without it, so of two neighbours one
-    is always there, and a repeated stretch of several windows loses at most the outer chunk at each side.
-    """
-    raw = np.frombuffer(text, np.uint8)
-    if len(raw) < max(1, least):
+    """Starts and ends of the windows: from each chunk on as many whole chunks as have ``least`` bytes, the last up to the end."""
+    if len(text) < max(1, least):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = gear(raw)
-    bounds = np.concatenate([[0], _ends(raw, h)])
-    start = bounds[:-1][bounds[:-1] <= len(raw) - least]
+    bounds = np.concatenate([[0], chunk_ends(text)])
+    start = bounds[:-1][bounds[:-1] <= len(text) - least]
     end = bounds[np.searchsorted(bounds, start + least)]
-    order = h[start - 1]
-    keep = np.ones(len(start), bool)
-    keep[1:-1] = (order[1:-1] <= order[:-2]) | (order[1:-1] <= order[2:]) | (start[2:] > end[:-2])
-    # The hash before the first chunk is of the text's end, so the window after it stays; the last one reaches the end too.
-    keep[:2] = True
-    start, end = start[keep], end[keep]
-    if end[-1] < len(raw):
-        start, end = np.append(start, start[-1]), np.append(end, len(raw))
+    if end[-1] < len(text):
+        start, end = np.append(start, start[-1]), np.append(end, len(text))
     return start, end
 
 
-def cells_of(docs: DataFrame, passage_bytes: int) -> DataFrame:
-    """``doc, body, at, size, d1, d2`` for each window; white space of any kind counts as a blank.
+def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFrame:
+    """``d1, d2, doc, body, at, size`` for each window, or ``d1`` alone; white space of any kind counts as a blank.
 
-    docs has doc_id, body and text; ``at`` and ``size`` are bytes, the digest has 128 bits.
+    docs has doc_id, body and text; ``at`` and ``size`` are bytes, the digest has 64 bits in ``d1`` and 32 more in ``d2``.
     """
     blank = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rows, starts, sizes, digests = [], [], [], []
             for r, text in enumerate(as_bytes(batch.column(2))):
                 text = text.translate(blank)
@@ -92,13 +86,15 @@ def cells_of(docs: DataFrame, passage_bytes: int) -> DataFrame:
                 starts.append(begin)
                 sizes.append(end - begin)
                 digests += [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
-            if rows:
-                r = np.concatenate(rows)
-                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], bodies[r], np.concatenate(starts).astype(np.int32),
-                                                  np.concatenate(sizes).astype(np.int32), d[:, 0].copy(), d[:, 1].copy())],
-                                                 names=["doc", "body", "at", "size", "d1", "d2"])
-    return docs.mapInArrow(run, "doc long, body long, at int, size int, d1 long, d2 long")
+            if not digests:
+                continue
+            r, d = np.concatenate(rows), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            made = {"d1": d[:, 0].copy()}
+            if places:
+                made |= {"d2": d[:, 1].astype(np.int32), "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r],
+                         "at": np.concatenate(starts).astype(np.int32), "size": np.concatenate(sizes).astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made.values()], names=list(made))
+    return docs.mapInArrow(run, "d1 long, d2 int, doc long, body long, at int, size int" if places else "d1 long")
 
 
 def runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,11 +114,11 @@ def without(stretches: list[tuple[int, int]], held: list[tuple[int, int]], least
     for start, end in stretches:
         while i < len(held) and held[i][1] <= start:
             i += 1
-        for a, b in held[i:]:
-            if a >= end:
-                break
-            out.append((start, a))
-            start = max(start, b)
+        k = i
+        while k < len(held) and held[k][0] < end:
+            out.append((start, held[k][0]))
+            start = max(start, held[k][1])
+            k += 1
         out.append((start, end))
     return [(a, b) for a, b in out if b - a >= max(1, least)]
 
@@ -145,7 +141,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = narrow(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     slim = slim.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text")
-    cells = cells_of(slim, passage_bytes)
+    # The 64 bits alone say which windows can repeat; only those are compared by the whole digest and by document.
+    twice = cells_of(slim, passage_bytes, places=False).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
+    cells = cut_lineage(attach(cells_of(slim, passage_bytes), twice, "d1"))
     common = (cells.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
               .filter("keeper <> last").select("d1", "d2", "keeper"))
     marks = attach(cells, common, "d1", "d2").groupBy("doc", "body").agg(
