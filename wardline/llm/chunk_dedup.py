@@ -70,7 +70,7 @@ def windows(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFrame:
-    """``d1, d2, doc, body, at, size`` for each window, or ``d1`` alone; white space of any kind counts as a blank.
+    """``d1, d2, doc, body, at, size`` for each window, or ``d1`` alone, once a text; white space of any kind counts as a blank.
 
     docs has doc_id, body and text; ``at`` and ``size`` are bytes, the digest has 64 bits in ``d1`` and 32 more in ``d2``.
     """
@@ -85,12 +85,14 @@ def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFr
                 rows.append(np.full(len(begin), r))
                 starts.append(begin)
                 sizes.append(end - begin)
-                digests += [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
+                found = [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
+                digests += found if places else set(found)
             if not digests:
                 continue
-            r, d = np.concatenate(rows), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             made = {"d1": d[:, 0].copy()}
             if places:
+                r = np.concatenate(rows)
                 made |= {"d2": d[:, 1].astype(np.int32), "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r],
                          "at": np.concatenate(starts).astype(np.int32), "size": np.concatenate(sizes).astype(np.int32)}
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made.values()], names=list(made))
@@ -141,7 +143,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = narrow(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     slim = slim.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text")
-    # The 64 bits alone say which windows can repeat; only those are compared by the whole digest and by document.
+    # The 64 bits alone say which windows several texts can have; only those are compared by the whole digest and by document.
     twice = cells_of(slim, passage_bytes, places=False).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
     cells = cut_lineage(attach(cells_of(slim, passage_bytes), twice, "d1"))
     common = (cells.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
