@@ -69,22 +69,34 @@ def windows(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+def spots(start: np.ndarray) -> np.ndarray:
+    """Twice the start of each window; one more for a second window from the same start, which goes up to the text's end."""
+    return 2 * start + np.concatenate([[0], start[1:] == start[:-1]]).astype(np.int64)[:len(start)]
+
+
+def stretches(text: bytes, spot: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of the windows of a text that stand at these spots."""
+    begin, end = windows(text, least)
+    at = np.searchsorted(spots(begin), spot)
+    return list(zip(begin[at].tolist(), end[at].tolist()))
+
+
 def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFrame:
-    """``d1, d2, doc, body, at, size`` for each window, or ``d1`` alone, once a text; white space of any kind counts as a blank.
+    """``d1, spot, doc, body`` for each window, or ``d1`` alone, once a text; white space of any kind counts as a blank.
 
-    docs has doc_id, body and text; ``at`` and ``size`` are bytes, the digest has 64 bits in ``d1`` and 32 more in ``d2``.
+    docs has doc_id, body and text.  The digest has 64 bits in ``d1`` and 32 more in the upper half of ``spot``; the lower half
+    says where the window stands (see ``spots``).
     """
     blank = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, sizes, digests = [], [], [], []
+            rows, places_of, digests = [], [], []
             for r, text in enumerate(as_bytes(batch.column(2))):
                 text = text.translate(blank)
                 begin, end = windows(text, passage_bytes)
                 rows.append(np.full(len(begin), r))
-                starts.append(begin)
-                sizes.append(end - begin)
+                places_of.append(spots(begin))
                 found = [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
                 digests += found if places else set(found)
             if not digests:
@@ -93,10 +105,10 @@ def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFr
             made = {"d1": d[:, 0].copy()}
             if places:
                 r = np.concatenate(rows)
-                made |= {"d2": d[:, 1].astype(np.int32), "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r],
-                         "at": np.concatenate(starts).astype(np.int32), "size": np.concatenate(sizes).astype(np.int32)}
+                made |= {"spot": (d[:, 1] << 32) | np.concatenate(places_of),
+                         "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r]}
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made.values()], names=list(made))
-    return docs.mapInArrow(run, "d1 long, d2 int, doc long, body long, at int, size int" if places else "d1 long")
+    return docs.mapInArrow(run, "d1 long, spot long, doc long, body long" if places else "d1 long")
 
 
 def runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,20 +158,22 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The 64 bits alone say which windows several texts can have; only those are compared by the whole digest and by document.
     twice = cells_of(slim, passage_bytes, places=False).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
     cells = cut_lineage(attach(cells_of(slim, passage_bytes), twice, "d1"))
+    cells = cells.select("d1", F.shiftright("spot", 32).alias("d2"), F.col("spot").bitwiseAND(0xFFFFFFFF).alias("spot"), "doc", "body")
     common = (cells.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
               .filter("keeper <> last").select("d1", "d2", "keeper"))
     marks = attach(cells, common, "d1", "d2").groupBy("doc", "body").agg(
-        F.sort_array(F.collect_set(F.struct("at", "size", "keeper"))).alias("marks"))
+        F.sort_array(F.collect_set(F.struct("spot", "keeper"))).alias("marks"))
     marks = marks.select(F.col("doc").alias("doc_id"), "body", "marks")
-    joined = slim.join(marks, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("doc_id", "text", F.col("marks.at").alias("at"),
-                                                         F.col("marks.size").alias("size"), F.col("marks.keeper").alias("keeper"))
+    joined = slim.join(marks, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select(
+        "doc_id", "text", F.col("marks.spot").alias("spot"), F.col("marks.keeper").alias("keeper"))
+    blank = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, at, size, keeper in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)),
-                                                   *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                marks = [(a, a + n) for a, n in zip(at, size)]
+            for doc, text, spot, keeper in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)),
+                                               *(batch.column(i).to_pylist() for i in (2, 3))):
+                marks = stretches(text.translate(blank), np.array(spot), passage_bytes)
                 found = runs(marks)
                 gone = without(runs([m for m, k in zip(marks, keeper) if k != doc]),
                                runs([m for m, k in zip(marks, keeper) if k == doc]), passage_bytes)
