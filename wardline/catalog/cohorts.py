@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wardline import study
 from wardline.catalog.episodes import DEATH_SQL
-from wardline.catalog.registry import END, FLOOR, STAY_END, query, rounded, table, view, views
+from wardline.catalog.coxsql import cox_many, robust_variance, tidy_rows
+from wardline.catalog.registry import END, FLOOR, STAY_END, TABLES, VIEWS, query, rounded, table, view, views
 from wardline.catalog.rules import _CHARLSON_SQL, _PAY
 from wardline.operators.clean import between_dates
 from wardline.operators.comorbidity import charlson
@@ -15,7 +16,8 @@ from wardline.operators.episodes import first_episode, effective_end, readmissio
 from wardline.operators.models import ratio_table, svy_logit, tidy
 from wardline.operators.survival import kaplan_meier
 from wardline.operators.weights import att_weights_multi
-from wardline.plans.effects import (ARM, clinic_analysis, death_model, inpatient_analysis, stay_model, weighted_effect)
+from wardline.plans.effects import (ARM, clinic_analysis, clinic_outcomes, death_model, inpatient_analysis, stay_model,
+                                    weighted_effect, weighted_outcomes)
 from wardline.plans.inpatient import Window, inpatient_cohort
 from wardline.plans.outpatient import outpatient_cohort
 from wardline.session import cut_lineage
@@ -208,3 +210,82 @@ SELECT use_antiviral, time, risk AS n_risk, e AS n_event, n - e AS n_censor, ROU
 ROUND(CASE WHEN survival > 0 THEN -LN(survival) END, 6) + 0.0 AS cum_hazard FROM km""")
 def _(spark, sf):
     return rounded(kaplan_meier(_analysis(spark, sf), "fu", "dead", "use_antiviral"), 6)
+
+
+# --- effects of the clinic cohort, of three arms and of survivors: weights of one factor have a closed form -------
+
+_ARMS = ", arms AS (" + VIEWS["patients"].format(**{t: t for t in TABLES}) + ")"
+_CLINIC_Z = _OP_SQL + _ARMS + """, z AS (SELECT p.ref, x.arm, CASE WHEN x.arm = 'Did not use' THEN 0 ELSE 1 END AS used, p.sex, COALESCE(p.ane, 0) AS ane, p.dead, p.fu
+FROM people p JOIN arms x ON x.ref = p.ref WHERE p.age >= 60 OR p.no_disease = 0)"""
+_BED_Z = """, z AS (SELECT p.ref, x.arm, CASE WHEN x.arm = 'Did not use' THEN 0 ELSE 1 END AS used, x.sex, p.unplan_7d, p.unplan_28d, p.dead, p.fu FROM people p JOIN patients x ON x.ref = p.ref)"""
+_PAIR, _TRIO = ("used", "1", "0", "used"), ("arm", "'Did not use'", "'Did not use'", "antiviral")
+
+
+def _weights_sql(arms, where="TRUE"):
+    by, focal, _, _ = arms
+    return f""", part AS (SELECT * FROM z WHERE {where}), cells AS (SELECT sex, {by}, COUNT(*)::DOUBLE AS n FROM part GROUP BY 1, 2),
+wz AS (SELECT part.*, f.n / o.n AS weight FROM part JOIN cells o ON o.sex = part.sex AND o.{by} = part.{by} JOIN cells f ON f.sex = part.sex AND f.{by} = {focal})"""
+
+
+def _odds_sql(arms, outcomes, where="TRUE"):
+    by, _, base, term = arms
+    one = [f"""SELECT '{y}' AS outcome, '{term}' || a.{by} AS term, ROUND(CASE WHEN a.fine AND b.fine THEN EXP(a.lo - b.lo) END, 6) AS ratio, ROUND(CASE WHEN a.fine AND b.fine THEN SQRT(a.var + b.var) END, 6) AS std_error FROM
+(SELECT g.{by}, g.pr BETWEEN 1e-6 AND 1 - 1e-6 AS fine, CASE WHEN fine THEN LN(g.pr / (1 - g.pr)) END AS lo, CASE WHEN fine THEN g.nn / (g.nn - 1) * SUM(POWER(wz.weight * (wz.{y} - g.pr), 2)) / POWER(g.w * g.pr * (1 - g.pr), 2) END AS var FROM g_{y} g JOIN wz ON wz.{by} = g.{by} GROUP BY g.{by}, g.pr, g.w, g.nn) a,
+(SELECT g.{by}, g.pr BETWEEN 1e-6 AND 1 - 1e-6 AS fine, CASE WHEN fine THEN LN(g.pr / (1 - g.pr)) END AS lo, CASE WHEN fine THEN g.nn / (g.nn - 1) * SUM(POWER(wz.weight * (wz.{y} - g.pr), 2)) / POWER(g.w * g.pr * (1 - g.pr), 2) END AS var FROM g_{y} g JOIN wz ON wz.{by} = g.{by} GROUP BY g.{by}, g.pr, g.w, g.nn) b
+WHERE b.{by} = {base} AND a.{by} <> {base}""" for y in outcomes]
+    sums = "".join(f", g_{y} AS (SELECT {by}, SUM(weight) AS w, SUM(weight * {y}) / SUM(weight) AS pr, (SELECT COUNT(*) FROM wz)::DOUBLE AS nn FROM wz GROUP BY {by})"
+                   for y in outcomes)
+    return _weights_sql(arms, where) + sums + " " + " UNION ALL ".join(one)
+
+
+def _clinic(spark, sf):
+    """The clinic cohort with the arms of the patient view, as in the clinic view nobody is without a drug."""
+    arms = view(spark, sf, "patients").select("ref", F.col("arm").alias("antiviral"))
+    return cut_lineage(clinic_outcomes(clinic_analysis(outpatient(spark, sf).drop("antiviral").join(arms, "ref")))[0])
+
+
+def _odds(found):
+    return rounded(found.odds().select("outcome", "term", "ratio", "std_error"))
+
+
+SEX = [Factor("sex")]
+
+
+@query("clinic_effect_odds", _CLINIC_Z + _odds_sql(_PAIR, ["ane"]))
+def _(spark, sf):
+    return _odds(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX))
+
+
+@query("clinic_arms_odds", _CLINIC_Z + _odds_sql(_TRIO, ["ane"]))
+def _(spark, sf):
+    return _odds(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX, multi=True))
+
+
+@query("clinic_survivor_odds", _CLINIC_Z + _odds_sql(_PAIR, ["ane"], "dead = 0"))
+def _(spark, sf):
+    return _odds(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX, where=F.col("dead") == 0))
+
+
+@query("clinic_effect_balance", _CLINIC_Z + _weights_sql(_PAIR) + """ SELECT 'sex' AS variable, sex AS level, '0' AS arm,
+ROUND(SUM(used)::DOUBLE / (SELECT SUM(used) FROM wz) - SUM(1 - used)::DOUBLE / (SELECT SUM(1 - used) FROM wz), 6) + 0.0 AS diff_unadjusted,
+ROUND(SUM(used * weight) / (SELECT SUM(used * weight) FROM wz) - SUM((1 - used) * weight) / (SELECT SUM((1 - used) * weight) FROM wz), 6) + 0.0 AS diff_adjusted FROM wz GROUP BY sex""")
+def _(spark, sf):
+    return rounded(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX).balance)
+
+
+@query("clinic_death_model", _CLINIC_Z + _weights_sql(_PAIR) + cox_many(
+    "SELECT ref, 1 AS s, fu AS t, dead AS e, weight AS w, used AS x0 FROM wz", 1) + robust_variance(1) + """, tidied AS (""" + tidy_rows(["used1"]) + """),
+both_arms AS (SELECT COUNT(DISTINCT used) = 2 AS fine FROM wz WHERE dead = 1)
+SELECT term, CASE WHEN fine THEN estimate END AS estimate, CASE WHEN fine THEN std_error END AS std_error, CASE WHEN fine THEN statistic END AS statistic, CASE WHEN fine THEN p_value END AS p_value FROM tidied, both_arms""")
+def _(spark, sf):
+    return rounded(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX).deaths(), 5)
+
+
+@query("inpatient_arms_odds", _sql_tail() + _BED_Z + _odds_sql(_TRIO, ["unplan_7d", "unplan_28d"]))
+def _(spark, sf):
+    return _odds(weighted_outcomes(_analysis(spark, sf), ["unplan_7d", "unplan_28d"], SEX, multi=True))
+
+
+@query("inpatient_survivor_odds", _sql_tail() + _BED_Z + _odds_sql(_TRIO, ["unplan_7d", "unplan_28d"], "dead = 0"))
+def _(spark, sf):
+    return _odds(weighted_outcomes(_analysis(spark, sf), ["unplan_7d", "unplan_28d"], SEX, multi=True, where=F.col("dead") == 0))
