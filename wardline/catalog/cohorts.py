@@ -275,7 +275,7 @@ def _(spark, sf):
 
 @query("clinic_death_model", _CLINIC_Z + _weights_sql(_PAIR) + cox_many(
     "SELECT ref, 1 AS s, fu AS t, dead AS e, weight AS w, used AS x0 FROM wz", 1) + robust_variance(1) + """, tidied AS (""" + tidy_rows(["used1"]) + """),
-both_arms AS (SELECT COUNT(DISTINCT used) = 2 AS fine FROM wz WHERE dead = 1)
+both_arms AS (SELECT COUNT(DISTINCT used) = 2 AND (SELECT ABS(b0) < 8 FROM fit) AS fine FROM wz WHERE dead = 1)
 SELECT term, CASE WHEN fine THEN estimate END AS estimate, CASE WHEN fine THEN std_error END AS std_error, CASE WHEN fine THEN statistic END AS statistic, CASE WHEN fine THEN p_value END AS p_value FROM tidied, both_arms""")
 def _(spark, sf):
     return rounded(weighted_outcomes(_clinic(spark, sf), ["ane"], SEX).deaths(), 5)

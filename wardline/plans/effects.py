@@ -87,6 +87,8 @@ def weighted_effect(df: DataFrame, outcome: str, covariates, multi: bool = False
 
 # A weighted share of people below this, or above one less this, gives no odds.
 RARE = 1e-6
+# A log hazard ratio beyond this is taken for a likelihood that rises without end, which has no estimate.
+RUNAWAY = 8.0
 
 
 @dataclass
@@ -120,9 +122,9 @@ class Outcomes:
         return reduce(DataFrame.unionByName, rows)
 
     def deaths(self) -> DataFrame:
-        """Terms of the weighted Cox model by arm; NULL where one of the two arms has no death."""
+        """Terms of the weighted Cox model by arm; NULL where one of the two arms has no death or the estimate runs away."""
         fit = tidy(death_model(self.people, [self.term], "weight"))
-        known = F.col("term").isin(self._known("dead", math.inf))
+        known = F.col("term").isin(self._known("dead", math.inf)) & (F.abs("estimate") < RUNAWAY)
         return fit.select("term", *[F.when(known, F.col(c)).alias(c) for c in fit.columns if c != "term"])
 
 
