@@ -289,8 +289,9 @@ def test_personal_data(spark, docs, empty):
 
 def test_labels_reach_all_repeats():
     text = "call (743) 555-3007, " + "or 555-3007 again " * 50
-    field = personal_data.Field(np.zeros((4097, 5)), np.array([np.zeros((5, 5)), 8 * np.eye(5)]))
-    field.nodes[zlib.crc32(b"b(999)|999-9999") % 4096, 4] = 40
+    n = personal_data.LABELS
+    field = personal_data.Field(np.zeros((personal_data.FEATURES + 1, n)), np.array([np.zeros((n, n)), 8 * np.eye(n)]))
+    field.nodes[zlib.crc32(b"b(93,)|93,-94,") % personal_data.FEATURES, 4] = 40
     got = personal_data.added_spans(text, field, [])
     assert {(k, text[a:b]) for k, a, b in got if "555" in text[a:b]} == {(3, "555-3007")} and len(got) >= 51
     # Recognised by a pattern, repeated bare.

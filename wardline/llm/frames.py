@@ -29,9 +29,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name as one identifier, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``doc_id`` and ``text`` (null: empty), so that other columns cannot clash."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -44,10 +49,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names by place, since Arrow mapping resolves names and fails on dots and clashes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def append_struct(df: DataFrame, name: str, fields: T.StructType,
                   compute: Callable[[pa.RecordBatch], dict[str, object]]) -> DataFrame:
     """``df`` with one more struct column; ``compute`` gives its fields for each Arrow batch."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, fields)])
+    plain = numbered(df)
+    schema = T.StructType(plain.schema.fields + [T.StructField(f"c{len(df.columns)}", fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,10 +68,10 @@ def append_struct(df: DataFrame, name: str, fields: T.StructType,
                 continue
             got = compute(b)
             made = pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in kinds], fields=list(kinds))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=schema.names)
             del b, made, got
             pa.default_memory_pool().release_unused()
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*df.columns, name)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

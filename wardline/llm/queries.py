@@ -82,7 +82,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.personal_data(read(spark, sf_dir, "documents"))
-    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+    counts = [f"n_{k}" for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 @query
