@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.operators.comorbidity import charlson
 from wardline.operators.episodes import drug_courses
 from wardline.operators.grouping import attrition, describe_num, flag_members, percentiles, top_n
+from wardline.plans.deaths import SHOWN, cohort_death_causes, death_cause_table
 
 
 def plan(df):
@@ -67,3 +68,26 @@ def test_percentiles_by_selection(spark, kinds):
     row = describe_num(df, "v").first()
     assert (row.q1, row.median, row.q3, row.nulls) == pytest.approx((exact(.25), exact(.5), exact(.75), values.count(None)))
     assert describe_num(df.filter("v is null"), "v").first().median is None
+
+
+def test_death_causes_of_a_cohort(spark):
+    arms = ["Did not use", "Paxlovid only", "Molnupiravir only"]
+    people = spark.createDataFrame([(f"p{i}", arms[i % 3] if i else None, 1) for i in range(30)], "ref string, antiviral string, dementia int")
+    codes = ["U071", "C349", "I219", "E119", "K259", None]
+    deaths = [(f"p{i}", codes[i % 6]) for i in range(24)] + [("p1", "I639"), ("stranger", "C349"), (None, "C349")]
+    causes = cohort_death_causes(people, spark.createDataFrame(deaths, "ref string, main_cause string"))
+    rows = causes.collect()
+    assert len(rows) == 25 and {r["ref"] for r in rows} == {f"p{i}" for i in range(24)}
+    assert {(r["covid"], r["cancer"], r["heart"], r["stroke"], r["diabetes"], r["others"], r["all"]) for r in rows if r["ref"] == "p1"} == {
+        (0, 1, 0, 0, 0, 0, 1), (0, 0, 0, 1, 0, 0, 1)}
+    assert all(r["others"] == 1 and r["dementia"] == 0 for r in rows if r["ref"] in ("p4", "p5"))
+    got = {(r["variable"], r["level"], r["stratum"]): r for r in death_cause_table(causes).collect()}
+    assert {k[0] for k in got} == set(SHOWN)
+    assert got["heart", "1", "Overall"]["n"] == 4 and got["heart", "1", "Overall"]["p_value"] is None
+    in_arm = [r for r in rows if r["antiviral"] == arms[1]]
+    cell = got["cancer", "1", arms[1]]
+    assert cell["n"] == sum(r["cancer"] for r in in_arm) and cell["percent"] == pytest.approx(100 * cell["n"] / len(in_arm))
+    assert 0 < cell["p_value"] <= 1 and cell["smd"] > 0
+    assert got["all", "1", arms[1]]["p_value"] is None
+    none = cohort_death_causes(people, spark.createDataFrame([], "ref string, main_cause string"))
+    assert none.count() == 0 and death_cause_table(none).count() == 0

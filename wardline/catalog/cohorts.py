@@ -8,7 +8,7 @@ from wardline import study
 from wardline.catalog.episodes import DEATH_SQL
 from wardline.catalog.coxsql import cox_many, robust_variance, tidy_rows
 from wardline.catalog.registry import END, FLOOR, STAY_END, TABLES, VIEWS, query, rounded, table, view, views
-from wardline.catalog.rules import _CHARLSON_SQL, _PAY
+from wardline.catalog.rules import _CAUSES, _CHARLSON_SQL, _PAY
 from wardline.operators.clean import between_dates
 from wardline.operators.comorbidity import charlson
 from wardline.operators.design import Factor
@@ -16,6 +16,7 @@ from wardline.operators.episodes import first_episode, effective_end, readmissio
 from wardline.operators.models import ratio_table, svy_logit, tidy
 from wardline.operators.survival import kaplan_meier
 from wardline.operators.weights import att_weights_multi
+from wardline.plans.deaths import SHOWN, cohort_death_causes, death_cause_table
 from wardline.plans.effects import (ARM, clinic_analysis, clinic_outcomes, death_model, inpatient_analysis, stay_model,
                                     weighted_effect, weighted_outcomes)
 from wardline.plans.inpatient import Window, inpatient_cohort
@@ -289,3 +290,38 @@ def _(spark, sf):
 @query("inpatient_survivor_odds", _sql_tail() + _BED_Z + _odds_sql(_TRIO, ["unplan_7d", "unplan_28d"], "dead = 0"))
 def _(spark, sf):
     return _odds(weighted_outcomes(_analysis(spark, sf), ["unplan_7d", "unplan_28d"], SEX, multi=True, where=F.col("dead") == 0))
+
+
+# --- causes of death of both cohorts --------------------------------------------------------------
+
+def _deaths_sql():
+    """Cells of the table over ``z`` (ref, arm); with three arms and two levels the tail of chi-square is EXP(-x / 2)."""
+    flags = " UNION ALL ".join(f"""SELECT '{c}' AS variable, CAST("{c}" AS VARCHAR) AS level, arm FROM h""" for c in SHOWN)
+    return ", causes AS (" + VIEWS["causes"].format(**{t: t for t in TABLES}) + "), " + _CAUSES + f""",
+h AS (SELECT z.arm, d.*, CASE WHEN ischemic_heart + pulmonary_heart + other_heart > 0 THEN 1 ELSE 0 END AS heart,
+CASE WHEN diabetes + ischemic_heart + pulmonary_heart + other_heart + covid + cancer + stroke + nervous_sys + genitourinary = 0 THEN 1 ELSE 0 END AS others, 1 AS "all" FROM z JOIN d ON d.ref = z.ref),
+long AS ({flags}), cell AS (SELECT variable, level, arm, COUNT(*)::DOUBLE AS n FROM long GROUP BY 1, 2, 3),
+col AS (SELECT variable, arm, SUM(n) AS c FROM cell GROUP BY 1, 2), line AS (SELECT variable, level, SUM(n) AS r FROM cell GROUP BY 1, 2),
+size AS (SELECT variable, SUM(n) AS t, COUNT(DISTINCT level) AS levels, COUNT(DISTINCT arm) AS arms FROM cell GROUP BY 1),
+chi AS (SELECT variable, t * (SUM(n * n / (r * c)) - 1) AS x FROM cell JOIN col USING (variable, arm) JOIN line USING (variable, level) JOIN size USING (variable) GROUP BY variable, t),
+share AS (SELECT variable, arm, COALESCE(SUM(n) FILTER (WHERE level = '1'), 0) / SUM(n) AS p FROM cell GROUP BY 1, 2),
+apart AS (SELECT variable, AVG(CASE WHEN ABS(a.p - b.p) <= 1e-15 THEN 0 ELSE ABS(a.p - b.p) / SQRT((a.p * (1 - a.p) + b.p * (1 - b.p)) / 2) END) AS smd
+FROM share a JOIN share b USING (variable) WHERE a.arm < b.arm GROUP BY variable)
+SELECT variable, level, 'Overall' AS stratum, r AS n, ROUND(100 * r / t, 6) AS percent, NULL::DOUBLE AS p_value, NULL::DOUBLE AS smd FROM line JOIN size USING (variable)
+UNION ALL SELECT variable, level, arm, n, ROUND(100 * n / c, 6), ROUND(CASE WHEN levels = 2 AND arms = 3 THEN EXP(-x / 2) END, 6),
+ROUND(CASE WHEN levels = 2 THEN smd ELSE 0 END, 6) FROM cell JOIN col USING (variable, arm) JOIN size USING (variable) JOIN chi USING (variable) JOIN apart USING (variable)"""
+
+
+def _death_table(spark, sf, people):
+    causes = cut_lineage(cohort_death_causes(people, view(spark, sf, "causes")))
+    return rounded(death_cause_table(causes).select("variable", "level", "stratum", "n", "percent", "p_value", "smd"))
+
+
+@query("inpatient_death_causes", _sql_tail() + _BED_Z + _deaths_sql())
+def _(spark, sf):
+    return _death_table(spark, sf, _analysis(spark, sf))
+
+
+@query("clinic_death_causes", _CLINIC_Z + _deaths_sql())
+def _(spark, sf):
+    return _death_table(spark, sf, _clinic(spark, sf))

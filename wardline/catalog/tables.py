@@ -56,6 +56,36 @@ def _(spark, sf):
     return rounded(plain.unionByName(weighted))
 
 
+# Tails in closed form: F with 2 and m degrees of freedom is (1 + 2 F / m) ^ (-m / 2), chi-square with 2 k is a Poisson sum of k terms.
+_FLAT = """SELECT '{v}' AS variable, '{d}' AS design, arm, COUNT(*)::DOUBLE AS n, SUM({w}) AS w, SUM({w} * {v}) AS wx, SUM({w} * {v} * {v}) AS wxx,
+SUM({w} * {w}) AS w2, SUM({w} * {w} * {v}) AS w2x, SUM({w} * {w} * {v} * {v}) AS w2xx FROM patients WHERE {v} IS NOT NULL GROUP BY arm"""
+
+
+def _tests_sql() -> str:
+    flat = " UNION ALL ".join(_FLAT.format(v=v, d=d, w=w) for v in NUMS for d, w in (("plain", "1.0::DOUBLE"), ("weighted", "w")))
+    cells = " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS level, arm, COUNT(*)::DOUBLE AS n FROM patients WHERE {v} IS NOT NULL GROUP BY 2, 3" for v in CATS)
+    return views("patients").rstrip() + f""", flat AS ({flat}),
+f AS (SELECT variable, design, SUM(n) - 3 AS m, (SUM(wx * wx / n) - SUM(wx) * SUM(wx) / SUM(n)) / 2 / ((SUM(wxx) - SUM(wx * wx / n)) / (SUM(n) - 3)) AS f FROM flat WHERE design = 'plain' GROUP BY 1, 2),
+s AS (SELECT variable, design, wx / w AS mean, (SUM(n) OVER (PARTITION BY variable, design)) AS nn, ROW_NUMBER() OVER (PARTITION BY variable, design ORDER BY arm) AS k,
+GREATEST(w2xx - 2 * wx / w * w2x + wx / w * wx / w * w2, 0) / (w * w) AS v, n FROM flat WHERE design = 'weighted'),
+q AS (SELECT a.variable, a.design, a.nn - 3 AS m, b.mean - a.mean AS d1, c.mean - a.mean AS d2, a.nn / (a.nn - 1) AS u, a.v AS va, b.v AS vb, c.v AS vc
+FROM s a JOIN s b USING (variable, design) JOIN s c USING (variable, design) WHERE a.k = 1 AND b.k = 2 AND c.k = 3),
+w AS (SELECT variable, design, m, (d1 * d1 * (vc + va) - 2 * d1 * d2 * va + d2 * d2 * (vb + va)) / ((vb + va) * (vc + va) - va * va) / u / 2 AS f FROM q),
+cell AS ({cells}), col AS (SELECT variable, arm, SUM(n) AS c FROM cell GROUP BY 1, 2), line AS (SELECT variable, level, SUM(n) AS r FROM cell GROUP BY 1, 2),
+chi AS (SELECT variable, ANY_VALUE(t) * (SUM(n * n / (r * c)) - 1) / 2 AS x, COUNT(DISTINCT level) - 1 AS k FROM cell JOIN col USING (variable, arm) JOIN line USING (variable, level)
+JOIN (SELECT variable, SUM(n) AS t FROM cell GROUP BY 1) USING (variable) GROUP BY variable)
+SELECT variable, design, ROUND(POWER(1 + 2 * f / m, -m / 2), 6) AS p_value FROM f UNION ALL SELECT variable, design, ROUND(POWER(1 + 2 * f / m, -m / 2), 6) FROM w
+UNION ALL SELECT variable, 'plain', ROUND(EXP(-x) * list_sum(list_transform(range(k), lambda j: POWER(x, j) / factorial(CAST(j AS INTEGER)))), 6) FROM chi"""
+
+
+@query("table_one_p_values", _tests_sql())
+def _(spark, sf):
+    p = view(spark, sf, "patients")
+    plain = table_one(p, NUMS, CATS, "arm", smd=False).select("variable", F.lit("plain").alias("design"), "p_value").distinct()
+    weighted = table_one(p, NUMS, [], "arm", "w", smd=False).select("variable", F.lit("weighted").alias("design"), "p_value").distinct()
+    return rounded(plain.unionByName(weighted))
+
+
 def _smd_sql(w: str) -> str:
     return views("patients") + f""", u AS (SELECT *, CASE WHEN arm = 'Did not use' THEN 0 ELSE 1 END AS used FROM patients),
 m AS (SELECT used, SUM({w}) AS sw, SUM({w} * age) / SUM({w}) AS m, (SUM({w} * age * age) / SUM({w}) - POWER(SUM({w} * age) / SUM({w}), 2)) * COUNT(*) / (COUNT(*) - 1) AS v,

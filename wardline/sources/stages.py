@@ -25,7 +25,7 @@ def load_stage(spark: SparkSession, name: str, root: str | None = None) -> DataF
     return spark.read.parquet(stage_path(spark, name, root))
 
 
-def export_table(df: DataFrame, path: str, single_file: bool = True) -> str:
-    """Flat result table as CSV.  One file suits report tables; switch it off for row-level data."""
+def export_table(df: DataFrame, path: str, single_file: bool = False) -> str:
+    """Flat result table as CSV, written by all tasks; ``single_file`` makes one file of a small report table."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
     return path
