@@ -7,7 +7,7 @@ import time
 
 import numpy as np
 
-from wardline.llm import decontaminate, personal_data as P, repetition
+from wardline.llm import decontaminate, language_id, personal_data as P, repetition
 
 PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -152,6 +152,8 @@ def test_names_with_dots_and_clashes(spark):
     out = P.redacted(frame, "a.id", "a.text")
     assert out.columns == frame.columns and "[email]" in out.collect()[0][1]
     assert {r["doc_id"]: r["n_email"] for r in P.personal_data(frame, "a.id", "a.text").collect()} == {1: 1, 2: 0}
+    assert {r["doc_id"]: r["n_words"] for r in repetition.quality(frame, "a.id", "a.text").collect()} == {1: 64, 2: 0}
+    assert language_id.identify(frame, "a.id", "a.text", "personal").count() == 2
     wide = frame.withColumnRenamed("a.id", "doc_id").withColumnRenamed("a.text", "text").withColumnRenamed("personal", "b.c")
     assert repetition.keep_documents(wide).columns == wide.columns
     bench = spark.createDataFrame([(1, "nothing of the kind stands there")], "item_id long, text string")

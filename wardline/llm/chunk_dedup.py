@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.components import attach
-from wardline.llm.frames import SPACES, as_bytes, mix64, narrow
+from wardline.llm.frames import SPACES, as_bytes, mix64, narrow, quoted
 from wardline.session import cut_lineage
 
 # A chunk ends after one in WORDS_PER_CUT white-space bytes; in text that has had none for BARE_BYTES (scripts that write
@@ -153,7 +153,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out; rows of one id are one document, so what repeats only among them is no passage, and each such row with
     passages gives a row; identical rows of one id give one row; no passage or an empty table gives no row.
     """
-    slim = narrow(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    slim = narrow(docs.filter(F.col(quoted(id_col)).isNotNull()), id_col, text_col)
     slim = slim.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text")
     # The 64 bits alone say which windows several texts can have; only those are compared by the whole digest and by document.
     twice = cells_of(slim, passage_bytes, places=False).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")

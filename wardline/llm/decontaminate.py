@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.frames import append_struct, fresh, mix64
+from wardline.llm.frames import append_struct, fresh, mix64, quoted
 
 # Words in a benchmark passage at most, in half a document window, and around a window when words are compared.
 PASSAGE, STEP, MARGIN = 48, 32, 24
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[bytes])
         rows = [*seen.items(), (b"", total)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())],
                                          names=["word", "n"])
-    sums = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = docs.select(quoted(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     got = {bytes(r[0]): r[1] for r in sums.collect()}
     return got, got.pop(b"", 0)
 
@@ -127,7 +127,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iter
                 rows += [(item, b" ".join(words[a:b]), b" ".join(answer_of(words)), len(words) - b) for a, b in passages_of(words)]
             kinds = {"item": pa.string(), "words": pa.binary(), "answer": pa.binary(), "rest": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
-    parts = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).alias("text"))
+    parts = benchmark.select(F.col(quoted(item_col)).cast("string"), F.col(quoted(text_col)).alias("text"))
     parts = parts.mapInArrow(run, "item string, words binary, answer binary, rest int")
     parts = parts.groupBy("words", "answer", "rest").agg(F.min("item").alias("item"))
     blocks = max(1, -(-parts.count() // BLOCK))
@@ -320,7 +320,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``items`` are the comma-joined items, shorter ones first, ``share`` the largest part of a passage found in order.  Each row
     is judged by its own text, also where rows share an id, and however many scans the benchmark takes.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     out, names = flagged(slim, benchmark, **options)
     if not names:
         return slim.filter(F.lit(False)).select("doc_id", F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"),

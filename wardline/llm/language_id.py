@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.frames import append_struct, fresh, mix64
+from wardline.llm.frames import append_struct, fresh, mix64, quoted
 from wardline.llm.tokens import slices
 
 SIZES, HASHES, CELLS = (3, 4), 4, 1 << 20
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     N-grams are counted over all those rows, and the rare ones of each language left out.  Masks are OR-ed by cell on
     Spark; the driver gets the finished filter, whose size is fixed (``CELLS`` masks), and the language names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"))
     known = gram_counts(rows.filter(F.col("id").isNotNull() & ~held_out(F.col("id"))))
     from wardline.session import cut_lineage
     known = cut_lineage(known)
@@ -193,5 +193,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     columns are ignored.
     """
     model = learn(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return predicted(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.*")

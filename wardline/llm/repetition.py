@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.frames import SPACES, append_struct, as_bytes, covered, fresh, mix64
+from wardline.llm.frames import SPACES, append_struct, as_bytes, covered, fresh, mix64, quoted
 
 # Largest share of word characters in repeated windows of so many words, and in repeated lines.
 WINDOW_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -113,5 +113,5 @@ def keep_documents(docs: DataFrame, text_col: str = "text", **rules) -> DataFram
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """One row per document: id, counts, ``base_failed``, ``kept`` and the shares behind it."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return measured(slim, **rules).select("doc_id", "quality.*")

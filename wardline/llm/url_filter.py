@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.components import attach, components
-from wardline.llm.frames import ascii_lower
+from wardline.llm.frames import ascii_lower, quoted
 from wardline.session import cut_lineage
 
 # A tag that names another address for its page, and the address in it.
@@ -67,11 +67,11 @@ def resolved(target: Column, base: Column) -> Column:
 def redirects(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """``url, target`` for the canonical links and refresh redirects of the pages; relative ones go by the page's url and
     ``<base>``, and those that name no address are left out."""
-    base = F.replace(F.regexp_extract(F.col(html_col), _BASE, 1), F.lit("&amp;"), F.lit("&"))
-    base = F.when(F.coalesce(base, F.lit("")) == "", F.col(url_col)).otherwise(resolved(base, F.col(url_col)))
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(_TAG), F.lit(0))
+    base = F.replace(F.regexp_extract(F.col(quoted(html_col)), _BASE, 1), F.lit("&amp;"), F.lit("&"))
+    base = F.when(F.coalesce(base, F.lit("")) == "", F.col(quoted(url_col))).otherwise(resolved(base, F.col(quoted(url_col))))
+    tags = F.regexp_extract_all(F.col(quoted(html_col)), F.lit(_TAG), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
-    found = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), base.alias("base"), F.explode(tags).alias("tag"))
+    found = pages.filter(F.col(quoted(url_col)).isNotNull()).select(F.col(quoted(url_col)).alias("url"), base.alias("base"), F.explode(tags).alias("tag"))
     target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).otherwise(F.regexp_extract("tag", _CONTENT, 1))
     target = resolved(F.replace(target, F.lit("&amp;"), F.lit("&")), F.col("base"))
     return found.select("url", target.alias("target")).filter(F.instr("target", "://") > 0)
@@ -106,13 +106,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     judged each; without rules or links every page is allowed; an empty table gives an empty result.
     """
     links = cut_lineage(redirects(pages, url_col, html_col).distinct())
-    urls = pages.select(F.col(url_col).alias("url")).union(links.select("target")).filter("url is not null").distinct()
+    urls = pages.select(F.col(quoted(url_col)).alias("url")).union(links.select("target")).filter("url is not null").distinct()
     verdicts = cut_lineage(ruled(urls, rules))
     edges = links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     found = components(edges)
     bad = verdicts.filter("verdict = 'block'").select(node_of(F.col("url")).alias("node")).distinct()
     blocked = bad.join(found, "node").select("component").distinct().withColumn("blocked", F.lit(True))
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumn("node", node_of(F.col("url")))
+    own = pages.select(F.col(quoted(id_col)).alias("page_id"), F.col(quoted(url_col)).alias("url")).withColumn("node", node_of(F.col("url")))
     out = attach(attach(attach(own, verdicts, "url", how="left"), found, "node", how="left"), blocked, "component", how="left")
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule",
                       F.coalesce("verdict", F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"), "component")
