@@ -1,12 +1,59 @@
 """Decontamination of texts side by side, packing without ids on the way."""
 
+import random
 import zlib
 
 import corpus_pipeline
-from wardline.llm import packing
+from wardline.llm import decontaminate, packing
 from wardline.llm.queries import tokenizer
 
 
+def spaces_of(spark, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    blocks = list(decontaminate.benchmark_blocks(bench, "item_id", "text"))
+    return [decontaminate.latent_space(spark, b, {}, 1) for b in blocks]
+
+
+def test_texts_side_by_side_are_judged_each_by_itself(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(120)}"
+    items = [" ".join(word() for _ in range(n)) for n in (5, 14, 30, 47, 48, 49, 90)]
+    words = [decontaminate.words_of(t) for t in items]
+    scan = decontaminate.Scan(spaces_of(spark, items))
+    noise = lambda n: [word().encode() for _ in range(n)]
+    texts = [[], noise(1), noise(31), noise(32), noise(33), noise(700), words[0], [], words[6], noise(40) + words[4] + noise(9),
+             # An item that ends one text and goes on in the next is in neither; copies at step and block edges are found.
+             noise(64) + words[4][:12], words[4][12:24] + noise(50), noise(decontaminate.STEP * decontaminate.WINDOWS - 20) + words[3] + noise(70)]
+    texts += [noise(rng.randrange(300)) + words[rng.randrange(7)] for _ in range(30)]
+    asked = []
+    plain = decontaminate.found_in
+
+    def found_in(passage, kinds, region, there, after):
+        asked.append(len(passage.words) < decontaminate.SHORT
+                     or len(passage.words) - len(kinds - there) >= decontaminate.PARAPHRASED * len(passage.words))
+        return plain(passage, kinds, region, there, after)
+    monkeypatch.setattr(decontaminate, "found_in", found_in)
+    got = decontaminate.items_in(texts, scan, decontaminate.COSINE)
+    assert asked and all(asked)
+    assert got == [decontaminate.items_in([t], scan, decontaminate.COSINE)[0] for t in texts]
+    # The same with every window and passage looked at by itself.
+    for text, hits in zip(texts, got):
+        want = {}
+        for start in range(0, len(text), decontaminate.STEP):
+            end = start + 2 * decontaminate.STEP + decontaminate.MARGIN
+            region = text[max(0, start - decontaminate.MARGIN):end]
+            for s, space in enumerate(scan.spaces):
+                known = [space.words[w] for w in text[start:start + 2 * decontaminate.STEP] if w in space.words]
+                sums = space.project[known].sum(axis=0)
+                for j, p in enumerate(space.passages):
+                    if known and sums @ space.targets[j] >= decontaminate.COSINE * (sums @ sums) ** 0.5:
+                        share = plain(p, scan.kinds[s][j], region, set(region), text[end:end + p.rest])
+                        if share:
+                            want[p.item] = max(share, want.get(p.item, 0.0))
+        assert all(hits.get(i, 0) >= v for i, v in want.items())
+    assert "6" in got[8] and "4" in got[9] and "3" in got[12] and "4" not in got[10] and "4" not in got[11]
+
+
 def test_the_pipeline_packs_without_sending_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "more " * 3000)], "doc_id long, text string").coalesce(1)
     asked, plain = [], packing.pack

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.llm.frames import append_struct, fresh, mix64, quoted
+from wardline.llm.tokens import slices
 
 # Words in a benchmark passage at most, in half a document window, and around a window when words are compared.
 PASSAGE, STEP, MARGIN = 48, 32, 24
@@ -29,6 +30,8 @@ COSINE = 0.4
 COPIED, PARAPHRASED, ANSWERED, SHORT = 0.8, 0.6, 0.8, 8
 # So many words of an item in a row are a copy by themselves; below half a passage, so that each such run lies in some passage.
 RUN = 13
+# Bytes of texts laid out side by side, and windows compared at once.
+SLICE_BYTES, WINDOWS = 1 << 18, 256
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 # Every byte outside 0-9, a-z and beyond ASCII parts words.
 _PARTS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
@@ -152,7 +155,9 @@ def latent_space(spark, block: list[Passage], frequency: dict[bytes, int], total
         tf = Counter(words[w] for w in p.words)
         v = np.array([n * idf[c] for c, n in tf.items()])
         rows.append((list(map(int, tf)), (v / np.linalg.norm(v)).tolist()))
-    cells = spark.createDataFrame(rows, "cols array<int>, vals array<double>").repartition(8)
+    # From an Arrow table, as rows would start further Python workers, which stay.
+    cells = spark.createDataFrame(pa.table({"cols": pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                                            "vals": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})).repartition(8)
 
     def power(basis: np.ndarray) -> np.ndarray:
         """Transposed rows times (rows times basis)."""
@@ -192,6 +197,12 @@ class Scan:
         self.words = {w: i for i, w in enumerate(sorted({w for s in spaces for w in s.words}))}
         self.parts, width = [], sum(s.project.shape[1] for s in spaces)
         self.project = np.zeros((len(self.words), width), np.float32)
+        # The kinds of words of each passage by number, filled up with one that counts as standing everywhere; and all its words' number.
+        self.codes = [np.full((len(s.passages), PASSAGE), len(self.words), np.int32) for s in spaces]
+        self.sizes = [np.array([len(p.words) for p in s.passages]) for s in spaces]
+        for codes, kinds in zip(self.codes, self.kinds):
+            for row, own in zip(codes, kinds):
+                row[:len(own)] = [self.words[w] for w in own]
         at = 0
         for s in spaces:
             end = at + s.project.shape[1]
@@ -229,32 +240,113 @@ def runs_in(code: np.ndarray, scan: Scan) -> list[tuple[int, int, int]]:
     return [(int(starts[i]), *map(int, scan.owners[o])) for i in np.flatnonzero(first < last) for o in range(first[i], last[i])]
 
 
-def near_windows(words: list[bytes], scan: Scan, cosine: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(start of the window, space, passage) wherever the latent cosine reaches ``cosine``; a window is two steps long.
+def laid_out(texts: list[list[bytes]], scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of texts one after another (-1: in no passage), and where each text starts.
+
+    A text starts at a whole step and two empty steps follow it, so that no run and no region has words of two texts.
+    """
+    sizes = np.array([len(w) for w in texts], np.int64)
+    room = (-(-sizes // STEP) + 2) * STEP
+    firsts = np.cumsum(room) - room
+    code = np.full(room.sum(), -1, np.int64)
+    flat = np.fromiter(map(scan.words.get, chain.from_iterable(texts), repeat(-1)), np.int64, sizes.sum())
+    code[np.arange(len(flat)) + np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes)] = flat
+    return code, firsts
+
+
+def step_sums(code: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """The sum of the words' rows in each step: the first known word of all steps, then the second, and so on."""
+    at = np.flatnonzero(code >= 0)
+    step, begin, many = np.unique(at // STEP, return_index=True, return_counts=True)
+    order = np.argsort(-many, kind="stable")
+    begin, many = begin[order], many[order]
+    known, sums = code[at], np.zeros((len(step), project.shape[1]), np.float32)
+    for i in range(many[0] if len(many) else 0):
+        n = np.searchsorted(-many, -i)
+        sums[:n] += project[known[begin[:n] + i]]
+    out = np.zeros((-(-len(code) // STEP), project.shape[1]), np.float32)
+    out[step[order]] = sums
+    return out
+
+
+def standing(code: np.ndarray, starts: np.ndarray, kinds: int) -> np.ndarray:
+    """Which of the scan's words stand in the region around each window; number ``kinds`` stands everywhere."""
+    before, after = np.full(MARGIN, -1), np.full(2 * STEP + MARGIN, -1)
+    around = np.concatenate([before, code, after])[starts[:, None] + np.arange(2 * STEP + 2 * MARGIN)]
+    there = np.zeros((len(starts), kinds + 2), bool)
+    there[np.arange(len(starts))[:, None], around] = True
+    there[:, kinds] = True
+    return there
+
+
+def enough_words(there: np.ndarray, rows: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where ``found_in`` looks at more than words as sets: the passage is short, or not too many of its words are missing."""
+    missing = codes.shape[1] - np.count_nonzero(there.ravel()[rows[:, None] * there.shape[1] + codes], axis=1)
+    return (sizes < SHORT) | (sizes - missing >= PARAPHRASED * sizes)
+
+
+def near_windows(code: np.ndarray, scan: Scan, cosine: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start of the window, space, passage) wherever the latent cosine reaches ``cosine`` and the region around the window has
+    the words that ``found_in`` asks for; a window is two steps long.
 
     And the same for the starts of runs; neighbouring blocks share a step, so none is cut.
     """
-    get, out, runs = scan.words.get, [], []
-    block = STEP * 256
-    for first in range(0, max(1, len(words) - STEP), block):
-        part = words[first:first + block + STEP]
-        code = np.fromiter(map(get, part, repeat(-1)), np.int64, len(part))
-        at = np.flatnonzero(code >= 0)
-        if not len(at):
-            continue
-        runs += [(first + i, k, j) for i, k, j in runs_in(code, scan)]
-        step = at // STEP
-        starts = np.flatnonzero(np.diff(step, prepend=-1))
-        sums = np.zeros((-(-len(code) // STEP) + 1, scan.project.shape[1]), np.float32)
-        sums[step[starts]] = np.add.reduceat(scan.project[code[at]], starts, axis=0)
-        windows = (sums[:-1] + sums[1:])[:256]
+    out, runs = [], []
+    for first in range(0, len(code), STEP * WINDOWS):
+        part = code[first:first + STEP * (WINDOWS + 1)]
+        runs += [(first + i, k, j) for i, k, j in runs_in(part, scan)]
+        sums = step_sums(part, scan.project)
+        windows = sums[:WINDOWS].copy()
+        windows[:len(sums) - 1] += sums[1:]
+        low = max(0, first - MARGIN)
+        region = code[low:first + STEP * (len(windows) + 1) + MARGIN]
+        there = standing(region, first - low + STEP * np.arange(len(windows)), len(scan.words))
         for k, (a, b) in enumerate(scan.parts):
             size = np.linalg.norm(windows[:, a:b], axis=1, keepdims=True)
             near = windows[:, a:b] @ scan.spaces[k].targets.T >= cosine * np.maximum(size, 1e-12)
-            out += [(first + STEP * int(i), k, int(j)) for i, j in zip(*np.nonzero(near & (size > 0)))]
+            rows, passages = np.nonzero(near & (size > 0))
+            for s in range(0, len(rows), 4096):
+                i, j = rows[s:s + 4096], passages[s:s + 4096]
+                kept = enough_words(there, i, scan.codes[k][j], scan.sizes[k][j])
+                out += [(first + STEP * x, k, y) for x, y in zip(i[kept].tolist(), j[kept].tolist())]
     return out, runs
 
 
+def items_in(texts: list[list[bytes]], scan: Scan, cosine: float) -> list[dict[str, float]]:
+    """For each text, given as its words, the items whose passages it holds, with the largest share found in order."""
+    code, firsts = laid_out(texts, scan)
+    near, runs = near_windows(code, scan, cosine)
+    out: list[dict[str, float]] = [{} for _ in texts]
+
+    def placed(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """Text, place in it, space and passage, in order; a window that starts behind a text is none."""
+        found = sorted(found)
+        owners = np.searchsorted(firsts, [f[0] for f in found], "right") - 1
+        for t, (at, k, j) in zip(owners.tolist(), found):
+            if at - firsts[t] < len(texts[t]):
+                yield t, int(at - firsts[t]), k, j
+    last, there = (-1, -1), set()
+    for t, start, k, j in placed(near):
+        words, end = texts[t], start + 2 * STEP + MARGIN
+        region = words[max(0, start - MARGIN):end]
+        if (t, start) != last:
+            last, there = (t, start), set(region)
+        passage = scan.spaces[k].passages[j]
+        share = found_in(passage, scan.kinds[k][j], region, there, words[end:end + passage.rest])
+        if share:
+            out[t][passage.item] = max(share, out[t].get(passage.item, 0.0))
+    seen: dict = {}
+    for t, at, k, j in placed(runs):
+        words, passage = texts[t], scan.spaces[k].passages[j]
+        mine, run = passage.words, words[at:at + RUN]
+        # One look at each copy: its other runs lie within the same region.
+        if at > seen.get((t, k, j), -1) and any(mine[i:i + RUN] == run for i in range(len(mine) - RUN + 1)):
+            seen[t, k, j] = at + PASSAGE - RUN
+            share = longest_common(mine, words[max(0, at - PASSAGE):at + 2 * PASSAGE]) / len(mine)
+            out[t][passage.item] = max(share, out[t].get(passage.item, 0.0))
+    return out
+
+
 _FIELDS = T.StructType([T.StructField("contaminated", T.BooleanType()), T.StructField("n_items", T.LongType()),
                         T.StructField("items", T.StringType()), T.StructField("share", T.DoubleType())])
 
@@ -264,29 +356,11 @@ def _flag(docs: DataFrame, text_col: str, spaces: list[Space], cosine: float, na
     place = docs.columns.index(text_col)
 
     def compute(batch: pa.RecordBatch) -> dict:
-        out, scan = [], held.value
-        for text in batch.column(place).to_pylist():
-            words, hits, last, there = words_of(text), {}, -1, set()
-            near, runs = near_windows(words, scan, cosine)
-            for start, k, j in sorted(near):
-                end = start + 2 * STEP + MARGIN
-                region = words[max(0, start - MARGIN):end]
-                if start != last:
-                    last, there = start, set(region)
-                passage = scan.spaces[k].passages[j]
-                share = found_in(passage, scan.kinds[k][j], region, there, words[end:end + passage.rest])
-                if share:
-                    hits[passage.item] = max(share, hits.get(passage.item, 0.0))
-            seen: dict = {}
-            for at, k, j in sorted(runs):
-                passage = scan.spaces[k].passages[j]
-                mine, run = passage.words, words[at:at + RUN]
-                # One look at each copy: its other runs lie within the same region.
-                if at > seen.get((k, j), -1) and any(mine[i:i + RUN] == run for i in range(len(mine) - RUN + 1)):
-                    seen[k, j] = at + PASSAGE - RUN
-                    share = longest_common(mine, words[max(0, at - PASSAGE):at + 2 * PASSAGE]) / len(mine)
-                    hits[passage.item] = max(share, hits.get(passage.item, 0.0))
-            out.append((bool(hits), len(hits), ",".join(sorted(hits, key=lambda x: (len(x), x))), max(hits.values(), default=0.0)))
+        out, column = [], batch.column(place)
+        for a, b in slices(column, SLICE_BYTES):
+            texts = [words_of(t) for t in column.slice(a, b - a).to_pylist()]
+            for hits in items_in(texts, held.value, cosine):
+                out.append((bool(hits), len(hits), ",".join(sorted(hits, key=lambda x: (len(x), x))), max(hits.values(), default=0.0)))
         return dict(zip(_FIELDS.fieldNames(), zip(*out)))
     return append_struct(docs, name, _FIELDS, compute)
 
