@@ -1,11 +1,12 @@
-"""Decontamination of texts side by side, packing without ids on the way."""
+"""Decontamination of texts side by side, packing without ids on the way, passages with short keys and packed texts."""
 
 import random
 import zlib
 
 import corpus_pipeline
-from wardline.llm import decontaminate, packing
+from wardline.llm import chunk_dedup, decontaminate, packing
 from wardline.llm.queries import tokenizer
+from pyspark.sql import functions as F
 
 
 def spaces_of(spark, items):
@@ -68,3 +69,22 @@ def test_the_pipeline_packs_without_sending_ids(spark, monkeypatch):
     rows = got.collect()
     assert got.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"] and len(rows) == len(full)
     assert all(zlib.crc32(full[r.doc_id, r.start].ids) == r.ids_crc32 for r in rows)
+
+
+def test_short_keys_and_packed_texts_give_the_same_passages(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"word{rng.randrange(500)}" for _ in range(n))
+    shared = [some(60) for _ in range(4)]
+    rows = [(i, f"{some(80)} {shared[i % 4]} {some(rng.randrange(200))}") for i in range(20)]
+    rows += [(3, shared[0]), (3, some(90)), (None, shared[1]), (40, None), (41, ""), (42, f"é{some(50)}\u2003 {shared[2]}"), (43, some(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    full = sorted(map(str, chunk_dedup.passages(docs).collect()))
+    # Keys of two bits fall together for different windows; what they let through is still compared by the whole digest.
+    monkeypatch.setattr(chunk_dedup, "KEY_BITS", 2)
+    assert len(full) >= 20 and sorted(map(str, chunk_dedup.passages(docs).collect())) == full
+    monkeypatch.undo()
+    slim = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [r.key for r in chunk_dedup.cells_of(slim, 120, places=False).collect()]
+    assert keys and 0 <= min(keys) and max(keys).bit_length() <= 40 < 2 + max(keys).bit_length()
+    packed = chunk_dedup.packed_texts(slim).collect()
+    assert sum(len(r.packed) for r in packed) < 0.6 * sum(len((t or "").encode()) for i, t in rows if i is not None)

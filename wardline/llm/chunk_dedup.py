@@ -12,11 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.components import attach
 from wardline.llm.frames import SPACES, as_bytes, mix64, narrow, quoted
+from wardline.llm.tokens import slices
 from wardline.session import cut_lineage
 
 # A chunk ends after one in WORDS_PER_CUT white-space bytes; in text that has had none for BARE_BYTES (scripts that write
@@ -24,6 +26,9 @@ from wardline.session import cut_lineage
 WORDS_PER_CUT, LETTERS_PER_CUT, BARE_BYTES = 4, 8, 32
 # A window of chunks, and so a passage, has this many bytes at least.
 PASSAGE_BYTES = 120
+# Bits of a window's digest in the first pass, which may take different windows for equal (one in 600 at two billion windows), and
+# the compression level of texts on their way.
+KEY_BITS, LEVEL = 40, 1
 _GEAR = (mix64(np.arange(256)) >> np.uint64(48)).astype(np.uint16)
 _SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
@@ -82,10 +87,10 @@ def stretches(text: bytes, spot: np.ndarray, least: int) -> list[tuple[int, int]
 
 
 def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFrame:
-    """``d1, spot, doc, body`` for each window, or ``d1`` alone, once a text; white space of any kind counts as a blank.
+    """``d1, spot, doc, body`` for each window, or ``key`` alone, once a text; white space of any kind counts as a blank.
 
     docs has doc_id, body and text.  The digest has 64 bits in ``d1`` and 32 more in the upper half of ``spot``; the lower half
-    says where the window stands (see ``spots``).
+    says where the window stands (see ``spots``).  ``key`` is the upper ``KEY_BITS`` of ``d1``, so that fewer bytes are shuffled.
     """
     blank = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 
@@ -102,13 +107,26 @@ def cells_of(docs: DataFrame, passage_bytes: int, places: bool = True) -> DataFr
             if not digests:
                 continue
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            made = {"d1": d[:, 0].copy()}
-            if places:
+            if not places:
+                made = {"key": (d[:, 0].view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)}
+            else:
                 r = np.concatenate(rows)
-                made |= {"spot": (d[:, 1] << 32) | np.concatenate(places_of),
-                         "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r]}
+                made = {"d1": d[:, 0].copy(), "spot": (d[:, 1] << 32) | np.concatenate(places_of),
+                        "doc": batch.column(0).to_numpy()[r], "body": batch.column(1).to_numpy()[r]}
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made.values()], names=list(made))
-    return docs.mapInArrow(run, "d1 long, spot long, doc long, body long" if places else "d1 long")
+    return docs.mapInArrow(run, "d1 long, spot long, doc long, body long" if places else "key long")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, body, packed``: the texts as zstandard frames, which are smaller in a shuffle than its own compression makes them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                frames = pa.array([squeeze(x) for x in as_bytes(part.column(2))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), frames], names=["doc_id", "body", "packed"])
+    return docs.mapInArrow(run, "doc_id long, body long, packed binary")
 
 
 def runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,23 +173,27 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = narrow(docs.filter(F.col(quoted(id_col)).isNotNull()), id_col, text_col)
     slim = slim.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text")
-    # The 64 bits alone say which windows several texts can have; only those are compared by the whole digest and by document.
-    twice = cells_of(slim, passage_bytes, places=False).groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
-    cells = cut_lineage(attach(cells_of(slim, passage_bytes), twice, "d1"))
+    # The key alone says which windows several texts can have; only those are compared by the whole digest and by document.
+    # It is taken from ``d1`` in the join (not reusing the aggregate's partitioning, see ``attach``) and is no column of the cells.
+    twice = cells_of(slim, passage_bytes, places=False).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = twice.select(F.bitwise_not(F.bitwise_not("key")).alias("key"))
+    cells = cells_of(slim, passage_bytes)
+    cells = cut_lineage(cells.join(twice, F.shiftrightunsigned("d1", 64 - KEY_BITS) == F.col("key")).drop("key"))
     cells = cells.select("d1", F.shiftright("spot", 32).alias("d2"), F.col("spot").bitwiseAND(0xFFFFFFFF).alias("spot"), "doc", "body")
     common = (cells.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"))
               .filter("keeper <> last").select("d1", "d2", "keeper"))
     marks = attach(cells, common, "d1", "d2").groupBy("doc", "body").agg(
         F.sort_array(F.collect_set(F.struct("spot", "keeper"))).alias("marks"))
     marks = marks.select(F.col("doc").alias("doc_id"), "body", "marks")
-    joined = slim.join(marks, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select(
-        "doc_id", "text", F.col("marks.spot").alias("spot"), F.col("marks.keeper").alias("keeper"))
+    joined = packed_texts(slim).join(marks, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select(
+        "doc_id", "packed", F.col("marks.spot").alias("spot"), F.col("marks.keeper").alias("keeper"))
     blank = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, text, spot, keeper in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)),
+            for doc, text, spot, keeper in zip(batch.column(0).to_pylist(), map(unpack, batch.column(1).to_pylist()),
                                                *(batch.column(i).to_pylist() for i in (2, 3))):
                 marks = stretches(text.translate(blank), np.array(spot), passage_bytes)
                 found = runs(marks)
